@@ -182,22 +182,27 @@ def silhouette(points: DataFrame, settings: Settings = SETTINGS, seed: int | str
 
 
 # ----------------------------------------------------------------------------------- TOPSIS
+def base_weights(criteria: dict[str, tuple[float, str]]) -> Column:
+    total = sum(w for w, _ in criteria.values())
+    pairs = [F.lit(x) for c, (w, _) in criteria.items() for x in (c, w / total)]
+    return F.create_map(*pairs)[F.col("criterion")]
+
+
 def topsis(values: DataFrame, criteria: dict[str, tuple[float, str]] = MCDA_CRITERIA,
-           group: Sequence[str] = ("group",)) -> DataFrame:
+           group: Sequence[str] = ("group",), weight: Column | None = None) -> DataFrame:
     """Closeness per (group, alternative) from long rows (group, alternative, criterion, value).
 
     All groups at once: every step is an aggregate per (group, criterion) or per (group,
-    alternative).
+    alternative). `weight` overrides the criterion's share of the total weight.
     """
-    total = sum(w for w, _ in criteria.values())
-    weight = F.create_map(*[F.lit(x) for c, (w, _) in criteria.items() for x in (c, w / total)])
+    weight = base_weights(criteria) if weight is None else weight
     cost = [c for c, (_, d) in criteria.items() if d != "benefit"]
     signed = F.when(F.col("criterion").isin(*cost), -F.col("weighted")).otherwise(
         F.col("weighted")) if cost else F.col("weighted")
     per = Window.partitionBy(*group, "criterion")
     norm = F.coalesce(F.nullif(F.sqrt(F.sum(F.col("value") * F.col("value")).over(per)),
                                F.lit(0.0)), F.lit(1.0))
-    w = values.withColumn("weighted", F.col("value") / norm * weight[F.col("criterion")])
+    w = values.withColumn("weighted", F.col("value") / norm * weight)
     w = w.withColumn("v", signed).withColumn("ideal", F.max("v").over(per)).withColumn(
         "anti", F.min("v").over(per))
     sq = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
@@ -209,30 +214,42 @@ def topsis(values: DataFrame, criteria: dict[str, tuple[float, str]] = MCDA_CRIT
         .alias("closeness"))
 
 
+def _winner() -> Column:
+    """Best closeness (to 12 places), then the first name."""
+    return F.min_by("alternative", F.struct(
+        (-F.round("closeness", 12)).alias("c"), F.col("alternative").alias("a")))
+
+
 def rank_alternatives(scores: DataFrame, group: Sequence[str] = ("group",)) -> DataFrame:
-    order = Window.partitionBy(*group).orderBy(F.col("closeness").desc(), F.col("alternative"))
+    order = Window.partitionBy(*group).orderBy(
+        F.round("closeness", 12).desc(), F.col("alternative"))
     return scores.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def sensitivity(values: DataFrame, criteria: dict[str, tuple[float, str]] = MCDA_CRITERIA,
                 factor: float = SETTINGS.sensitivity_factor,
                 group: Sequence[str] = ("group",)) -> DataFrame:
-    """Winner when each weight in turn is scaled by (1 - factor) and (1 + factor)."""
-    best = F.max_by("alternative", F.struct(
-        "closeness", F.transform(F.split("alternative", ""), lambda ch: -F.ascii(ch))))
-    out = None
-    base = topsis(values, criteria, group).groupBy(*group).agg(best.alias("base_winner"))
-    for name in sorted(criteria):
-        for scale in (1 - factor, 1 + factor):
-            moved = {c: (w * (scale if c == name else 1.0), d)
-                     for c, (w, d) in criteria.items()}
-            part = topsis(values, moved, group).groupBy(*group).agg(
-                best.alias("winner")).select(
-                *group, F.lit(name).alias("criterion"), F.lit(scale).alias("weight_factor"),
-                "winner")
-            out = part if out is None else out.unionByName(part)
-    return out.join(base, list(group)).withColumn(
-        "winner_unchanged", F.col("winner") == F.col("base_winner")).drop("base_winner")
+    """Winner when each weight in turn is scaled by (1 - factor) and (1 + factor).
+
+    The rows fan out once over the fixed list of changes; one TOPSIS ranks them all.
+    """
+    raw = {c: w for c, (w, _) in criteria.items()}
+    changes = [("", 1.0)] + [(c, f) for c in sorted(raw) for f in (1 - factor, 1 + factor)]
+    listed = F.array(*[F.struct(
+        F.lit(c).alias("changed"), F.lit(f).alias("weight_factor"),
+        F.lit(sum(w * (f if n == c else 1.0) for n, w in raw.items())).alias("total"))
+        for c, f in changes])
+    fanned = values.select("*", F.explode(listed).alias("_c")).select(
+        *values.columns, "_c.*")
+    own = F.create_map(*[F.lit(x) for kv in raw.items() for x in kv])[F.col("criterion")]
+    scaled = own * F.when(F.col("criterion") == F.col("changed"), F.col("weight_factor")
+                          ).otherwise(F.lit(1.0)) / F.col("total")
+    keys = [*group, "changed", "weight_factor"]
+    winners = topsis(fanned, criteria, keys, scaled).groupBy(*keys).agg(_winner().alias("winner"))
+    base = winners.where("changed = ''").select(*group, F.col("winner").alias("_base"))
+    return winners.where("changed <> ''").join(base, list(group)).select(
+        *group, F.col("changed").alias("criterion"), "weight_factor", "winner",
+        (F.col("winner") == F.col("_base")).alias("winner_unchanged"))
 
 
 def name_clusters(frame: DataFrame) -> DataFrame:

@@ -183,20 +183,14 @@ def raw_events(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def purchase_probability(rows: DataFrame, candidate: str = "candidate_id",
-                         archetype: str = "archetype") -> Column:
-    """The supplied probability table as an expression over (customer, day, candidate)."""
-    base = F.lit(0.02) + F.lit(0.03) * uniform("p0", F.col("customer_id"), F.col("day"))
-    lift = F.lit(1.0)
-    arm = None
-    for name, mult in PROB_MULTIPLIER.items():
-        cond = F.col(archetype) == name
-        arm = F.when(cond, F.lit(mult)) if arm is None else arm.when(cond, F.lit(mult))
-    noise = F.lit(0.8) + F.lit(0.4) * uniform(
-        "pa", F.col("customer_id"), F.col("day"), F.col(candidate))
-    return F.when(F.col(archetype).isin("none", "wait"), base * lift).otherwise(
-        F.least(F.lit(1.0), base * arm * noise))
-
-
 def base_probability() -> Column:
     return F.lit(0.02) + F.lit(0.03) * uniform("p0", F.col("customer_id"), F.col("day"))
+
+
+def purchase_probability(candidate: Column, archetype: Column) -> Column:
+    """The supplied probability table as an expression over (customer, day, candidate)."""
+    arm = F.create_map(*[F.lit(x) for kv in PROB_MULTIPLIER.items() for x in kv])[archetype]
+    noise = F.lit(0.8) + F.lit(0.4) * uniform(
+        "pa", F.col("customer_id"), F.col("day"), candidate)
+    return F.when(archetype.isin("none", "wait"), base_probability()).otherwise(
+        F.least(F.lit(1.0), base_probability() * arm * noise))
