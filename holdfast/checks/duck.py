@@ -357,8 +357,9 @@ LEFT JOIN stock s ON s.tick = greatest(g.day - 1, 0)
     "dctx": f"SELECT * FROM ctx WHERE day IN ({DAYS})",
     # ------------------------------------------------------- candidates and rules
     "actions": f"""
-SELECT * FROM (VALUES {_actions()}) AS
-  a(catalog_order, candidate_id, archetype, description, contact, cost_cents, discount_bps)""",
+SELECT CAST(a.o AS BIGINT) AS catalog_order, a.candidate_id, a.archetype, a.description, a.contact,
+  CAST(a.c AS BIGINT) AS cost_cents, CAST(a.b AS BIGINT) AS discount_bps
+FROM (VALUES {_actions()}) AS a(o, candidate_id, archetype, description, contact, c, b)""",
     "cand": f"""
 SELECT c.customer_id, c.day, c.primary_category, c.contacts_7d, c.contacts_14d, c.margin_rate,
   c.order_value_cents, c.low_stock, c.stock_units, a.*,

@@ -520,7 +520,7 @@ def _(ws):
 
 
 @report("days_since_contacts", "CX-10", f"""
-SELECT customer_id, d AS day, place, days_ago, n FROM (
+SELECT customer_id, CAST(d AS BIGINT) AS day, place, days_ago, n FROM (
   SELECT t.customer_id, d, d - t.day - 1 AS days_ago, count(*) AS n,
     row_number() OVER (PARTITION BY t.customer_id, d ORDER BY d - t.day - 1) - 1 AS place
   FROM typed t JOIN unnest([{duck.DAYS}]) AS u(d) ON t.day < d
@@ -532,7 +532,7 @@ def _(ws):
 
 
 @report("contacts_within_windows", "CX-10", f"""
-SELECT t.customer_id, d AS day, count(*) FILTER (d - t.day - 1 < 7) AS within_7,
+SELECT t.customer_id, CAST(d AS BIGINT) AS day, count(*) FILTER (d - t.day - 1 < 7) AS within_7,
   count(*) FILTER (d - t.day - 1 < 14) AS within_14
 FROM typed t JOIN unnest([{duck.DAYS}]) AS u(d) ON t.day < d WHERE t.type = 'campaign_exposure'
 GROUP BY t.customer_id, d""")
@@ -729,7 +729,7 @@ SELECT e.customer_id, e.day, e.candidate_id, any_value(e.contact) AS contact, an
 FROM ev_member e LEFT JOIN ev_wins w USING (customer_id, day, candidate_id)
 GROUP BY e.customer_id, e.day, e.candidate_id""",
     "ev_rank": """
-SELECT *, row_number() OVER (PARTITION BY customer_id, day ORDER BY score DESC, contact, catalog_order) AS place
+SELECT *, row_number() OVER (PARTITION BY customer_id, day ORDER BY round(score, 9) DESC, contact, catalog_order) AS place
 FROM ev_score""",
 })
 
@@ -1284,13 +1284,13 @@ _EUR = "sum(expected_profit_cents) FILTER (policy = '{}') / 100"
 
 
 @report("policy_summary", "EV-11", f"""
-SELECT p.*, i.* EXCLUDE (policy),
-  round(p.expected_profit_eur - (SELECT {_EUR.format('do_nothing')} FROM test_log), 5) AS vs_do_nothing_eur,
-  round(p.expected_profit_eur - (SELECT {_EUR.format('rules_only')} FROM test_log), 5) AS vs_rules_only_eur
+SELECT p.* EXCLUDE (raw_eur), i.* EXCLUDE (policy),
+  round(raw_eur - (SELECT {_EUR.format('do_nothing')} FROM test_log), 5) AS vs_do_nothing_eur,
+  round(raw_eur - (SELECT {_EUR.format('rules_only')} FROM test_log), 5) AS vs_rules_only_eur
 FROM (SELECT policy, count(*) AS decisions, round(avg(contact::INT), 6) AS contact_rate,
     round(avg((discount_bps > 0)::INT), 6) AS discount_rate, round(avg((archetype IN ('none', 'wait'))::INT), 6) AS restraint_rate,
     count(*) FILTER (converted) AS conversions, round(avg(converted::INT), 6) AS conversion_rate,
-    round(sum(profit_cents) / 100, 5) AS profit_eur, round(sum(expected_profit_cents) / 100, 5) AS expected_profit_eur,
+    round(sum(profit_cents) / 100, 5) AS profit_eur, round(sum(expected_profit_cents) / 100, 5) AS expected_profit_eur, sum(expected_profit_cents) / 100 AS raw_eur,
     round(coalesce(sum(order_value_cents * discount_bps / 10000.0::DOUBLE) FILTER (converted), 0) / 100, 5) AS discount_cost_eur,
     round(coalesce(sum(order_value_cents * discount_bps / 10000.0::DOUBLE) FILTER (converted AND would_buy_anyway), 0) / 100, 5) AS wasted_discount_cost_eur,
     round(coalesce(avg(would_buy_anyway::INT) FILTER (discount_bps > 0 AND converted), 0.0), 6) AS wasted_discount_share,

@@ -180,17 +180,19 @@ def expected_value_scores(judged: DataFrame, members: str, n_members: int,
                         F.zip_with(p, p_none, lambda a, b: a - b).alias("uplift"))
 
     df = judged.withColumn("_priced", F.transform("survivors", priced))
-    # first survivor with the largest gain, per member
-    best = F.array(*[
-        F.aggregate(
-            "_priced",
-            F.struct(F.lit(None).cast("string").alias("id"),
-                     F.lit(None).cast("double").alias("g")),
-            lambda acc, x, m=m: F.when(
-                acc["g"].isNull() | (F.get(x["gain"], F.lit(m)) > acc["g"]),
-                F.struct(x["c"]["candidate_id"].alias("id"),
-                         F.get(x["gain"], F.lit(m)).alias("g"))).otherwise(acc))["id"]
-        for m in range(n_members)])
+    def winner(m: int) -> Column:
+        """Id of the first survivor with the largest gain in member m."""
+        start = F.struct(F.lit(None).cast("string").alias("id"),
+                         F.lit(None).cast("double").alias("g"))
+
+        def larger(acc: Column, x: Column) -> Column:
+            gain = F.get(x["gain"], F.lit(m))
+            return F.when(acc["g"].isNull() | (gain > acc["g"]), F.struct(
+                x["c"]["candidate_id"].alias("id"), gain.alias("g"))).otherwise(acc)
+
+        return F.aggregate("_priced", start, larger)["id"]
+
+    best = F.array(*[winner(m) for m in range(n_members)])
     df = df.withColumn("_winners", best)
 
     def measured(x: Column) -> Column:

@@ -7,7 +7,8 @@ function, scoring the tree family is Spark ML's own transform.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +16,8 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -30,10 +32,12 @@ PLATT_C = 1e6
 
 # ------------------------------------------------------------------------------ preparation
 def standardiser(train: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, mean, scale): population moments, tiny spreads replaced by 1. One aggregate."""
+    """(feature, mean, scale, constant): population moments, tiny spreads replaced by 1. One
+    aggregate."""
     aggs = [F.struct(F.lit(n).alias("feature"), F.avg(n).alias("mean"),
                      F.when(F.stddev_pop(n) < TINY_SD, F.lit(1.0)).otherwise(F.stddev_pop(n))
-                     .alias("scale")).alias(f"s{i}") for i, n in enumerate(features)]
+                     .alias("scale"), (F.stddev_pop(n) < TINY_SD).alias("constant"))
+            .alias(f"s{i}") for i, n in enumerate(features)]
     row = train.agg(*aggs)
     return row.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(features))])))
 
@@ -186,6 +190,13 @@ def global_importance(log: DataFrame, model: LogisticEnsemble, archetype: str =
     return each.groupBy("feature").agg(F.avg(F.abs("weight")).alias("mean_abs_attribution"))
 
 
+def in_parallel(spark: SparkSession, task: Callable[[int], object], n: int,
+                width: int = 4) -> list:
+    """Run independent fits a few at a time, so that small jobs overlap on the cluster."""
+    with ThreadPoolExecutor(max_workers=width) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(task), range(n)))
+
+
 def platt(scored: DataFrame, raw: str, label: str) -> tuple[float, float]:
     """Slope and intercept of a near-unregularised one-feature logistic fit."""
     n = scored.count()
@@ -203,7 +214,9 @@ def fit_logistic(log: DataFrame, features: Sequence[str],
     `C * sum(loss) + |w|^2 / 2`.
     """
     train = log.where("split = 'train'")
-    moments = {r["feature"]: (r["mean"], r["scale"])
+    # a constant feature must be exactly 0: the solver rescales columns by their spread and a
+    # residue of 1e-14 would stall it
+    moments = {r["feature"]: (r["mean"], float("inf") if r["constant"] else r["scale"])
                for r in standardiser(train, features).collect()}
     model = LogisticEnsemble(list(features), [moments[f][0] for f in features],
                              [moments[f][1] for f in features])
@@ -217,18 +230,23 @@ def fit_logistic(log: DataFrame, features: Sequence[str],
     weights = member_weights(train, settings.ensemble_size, settings.seeds["models"])
     data = designed(train).join(weights, "customer_id").persist()
     valid = designed(log.where("split = 'validation'")).persist()
+
+    def fit_member(m: int) -> LogisticMember:
+        own = data.withColumn("_w", F.get("w", F.lit(m))).where("_w > 0")
+        total = own.agg(F.sum("_w")).first()[0]
+        fit = LogisticRegression(
+            featuresCol="design", labelCol="label", weightCol="_w", elasticNetParam=0.0,
+            regParam=1.0 / (settings.logistic_c * total), standardization=False, tol=1e-8,
+            maxIter=max_iter or settings.logistic_max_iter).fit(own)
+        raw = F.get(vector_to_array("rawPrediction"), F.lit(1))
+        scored = fit.transform(valid).select(raw.alias("raw"), "label")
+        return LogisticMember(float(fit.intercept), fit.coefficients.toArray(),
+                              platt(scored, "raw", "label"))
+
     try:
-        for m in range(settings.ensemble_size):
-            own = data.withColumn("_w", F.get("w", F.lit(m))).where("_w > 0")
-            total = own.agg(F.sum("_w")).first()[0]
-            fit = LogisticRegression(
-                featuresCol="design", labelCol="label", weightCol="_w", elasticNetParam=0.0,
-                regParam=1.0 / (settings.logistic_c * total), standardization=False, tol=1e-8,
-                maxIter=max_iter or settings.logistic_max_iter).fit(own)
-            raw = F.get(vector_to_array("rawPrediction"), F.lit(1))
-            scored = fit.transform(valid).select(raw.alias("raw"), "label")
-            model.members_.append(LogisticMember(
-                float(fit.intercept), fit.coefficients.toArray(), platt(scored, "raw", "label")))
+        data.count()
+        valid.count()
+        model.members_ = in_parallel(log.sparkSession, fit_member, settings.ensemble_size)
     finally:
         data.unpersist()
         valid.unpersist()
@@ -297,18 +315,23 @@ def fit_trees(log: DataFrame, features: Sequence[str], settings: Settings = SETT
         weights, "customer_id").persist()
     held = model.design(valid).select("design", label).persist()
     share = str(settings.gbm_feature_share)
+
+    def fit_member(m: int):
+        own = data.withColumn("_w", F.get("w", F.lit(m))).where("_w > 0")
+        fit = GBTClassifier(
+            featuresCol="design", labelCol="label", weightCol="_w", maxDepth=depth,
+            maxIter=rounds or settings.gbm_rounds, stepSize=settings.gbm_step,
+            minInstancesPerNode=settings.gbm_min_leaf_rows,
+            subsamplingRate=settings.gbm_row_share, featureSubsetStrategy=share,
+            seed=settings.seeds["models"] + m).fit(own)
+        raw = F.get(vector_to_array("rawPrediction"), F.lit(1))
+        scored = fit.transform(held).select(raw.alias("raw"), "label")
+        return fit, platt(scored, "raw", "label")
+
     try:
-        for m in range(settings.ensemble_size):
-            own = data.withColumn("_w", F.get("w", F.lit(m))).where("_w > 0")
-            fit = GBTClassifier(
-                featuresCol="design", labelCol="label", weightCol="_w", maxDepth=depth,
-                maxIter=rounds or settings.gbm_rounds, stepSize=settings.gbm_step,
-                minInstancesPerNode=settings.gbm_min_leaf_rows,
-                subsamplingRate=settings.gbm_row_share, featureSubsetStrategy=share,
-                seed=settings.seeds["models"] + m).fit(own)
-            raw = F.get(vector_to_array("rawPrediction"), F.lit(1))
-            scored = fit.transform(held).select(raw.alias("raw"), "label")
-            model.members_.append((fit, platt(scored, "raw", "label")))
+        data.count()
+        held.count()
+        model.members_ = in_parallel(log.sparkSession, fit_member, settings.ensemble_size)
     finally:
         data.unpersist()
         held.unpersist()

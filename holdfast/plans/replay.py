@@ -176,8 +176,9 @@ def replay_with_model(contexts: DataFrame, policy: str, score: Callable[[DataFra
         today = contexts.where(F.col("day") == day).join(state, "customer_id", "left")
         made = F.coalesce("made", F.array().cast("array<bigint>"))
         for name, width in (("own_7d", WEEK), ("own_14d", FORTNIGHT)):
+            since = F.lit(day - width)
             today = today.withColumn(name, F.size(F.filter(
-                made, lambda d, w=width: F.lit(day) - d <= w)).cast("long"))
+                made, lambda d: d >= since)).cast("long"))  # noqa: B023 (read at once)
         today = today.withColumn("own_total", F.size(made).cast("long")).withColumn(
             "made", made).withColumn("policy", F.lit(policy))
         judged = apply_rules(with_candidates(add_own_contacts(today)))
