@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.config import SETTINGS, Settings, candidate_rows
+from holdfast.config import SETTINGS, Settings
 from holdfast.functions.draws import uniform
 from holdfast.operators import context as cx
 from holdfast.operators import features as ft
@@ -15,7 +15,7 @@ from holdfast.operators import mart as ma
 from holdfast.operators import mart_checks as mc
 from holdfast.operators import quality as q
 from holdfast.operators import segments as sg
-from holdfast.operators.candidates import with_candidates
+from holdfast.operators.candidates import catalog_candidates, with_candidates
 from holdfast.operators.rules import apply_rules
 from holdfast.plans import replay as rp
 from holdfast.session import stage, tune
@@ -99,11 +99,9 @@ class Workspace:
 
     def with_probabilities(self, contexts: DataFrame) -> DataFrame:
         """The fixture's probability table as the map column `p`."""
-        pairs = []
-        for row in candidate_rows():
-            p = fx.purchase_probability(F.lit(row["candidate_id"]), F.lit(row["archetype"]))
-            pairs += [F.lit(row["candidate_id"]), p]
-        return contexts.withColumn("p", F.create_map(*pairs))
+        listed = catalog_candidates()
+        return contexts.withColumn("p", F.map_from_entries(F.transform(listed, lambda c: F.struct(
+            c["candidate_id"], fx.purchase_probability(c["candidate_id"], c["archetype"])))))
 
     # -------------------------------------------------------------------- replay, mart
     @cached_property

@@ -20,7 +20,8 @@ def number_rows(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     rows of all earlier partitions. The hand-over to storage pins the partition boundaries, so
     both reads see the same ones. Only the per-partition counts meet in a single task.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(
         "_id", F.monotonically_increasing_id())
     pinned = stage(ranged, "numbered")
     part = F.shiftright("_id", 33)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,26 +46,40 @@ def candidate(candidate_id: str, archetype: str, contact: bool, cost_cents: int,
         F.create_map(*pairs).cast("map<string,string>").alias("params"))
 
 
-def _rows(archetypes: Iterable[str] | None = None) -> Column:
-    wanted = None if archetypes is None else set(archetypes)
-    return F.array(*[
-        candidate(r["candidate_id"], r["archetype"], r["contact"], r["cost_cents"], r["params"],
-                  r["catalog_order"])
-        for r in candidate_rows() if wanted is None or r["archetype"] in wanted])
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
+@lru_cache
+def _rows(archetypes: tuple[str, ...] | None = None) -> str:
+    """The fixed catalog as one SQL array literal (a single call into the JVM)."""
+    items = []
+    for r in candidate_rows():
+        if archetypes is not None and r["archetype"] not in archetypes:
+            continue
+        pairs = ", ".join(_text(x) for kv in sorted(r["params"].items()) for x in kv)
+        items.append(
+            f"named_struct('catalog_order', {r['catalog_order']}L, "
+            f"'candidate_id', {_text(r['candidate_id'])}, 'archetype', {_text(r['archetype'])}, "
+            f"'contact', {str(r['contact']).lower()}, 'cost_cents', {r['cost_cents']}L, "
+            f"'discount_bps', {r['discount_bps']}L, "
+            f"'params', cast(map({pairs}) as map<string,string>))")
+    return f"array({', '.join(items)})"
 
 
 @register_provider("catalog")
 def catalog_candidates() -> Column:
     """Every archetype and variant of the action catalog."""
-    return _rows()
+    return F.expr(_rows())
 
 
 def all_candidates(providers: Iterable[str] | None = None) -> Column:
     """Candidates of the named providers, first seen wins per id; restraint always present."""
     names = sorted(_PROVIDERS) if providers is None else list(providers)
-    merged = F.concat(*[_PROVIDERS[n]() for n in names], _rows(("none", "wait")))
     if names == ["catalog"]:
-        return _PROVIDERS["catalog"]()  # holds every id once, restraint included
+        return catalog_candidates()  # holds every id once, restraint included
+    restraint = F.expr(_rows(("none", "wait")))
+    merged = F.concat(*[_PROVIDERS[n]() for n in names], restraint)
     ids = F.transform(merged, lambda c: c["candidate_id"])
     return F.filter(merged, lambda c, i: F.array_position(ids, c["candidate_id"]) == i + 1)
 

@@ -17,7 +17,7 @@ from holdfast.functions.draws import uniform
 RESTRAINT = ("none", "wait")
 SCORE_FIELDS = ("uplift", "uplift_low", "uplift_high", "value_cents", "risk_penalty_cents",
                 "win_rate", "expected_profit_cents", "profit_sd_cents")
-KEEP_FIELDS = ("candidate_id", "archetype", "discount_bps", "cost_cents", "params",
+KEEP_FIELDS = ("candidate_id", "archetype", "discount_bps", "cost_cents",
                "penalty_cents", "penalty_rules")
 
 
@@ -35,8 +35,7 @@ def score_entry(c: Column, score: Column, note: Column | None = None, **fields:
     return F.struct(
         (-score).alias("neg_score"), c["contact"].alias("contact"),
         c["catalog_order"].alias("catalog_order"),
-        *[c[f].alias(f) for f in KEEP_FIELDS if f != "params"],
-        F.to_json(c["params"]).alias("params_json"),
+        *[c[f].alias(f) for f in KEEP_FIELDS],
         score.alias("score"), *[fields.get(f, null).alias(f) for f in SCORE_FIELDS],
         (note if note is not None else F.lit(None).cast("string")).alias("note"))
 

@@ -11,6 +11,8 @@ SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # rows here are small but costly (nested decisions): keep enough tasks on small stages
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split skewed join partitions even where that costs one more exchange afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -19,6 +21,10 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# read once at start-up, so only sessions made here carry them: capturing the call site of
+# every column costs more than the call itself on wide plans
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the operators rely on to a session someone else created."""
@@ -31,7 +37,7 @@ def make_session(app: str = "holdfast", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **conf}.items():
+    for key, value in {**SQL_SETTINGS, **START_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -65,3 +71,10 @@ def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a source with fewer splits than cores one round-robin exchange; keyless, so a hot
+    key stays spread. Sources with enough splits pass through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.config import PROB_MULTIPLIER, SETTINGS, Settings
 from holdfast.functions.draws import uniform
+from holdfast.session import spread
 from holdfast.sources.tables import read_table, utc
 
 
@@ -82,7 +83,7 @@ def _payload() -> Column:
 
 def events(spark: SparkSession, root: str) -> DataFrame:
     """The canonical event log."""
-    raw = read_table(spark, root, "events").select(
+    raw = spread(read_table(spark, root, "events")).select(
         "event_id", utc("ts").alias("ts"), F.col("user_id").cast("string").alias("customer_id"),
         F.col("event_type").alias("kind"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
