@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.config import SETTINGS, Settings
 from holdfast.functions.numbers import ratio
 from holdfast.operators import quality as q
+from holdfast.session import stage
 from holdfast.sources.tables import keep_first
 
 
@@ -22,12 +23,18 @@ class Ingested:
 
 def ingest(raw: DataFrame, catalog: DataFrame, existing: DataFrame | None = None,
            existing_rejects: DataFrame | None = None, last_seen: DataFrame | None = None,
-           settings: Settings = SETTINGS) -> Ingested:
-    """Contract split, gates, landing. Landing twice changes nothing."""
-    checked = q.check_contract(raw)
+           settings: Settings = SETTINGS, hand_over: bool = True) -> Ingested:
+    """Contract split, gates, landing. Landing twice changes nothing.
+
+    Survivors, rejects, gates and summary all read the checked rows. With `hand_over` those
+    rows and the (few) gate verdicts go through storage once, so JSON is parsed once however
+    many outputs are written; without it everything stays one lazy plan.
+    """
+    keep = stage if hand_over else (lambda df, _name: df)
+    checked = keep(q.check_contract(raw), "checked")
     good = q.contract_survivors(checked)
     violations = q.gate_violations(good, q.GateInputs(catalog, last_seen), settings)
-    decisive = q.decisive_gate(violations)
+    decisive = keep(q.decisive_gate(violations), "decisive")
     landed = q.landed_events(good, decisive, existing)
     by_contract = q.contract_rejects(checked)
     by_gate = q.gate_rejects(good, decisive)
