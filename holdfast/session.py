@@ -21,6 +21,12 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# This rule copies a generator's input into a `size(...) > 0` filter below it. Decision arrays
+# are nested columns that refer to each other several times, so the copy would be evaluated
+# over and over; the generators here skip empty arrays by themselves.
+EXCLUDED_RULE = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+RULES_KEY = "spark.sql.optimizer.excludedRules"
+
 # read once at start-up, so only sessions made here carry them: capturing the call site of
 # every column costs more than the call itself on wide plans
 START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
@@ -30,6 +36,9 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the operators rely on to a session someone else created."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    excluded = [r for r in (spark.conf.get(RULES_KEY, None) or "").split(",") if r.strip()]
+    if EXCLUDED_RULE not in excluded:
+        spark.conf.set(RULES_KEY, ",".join([*excluded, EXCLUDED_RULE]))
     return spark
 
 
@@ -39,7 +48,7 @@ def make_session(app: str = "holdfast", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**SQL_SETTINGS, **START_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
