@@ -156,16 +156,18 @@ def check_contract(raw: DataFrame) -> DataFrame:
     """
     df = decode(raw).withColumn("_keys", F.coalesce(
         F.json_object_keys("payload"), F.array().cast("array<string>")))
-    df = df.withColumn("ts_utc", parse_instant(F.col("ts")))
+    # each text is parsed once; the checks below read the parsed columns
+    df = df.withColumn("_instant", F.try_to_timestamp("ts")).withColumn(
+        "_zoned", F.col("ts").rlike(ZONE_SUFFIX)).withColumn(
+        "ts_utc", F.when(F.col("_zoned"), F.col("_instant")))
     p_type = F.col("p.type")
     known = p_type.isin(*EVENT_TYPES)
     envelope = [
         _error(F.coalesce(F.col(c), F.lit("")) == "", c, MSG_EMPTY)
         for c in ("event_id", "customer_id", "session_id")
     ] + [
-        _error(~F.col("ts").rlike(ZONE_SUFFIX) & F.try_to_timestamp("ts").isNotNull(), "ts",
-               MSG_NAIVE),
-        _error(F.try_to_timestamp("ts").isNull(), "ts", MSG_DATETIME),
+        _error(~F.col("_zoned") & F.col("_instant").isNotNull(), "ts", MSG_NAIVE),
+        _error(F.col("_instant").isNull(), "ts", MSG_DATETIME),
         _error(~F.coalesce(F.col("type").isin(*EVENT_TYPES), F.lit(False)), "type",
                choice_message(EVENT_TYPES)),
         _error(~F.coalesce(known, F.lit(False)), "payload", MSG_TAG),
@@ -183,7 +185,7 @@ def check_contract(raw: DataFrame) -> DataFrame:
     root = F.array(F.struct(F.lit("<root>").alias("path"), F.lit(MSG_MISMATCH).alias("message")))
     return df.withColumn("errors", F.when(
         (F.size("errors") == 0) & (F.col("type") != p_type), root).otherwise(F.col("errors"))
-    ).drop("_keys")
+    ).drop("_keys", "_instant", "_zoned")
 
 
 def reason(errors: Column) -> Column:
