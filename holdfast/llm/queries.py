@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from holdfast.llm import packing, token_files
+from holdfast.llm import language, packing, token_files, urls
 from holdfast.llm.tables import read_table
 
 
@@ -26,9 +27,47 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   vocabulary_path("byte_bpe_50k.json"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP6_SQL = """
+WITH parsed AS (
+    SELECT page_id, lower(coalesce(url, '')) AS low,
+           coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages),
+sites(rule, verdict, host, path) AS (VALUES
+    ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+    ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+    ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+judged AS (
+    SELECT p.*, (SELECT max_by(s.rule, length(s.rule)) FROM sites s
+                 WHERE (p.host = s.host OR ends_with(p.host, '.' || s.host))
+                   AND starts_with(p.path, s.path)) AS rule
+    FROM parsed p)
+SELECT page_id, j.host, j.path, j.rule,
+       coalesce(s.verdict, CASE WHEN j.host <> '' AND regexp_matches(low,
+           '(^|[^a-z0-9])(spam[^a-z0-9]+farm|adult|porn|casino|viagra|xxx|wp[^a-z0-9]+login|'
+           || 'click[^a-z0-9]+bait)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN sites s ON s.rule = j.rule
+"""
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language.train(docs, learn=~held_out)
+    return language.identify(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_token_files)}
+    return {f.__name__: f for f in (
+        op2_best_fit_packing, op3_token_files, op6_url_filters, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filters": OP6_SQL}
