@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import language, packing, token_files, urls
+from holdfast.llm import decontamination, language, packing, token_files, urls
 from holdfast.llm.tables import read_table
 
 
@@ -17,6 +17,35 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# words of letters and digits, A-Z lower-cased, and their five-word shingles; shorter texts whole
+SHINGLED_SQL = """
+    SELECT id, unnest(CASE WHEN len(w) >= 5
+                      THEN list_distinct(list_transform(range(1, len(w) - 3),
+                                         lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN ['/' || array_to_string(w, ' ')] ELSE [] END) AS shingle
+    FROM (SELECT {id} AS id, regexp_extract_all(translate(text,
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '{word}') AS w FROM {table})
+"""
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(read_table(spark, sf_dir, "documents"),
+                                      read_table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = f"""
+WITH d AS ({SHINGLED_SQL.format(id="doc_id", word=ALNUM, table="documents")}),
+     b AS ({SHINGLED_SQL.format(id="item_id", word=ALNUM, table="benchmark")}),
+     sizes AS (SELECT id, count(*) AS n_item FROM b GROUP BY id),
+     hits AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_found
+              FROM d JOIN b USING (shingle) GROUP BY d.id, b.id)
+SELECT doc_id, item_id, n_found, n_item, n_found / n_item AS containment
+FROM hits JOIN sizes ON sizes.id = item_id WHERE 100 * n_found >= 75 * n_item
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"),
                                   vocabulary_path("word_bpe_49k.json"))
@@ -66,8 +95,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_best_fit_packing, op3_token_files, op6_url_filters, op7_language_id)}
+        op1_decontamination, op2_best_fit_packing, op3_token_files, op6_url_filters, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL}
+    return {"op1_decontamination": OP1_SQL, "op6_url_filters": OP6_SQL}
