@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import decontamination, language, packing, token_files, urls
+from holdfast.llm import decontamination, language, neardup, packing, token_files, urls
 from holdfast.llm.tables import read_table
 
 
@@ -93,10 +93,36 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_components(read_table(spark, sf_dir, "documents"))
+
+
+SPACED = r"[^\x20\x09-\x0D]+"
+OP9_SQL = f"""
+WITH RECURSIVE s AS MATERIALIZED (
+         {SHINGLED_SQL.format(id="doc_id", word=SPACED, table="documents")}),
+     sizes AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY id),
+     links AS MATERIALIZED (
+         SELECT x.a, x.b FROM (SELECT l.id AS a, r.id AS b, count(*) AS met
+                               FROM s l JOIN s r ON l.shingle = r.shingle AND l.id <> r.id
+                               GROUP BY l.id, r.id) x
+         JOIN sizes m ON m.id = x.a JOIN sizes n ON n.id = x.b
+         WHERE 100 * met >= 75 * (m.n + n.n - met)),
+     reach AS (SELECT a AS id, a AS other FROM links
+               UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+     lowest AS (SELECT id, min(other) AS low FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id,
+       coalesce(low, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes ON sizes.id = d.doc_id LEFT JOIN lowest ON lowest.id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontamination, op2_best_fit_packing, op3_token_files, op6_url_filters, op7_language_id)}
+        op1_decontamination, op2_best_fit_packing, op3_token_files, op6_url_filters, op7_language_id,
+        op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op6_url_filters": OP6_SQL}
+    return {"op1_decontamination": OP1_SQL, "op6_url_filters": OP6_SQL,
+            "op9_near_dedup": OP9_SQL}
