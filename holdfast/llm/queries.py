@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import decontamination, language, neardup, packing, token_files, urls
+from holdfast.llm import decontamination, html_text, language, neardup, packing, quality, token_files, urls
 from holdfast.llm.tables import read_table
 
 
@@ -93,6 +93,54 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
+OP8_SQL = r"""
+WITH w AS MATERIALIZED (
+         SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+         FROM documents),
+     grams AS (SELECT doc_id, i, w[i:i + 2] AS g
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+     twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n
+                                      FROM grams) WHERE n > 1),
+     covered AS (SELECT doc_id, count(DISTINCT i + k) AS n
+                 FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+     lines AS MATERIALIZED (
+         SELECT doc_id, host, text, line,
+                trim(regexp_replace(regexp_replace(lower(line), '\p{N}', '0', 'g'),
+                                    '[^\p{L}0]+', ' ', 'g')) AS norm
+         FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM w)),
+     dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines
+              WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+     common AS (SELECT host, norm FROM lines WHERE norm <> ''
+                GROUP BY host, norm HAVING count(DISTINCT text) > 30),
+     sizes AS (SELECT l.doc_id, sum(len(string_split(l.norm, ' '))) AS total,
+                      sum(CASE WHEN c.norm IS NOT NULL THEN len(string_split(l.norm, ' ')) ELSE 0
+                          END) AS removed
+               FROM lines l LEFT JOIN common c ON c.host = l.host AND c.norm = l.norm
+               WHERE l.norm <> '' GROUP BY l.doc_id),
+     counted AS (
+         SELECT w.doc_id, len(w)::BIGINT AS n_words,
+                length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+                coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+                coalesce(total, 0) AS total, coalesce(removed, 0) AS removed
+         FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id)
+         LEFT JOIN sizes USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+       AND 100 * (total - removed) >= 30 * total AS kept
+FROM counted
+"""
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_components(read_table(spark, sf_dir, "documents"))
 
@@ -117,12 +165,16 @@ FROM documents d LEFT JOIN sizes ON sizes.id = d.doc_id LEFT JOIN lowest ON lowe
 """
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_best_fit_packing, op3_token_files, op6_url_filters, op7_language_id,
-        op9_near_dedup)}
+        op8_quality_rules, op9_near_dedup, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontamination": OP1_SQL, "op6_url_filters": OP6_SQL,
-            "op9_near_dedup": OP9_SQL}
+            "op8_quality_rules": OP8_SQL, "op9_near_dedup": OP9_SQL}
