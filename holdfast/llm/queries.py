@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import decontamination, html_text, language, neardup, packing, quality, token_files, urls
+from holdfast.llm import decontamination, html_text, language, licenses, neardup, packing, quality, token_files, urls
 from holdfast.llm.tables import read_table
 
 
@@ -56,6 +56,57 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   vocabulary_path("byte_bpe_50k.json"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda x: x["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", "labels").alias("labels"), "score")
+
+
+def _op5_sql() -> str:
+    templates = ", ".join(
+        f"({n}, '{label}', {licenses.template_words(text)!r})"
+        for n, (label, text) in enumerate(licenses.TEMPLATES))
+    return rf"""
+WITH templates(t, label, words) AS (VALUES {templates}),
+     d AS MATERIALIZED (
+         SELECT doc_id, low, regexp_extract_all(low, '{ALNUM}') AS w
+         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                        'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
+     words AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+     places AS (
+         SELECT doc_id, i - 1 AS start,
+                CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by'
+                     WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'
+                     THEN 'gpl'
+                     WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved'
+                     THEN 'reserved' END AS label FROM words),
+     base AS (SELECT doc_id, count(*) AS n, min(start) AS first_word, max(start) AS last_word
+              FROM places WHERE label IS NOT NULL GROUP BY doc_id),
+     blocks AS (SELECT doc_id, block, regexp_extract_all(line, '{ALNUM}') AS b
+                FROM (SELECT doc_id, unnest(range(len(lines))) AS block, unnest(lines) AS line
+                      FROM (SELECT doc_id, string_split(low, chr(10)) AS lines FROM d))),
+     found AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS share
+               FROM blocks, templates
+               WHERE 10 * len(list_intersect(b, words)) >= 8 * len(words)),
+     labels AS (SELECT doc_id, label FROM found
+                UNION SELECT doc_id, label FROM places WHERE label IS NOT NULL),
+     listed AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels
+                FROM labels GROUP BY doc_id),
+     base_listed AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+                     FROM places WHERE label IS NOT NULL GROUP BY doc_id),
+     nearest AS (SELECT doc_id, max(share) AS score FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN listed USING (doc_id)
+LEFT JOIN base_listed USING (doc_id) LEFT JOIN nearest USING (doc_id)
+"""
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -171,10 +222,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontamination, op2_best_fit_packing, op3_token_files, op6_url_filters, op7_language_id,
+        op1_decontamination, op2_best_fit_packing, op3_token_files, op5_license_scans,
+        op6_url_filters, op7_language_id,
         op8_quality_rules, op9_near_dedup, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op6_url_filters": OP6_SQL,
+    return {"op1_decontamination": OP1_SQL, "op5_license_scans": _op5_sql(),
+            "op6_url_filters": OP6_SQL,
             "op8_quality_rules": OP8_SQL, "op9_near_dedup": OP9_SQL}
