@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import decontamination, html_text, language, licenses, neardup, packing, quality, token_files, urls
+from holdfast.llm import (
+    decontamination,
+    html_text,
+    language,
+    licenses,
+    neardup,
+    packing,
+    quality,
+    secrets,
+    token_files,
+    urls,
+)
 from holdfast.llm.tables import read_table
 
 
@@ -56,6 +67,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   vocabulary_path("byte_bpe_50k.json"))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda x: x["start"])
@@ -222,8 +237,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontamination, op2_best_fit_packing, op3_token_files, op5_license_scans,
-        op6_url_filters, op7_language_id,
+        op1_decontamination, op2_best_fit_packing, op3_token_files, op4_secret_scans,
+        op5_license_scans, op6_url_filters, op7_language_id,
         op8_quality_rules, op9_near_dedup, op10_html_extraction)}
 
 
