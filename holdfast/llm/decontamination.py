@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm import shingles as sh
-from holdfast.llm.tables import id_and_text
+from holdfast.llm.tables import id_and_text, packed_rows
 from holdfast.session import stage
 
 THRESHOLD = 0.75
@@ -156,5 +156,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that contain no item, with all their columns."""
     found = find_items(docs, benchmark, threshold, id_col=id_col, text_col=text_col)
-    bad = found.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = found.select(F.col("doc_id").alias("bad")).distinct()
+    return packed_rows(docs, id_col).join(
+        bad, F.col("key").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

@@ -27,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.llm.tables import packed_rows
 from holdfast.session import stage
 
 MIN_LENGTH = 12
@@ -225,11 +226,11 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float
            id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """All rows and columns, with every secret in the text replaced by REDACTED."""
     secrets = scan(docs, findings, threshold, id_col, text_col, path_col).where("is_secret")
-    by_doc = secrets.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_set("finding").alias("_found"))
-    longest_first = F.array_sort("_found", lambda a, b: F.length(b) - F.length(a))
-    text = F.aggregate(longest_first, F.col(text_col), lambda t, s: F.replace(
+    by_doc = secrets.groupBy(F.col("doc_id").alias("doc")).agg(
+        F.collect_set("finding").alias("found"))
+    longest_first = F.array_sort("found", lambda a, b: F.length(b) - F.length(a))
+    text = F.aggregate(longest_first, F.col("row")[text_col], lambda t, s: F.replace(
         t, s, F.lit(REDACTED)))
-    joined = docs.join(by_doc, docs[id_col].eqNullSafe(F.col("_doc")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(
-        text)).select(*docs.columns)
+    joined = packed_rows(docs, id_col).join(by_doc, F.col("key").eqNullSafe(F.col("doc")), "left")
+    return joined.select(F.when(F.col("found").isNull(), F.col("row")).otherwise(
+        F.col("row").withField(text_col, text)).alias("row")).select("row.*")

@@ -19,3 +19,9 @@ def lower_ascii(text: Column) -> Column:
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; other columns never matter."""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+
+
+def packed_rows(docs: DataFrame, key: str) -> DataFrame:
+    """(row, key): whole rows as one struct, so that no column name can clash in a join."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+                       docs[key].alias("key"))

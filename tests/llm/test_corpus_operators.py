@@ -1,0 +1,446 @@
+"""Each corpus operator against plain Python, and on nulls, ties, empty and odd input."""
+
+import sys
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from holdfast.llm import (
+    decontamination,
+    html_text,
+    language,
+    licenses,
+    neardup,
+    packing,
+    quality,
+    queries,
+    secrets,
+    token_files,
+    urls,
+)
+from holdfast.llm.tables import read_table
+from holdfast.llm.tokens import WordEncoder
+from tests.conftest import ROOT
+from tests.llm import brute
+
+LARGER = ROOT.replace("sf0.001", "sf0.01")
+LONG = " ".join(f"w{i % 977} und{i % 31}." for i in range(30_000))
+ODD = [(0, None), (1, ""), (2, " \n\t "), (3, "word"), (3, "word"), (4, "One. two\n\nThree  four"),
+       (5, LONG), (6, "ÄÖ ß 漢字 \U0001f600 é \0 <|endoftext|> 123"), (None, "an id is null"),
+       (7, "a\r\nb c \n d"), (8, "?!*#| 123 456")]
+CLASHES = ("row", "host", "path", "rule", "verdict", "node", "part", "k", "score", "copy", "held",
+           "low", "words", "lines", "known", "n", "label", "_doc", "_kept")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return read_table(spark, ROOT, "documents")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+def odd(spark, rows=ODD):
+    df = spark.createDataFrame([(d, t, "de", "src0", len(t or "")) for d, t in rows],
+                               "doc_id long, text string, lang string, source string, n_chars int")
+    return df.select("*", *[F.lit(-1).alias(c) for c in CLASHES])
+
+
+def got(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def want(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+# ---------------------------------------------------------------------------- tokens, files
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_word_cache_equals_whole_text_encoding(name, spaced):
+    enc = WordEncoder(queries.vocabulary_path(name), spaced)
+    texts = [t for _, t in ODD if t != LONG] + [
+        "  lead", "trail \n", "a   b\n \n c", "\n\nx\n", "tab\t x\ty", "it's we'll  x",
+        "x\n\0y", "l'été   z", LONG[:5000]]
+    for _ in range(2):  # unknown words, then cached ones
+        flat, sizes = enc.ids(texts)
+        expected = [list(brute.ids(t, name, 1)[:-1]) for t in texts]
+        assert flat.tolist() == [i for x in expected for i in x]
+        assert sizes.tolist() == [len(x) for x in expected]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=" \n\t.ab'é 1-", max_size=40))
+def test_word_cache_on_odd_spacing(text):
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        flat, _ = _encoder(name, spaced).ids([text])
+        assert flat.tolist() == brute.ids(text, name, 1)[:-1].tolist()
+
+
+def _encoder(name, spaced, known={}):
+    if name not in known:
+        known[name] = WordEncoder(queries.vocabulary_path(name), spaced)
+    return known[name]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=50))
+def test_byte_aligned_code_round_trip(ranks):
+    control, payload = token_files.encode(np.array(ranks, "u4"))
+    assert len(control) == -(-len(ranks) // 4)
+    assert token_files.decode(control, payload, len(ranks)).tolist() == ranks
+
+
+def test_token_files_hold_the_corpus_in_order(spark, rows):
+    out = queries.op3_token_files(spark, ROOT)
+    at, expected = 0, []
+    for d, t in sorted(rows):
+        own = brute.ids(t, "byte_bpe_50k.json", 2)
+        expected.append((d, at, len(own), zlib.crc32(own.tobytes())))
+        at += len(own)
+    assert got(out, "doc_id", "start", "n_tokens", "ids_crc32") == want(expected)
+
+
+def test_token_files_of_odd_rows(spark, tmp_path):
+    name = queries.vocabulary_path("byte_bpe_50k.json")
+    token_files.write_token_files(odd(spark), f"{tmp_path}/d", name, 2)
+    out = token_files.read_token_files(spark, f"{tmp_path}/d", ids=True)
+    found = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, tuple(r["ids"]))
+                    for r in out.collect()))
+    assert found == sorted((d is not None, d or 0, tuple(
+        brute.ids(t, "byte_bpe_50k.json", 2).tolist())) for d, t in ODD)
+    starts = sorted((r["start"], r["n_tokens"]) for r in out.collect())
+    assert [a for a, _ in starts] == [0, *np.cumsum([n for _, n in starts])[:-1].tolist()]
+    assert starts[0][1] == len(brute.ids("an id is null", "byte_bpe_50k.json", 2))
+    token_files.write_token_files(odd(spark, []), f"{tmp_path}/e", name, 2)
+    assert token_files.read_token_files(spark, f"{tmp_path}/e").count() == 0
+
+
+# ------------------------------------------------------------------------------------ packing
+def check_packed(out, capacity=4096):
+    used = {}
+    for r in out.select("sequence_id", "offset", "length").collect():
+        used.setdefault(r[0], []).append((r[1], r[2]))
+    for places in used.values():
+        places.sort()
+        assert [a for a, _ in places] == [0, *np.cumsum([n for _, n in places])[:-1].tolist()]
+        assert sum(n for _, n in places) <= capacity
+    return len(used), sum(n for p in used.values() for _, n in p)
+
+
+def test_packing_of_the_corpus(spark, rows):
+    out = queries.op2_best_fit_packing(spark, ROOT).cache()
+    assert got(out, "doc_id", "piece", "start", "length", "ids_crc32") == want(brute.pieces(rows))
+    n, tokens = check_packed(out)
+    assert n <= -(-tokens // 4096) + 1
+
+
+def test_packing_of_odd_rows(spark):
+    name = queries.vocabulary_path("word_bpe_49k.json")
+    out = packing.pack_documents(odd(spark), name)
+    assert got(out, "doc_id", "piece", "start", "length", "ids_crc32") == want(brute.pieces(ODD))
+    check_packed(out)
+    assert packing.pack_documents(odd(spark, []), name).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
+def test_plans_hold_exactly_the_histogram(histogram):
+    left = dict(histogram)
+    for pattern, times in packing.plan_sequences(histogram, 64):
+        assert sum(a * b for a, b in pattern) <= 64
+        for length, often in pattern:
+            left[length] -= often * times
+    assert not any(left.values())
+
+
+def test_plans_are_close_to_the_bound():
+    lengths = np.clip(np.random.default_rng(3).lognormal(6.5, 1.0, 20_000), 1, 4095).astype(int)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+    n = sum(t for _, t in packing.plan_sequences(histogram, 4096))
+    assert n <= -(-lengths.sum() // 4096) * 1.002 + 1
+
+
+# --------------------------------------------------------------------------- decontamination
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_SHINGLES, 0])
+def test_items_are_found_in_documents(spark, docs, rows, limit):
+    bench = read_table(spark, ROOT, "benchmark")
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    out = decontamination.find_items(docs, bench, broadcast_shingles=limit)
+    expected = want(brute.items_found(rows, items))
+    assert expected and got(out, "doc_id", "item_id", "n_found", "n_item") == expected
+
+
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_SHINGLES, 0])
+def test_odd_items_and_documents(spark, limit):
+    passage = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    edited = passage.replace("today", "now").upper() + "!"
+    items = [(1, passage), (2, None), (3, ""), (4, "word"), (4, "word"), (None, "two words"),
+             (5, passage)]
+    rows = [*ODD, (9, LONG + " -- " + passage + " ++ " + LONG), (10, edited), (11, "two, WORDS"),
+            (12, "two words more"), (9, LONG + " -- " + passage + " ++ " + LONG)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.find_items(odd(spark, rows), bench, broadcast_shingles=limit)
+    assert got(out, "doc_id", "item_id", "n_found", "n_item") == want(
+        set(brute.items_found(rows, items)))
+    kept = decontamination.drop_contaminated(odd(spark, rows), bench)
+    assert sorted(r[0] or -1 for r in kept.select("doc_id").collect()) == sorted(
+        d or -1 for d, _ in rows if d not in (3, 9, 10, 11))
+    none = decontamination.find_items(odd(spark), bench.limit(0), broadcast_shingles=limit)
+    assert none.count() == 0
+
+
+# ----------------------------------------------------------------------------------- secrets
+def test_secrets_are_told_from_look_alikes(spark):
+    sha = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [*ODD, (20, f'words token = "{sha}" words and token = "{sha}" again'),
+            (21, f'THE!! TOKEN = "{sha.upper()}"!! END!!'), (22, f"commit {sha} of the tree"),
+            (23, "card 4785380592391139 and 152.143.123.131 and mail6.example.com1"),
+            (24, 'password = "xxxxxxxxxxxx1234"'), (25, 'api_key="' + sha[:32] + '";')]
+    out = secrets.scan(odd(spark, rows)).collect()
+    secret = sorted((r["doc_id"], r["word_index"]) for r in out if r["is_secret"])
+    assert secret == [(20, 3), (20, 8), (21, 3), (25, 0)]
+    assert {r["doc_id"] for r in out if not r["is_secret"]} >= {22, 23, 24}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(odd(spark, rows)).collect()}
+    assert clean[20] == 'words token = "[SECRET]" words and token = "[SECRET]" again'
+    assert clean[22].startswith("commit 24be") and clean[0] is None and clean[5] == LONG
+    assert secrets.redact(odd(spark, rows)).count() == len(rows)
+    assert secrets.scan(odd(spark, [])).count() == 0
+
+
+def test_every_planted_key_of_the_corpus_is_found(spark):
+    import re
+
+    docs = read_table(spark, LARGER, "documents").select("doc_id", "text").collect()
+    planted = sorted((d, m) for d, t in docs for m in re.findall(
+        r'(?i)token = "([0-9a-f]{40})"', t or ""))
+    out = queries.op4_secret_scans(spark, LARGER).where("is_secret")
+    assert planted and got(out, "doc_id", "finding") == want(planted)
+
+
+# ---------------------------------------------------------------------------------- licenses
+def test_license_places(spark, rows):
+    more = [*ODD, (30, "CC-BY cc by. All  rights\nreserved; GNU general public license v3"),
+            (31, "x\n  Released, under the MIT license!\n y"), (32, "licensed under apache only"),
+            (33, "under the license version 2.0, licensed by Apache")]
+    out = licenses.scan(odd(spark, more)).select(
+        "doc_id", "n_words", F.size("places").alias("n"),
+        F.array_min("places")["start"].alias("first"),
+        F.array_max("places")["start"].alias("last"), F.concat_ws(",", "base_labels").alias("base"))
+    assert got(out, *out.columns) == want((d, *brute.license_base(t)) for d, t in more)
+    labels = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(odd(spark, more))
+              .collect()}
+    assert labels[31] == (["mit"], 1.0) and labels[32][0] == [] and labels[0] == ([], 0.0)
+    assert labels[33] == (["apache-2.0"], 1.0)
+    assert labels[30][1] == 1.0 and set(labels[30][0]) >= {"cc-by", "gpl", "reserved"}
+    assert licenses.scan(odd(spark, [])).count() == 0
+    found = queries.op5_license_scans(spark, ROOT)
+    assert got(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == (
+        want((d, *brute.license_base(t)) for d, t in rows))
+
+
+# -------------------------------------------------------------------------------------- urls
+def test_site_rules_and_word_rules(spark):
+    cases = {
+        "https://WWW.Example.com/en/x?q#f": ("www.example.com", "/en/x", "www.example.com/en/",
+                                             "allow"),
+        "http://a.www.example.com/en/": ("a.www.example.com", "/en/", "www.example.com/en/",
+                                         "allow"),
+        "http://example.com/en/a": ("example.com", "/en/a", "example.com/en/", "block"),
+        "http://blog.example.com/de/a": ("blog.example.com", "/de/a", "com/", "allow"),
+        "http://notexample.com/en/a": ("notexample.com", "/en/a", "com/", "allow"),
+        "http://x.net/es/": ("x.net", "/es/", "net/es/", "block"),
+        "http://x.net/esp/": ("x.net", "/esp/", None, "allow"),
+        "http://x.com": ("x.com", "", "com/", "allow"),
+        "http://spam-farm.example.org/en/1": ("spam-farm.example.org", "/en/1", None, "block"),
+        "http://spamfarm.example.org/": ("spamfarm.example.org", "/", None, "allow"),
+        "no scheme.com/en/": ("", "", None, "allow"), None: ("", "", None, "allow"),
+        "://h/p": ("h", "/p", None, "allow"), "": ("", "", None, "allow")}
+    cases["http://x.com"] = ("x.com", "", None, "allow")  # no path that starts with `/`
+    df = spark.createDataFrame([(u, 7) for u in [*cases, *cases]], "url string, host int")
+    out = urls.judge(df)
+    assert got(out, "url", "host", "path", "rule", "verdict") == want(
+        [(u, *v) for u, v in cases.items()] * 2)
+    assert urls.judge(df.limit(0)).count() == 0
+    assert urls.judge(df, []).where("verdict = 'allow'").count() == 2 * len(cases)
+
+
+# ---------------------------------------------------------------------------------- language
+def test_language_of_held_out_documents(spark, docs):
+    out = queries.op7_language_id(spark, ROOT)
+    joined = out.join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    good = joined.where("lang = lang_pred").count() / joined.count()
+    assert good >= 0.97 and out.count() == docs.count()
+    assert out.where("score < 0 OR score > 1").count() == 0
+
+
+def test_language_of_odd_rows(spark, docs):
+    model = language.train(docs)
+    out = {r["doc_id"]: r for r in language.identify(odd(spark), model).collect()}
+    assert {d for d, r in out.items() if r["lang_pred"] == "und"} == {0, 1, 2, 8}
+    assert out[0]["score"] == 0.0 and len(out) == len({d for d, _ in ODD})
+    kept = language.keep_identified(odd(spark), model)
+    assert kept.columns == odd(spark).columns and kept.count() == len(ODD) - 4
+    none = language.train(docs.limit(0))
+    assert {r["lang_pred"] for r in language.identify(odd(spark), none).collect()} == {"und"}
+    assert language.identify(odd(spark, []), model).count() == 0
+
+
+# ----------------------------------------------------------------------------------- quality
+def test_quality_counts(spark, rows):
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+               "base_failed")
+    more = [*ODD, (40, "a b c a b c a"), (41, "x\ny\nx\n\n \nx"), (42, "a b a b a b " * 20)]
+    assert got(quality.judge(odd(spark, more)), *columns) == want(
+        (d, *brute.quality(t)) for d, t in more)
+    assert got(queries.op8_quality_rules(spark, ROOT), *columns) == want(
+        (d, *brute.quality(t)) for d, t in rows)
+    assert quality.judge(odd(spark, [])).count() == 0
+
+
+def test_frequent_lines_condemn_depleted_documents_only(spark):
+    menu = " ".join(f"{i}{j}x" for i in "abcdefgh" for j in "abcdefghij")
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    own = lambda k: " ".join("".join(w) for w in np.random.default_rng(k).choice(
+        letters, (70, 7)))
+    rows = [(k, menu + "\n" + chr(97 + k) * 3) for k in range(6)]
+    rows += [(10, menu + "\n" + own(3)), (11, own(5)), (12, own(5)), *[(13, own(7))] * 9]
+    out = {r["doc_id"]: r["kept"] for r in quality.judge(odd(spark, rows), max_texts=4).collect()}
+    assert out == {**{k: False for k in range(6)}, 10: True, 11: True, 12: True, 13: True}
+
+
+# ------------------------------------------------------------------------------ near-duplicates
+def near(df):
+    return got(neardup.link_components(df), "doc_id", "n_shingles", "component_id")
+
+
+def test_components_of_the_corpus(spark, rows):
+    assert got(queries.op9_near_dedup(spark, ROOT), "doc_id", "n_shingles", "component_id") == (
+        want(brute.near_components(rows)))
+
+
+def edited(rng, words, share):
+    words = list(words)
+    for k in rng.integers(0, len(words), int(len(words) * share)):
+        words[k] = f"new{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_families_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{rng.integers(500)}" for _ in range(220)]
+        rows += [(len(rows) + k, edited(rng, base, s)) for k, s in enumerate(
+            rng.choice([0.0, 0.005, 0.02, 0.03, 0.04, 0.06], 25))]
+    chain = [f"c{k}" for k in range(400)]  # neighbours are linked, ends are not
+    rows += [(500 + k, " ".join(chain[8 * k:8 * k + 160])) for k in range(20)]
+    rows = [(int(d), t) for d, t in rows]
+    assert near(odd(spark, rows)) == want(brute.near_components(rows))
+
+
+def test_odd_rows_and_kept_documents(spark):
+    rows = [r for r in ODD if r[0] is not None]
+    assert near(odd(spark, rows)) == want(brute.near_components(rows))
+    out = neardup.link_components(odd(spark, [*ODD, (50, LONG), (51, "an id is null")]))
+    found = {r["doc_id"]: (r["component_id"], r["kept"]) for r in out.collect()}
+    assert found[50] == (5, False) and found[0] == (0, True) and found[51] == (51, True)
+    assert found[None] == (51, False)
+    kept = neardup.keep_first_of_each(odd(spark, [*rows, (50, LONG)]))
+    assert kept.columns == odd(spark).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in rows)
+    assert neardup.link_components(odd(spark, [])).count() == 0
+
+
+# -------------------------------------------------------------------------------------- html
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";
+</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
+<div class="cookie-notice">We use cookies</div><article class="post"><header><h1>Head  line</h1>
+</header><p>First <b>bold</b>&nbsp;&amp; more<br>text<p>Second, un<i>broken</i></p><!-- no -->
+<div class="ad">Buy</div><blockquote>Quoted &lt;b&gt;</blockquote></article>
+<section id="comments"><article class="comment"><p>Nice!</p></article></section>
+<aside>Side</aside><form><p>Mail</p><input></form><footer>&copy; 2024</footer></body></html>"""
+
+
+def test_main_text_of_a_page():
+    assert html_text.main_text(PAGE) == (
+        "Head line\nFirst bold & more text\nSecond, unbroken\nQuoted <b>")
+
+
+def test_main_text_without_an_article_element():
+    menu = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+    body = "".join(f"<p>{'sentence of some length ' * 5}{k}.</p>" for k in range(4))
+    html = f"<body>{menu}<div id=content>{body}</div>{menu * 5}<p>ok</p>"
+    lines = html_text.main_text(html).split("\n")
+    assert len(lines) == 4 and lines[0].endswith("0.") and lines[3].endswith("3.")
+
+
+def test_odd_pages(spark):
+    cases = {1: (None, ""), 2: ("", ""), 3: ("<p>", ""), 4: ("a < b <3", "a < b <3"),
+             5: ("<div>x<div>y", "x\ny"), 6: ("<script>never ends", ""), 7: ("<p>one</div></p>two",
+                                                                            "one\ntwo"),
+             8: ("<p>" + "long " * 200_000, ("long " * 200_000).strip()), 9: ("<a", "<a")}
+    df = spark.createDataFrame([(k, "u", h, "t") for k, (h, _) in [*cases.items(), (9, ("<a", 0))]],
+                               "page_id int, url string, html string, text string")
+    out = html_text.extract(df)
+    assert got(out, "page_id", "text", "n_chars") == want(
+        [(k, t, len(t)) for k, (_, t) in [*cases.items(), (9, ("", "<a"))]])
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pages_of_the_corpus(spark):
+    import re
+    from html import unescape
+
+    out = {r["page_id"]: r["text"] for r in queries.op10_html_extraction(spark, ROOT).collect()}
+    for r in read_table(spark, ROOT, "pages").collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split())
+                  for b in re.split(r"</?(?:p|h1)>", inner)]
+        assert out[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+# ---------------------------------------------------------------------------------- pipeline
+def test_pipeline_against_brute_force(spark, rows):
+    import re
+
+    import corpus_pipeline
+
+    bench = [(r["item_id"], r["text"]) for r in read_table(spark, ROOT, "benchmark").collect()]
+    left = [(d, t) for d, t in rows if any(c.isalpha() for c in t or "")]
+    first = {c for _, _, c in brute.near_components(left)}
+    left = [(d, t) for d, t in left if d in first]
+    bad = {d for d, *_ in brute.items_found(left, bench)}
+    clean = [(d, re.sub(r'(?i)(token = ")[0-9a-f]{40}(")', r"\1[SECRET]\2", t))
+             for d, t in left if d not in bad]
+    out = corpus_pipeline.run(spark, ROOT).cache()
+    assert got(out, "doc_id", "piece", "start", "length", "ids_crc32") == want(
+        brute.pieces(clean))
+    check_packed(out)
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_pipeline_stages_on_odd_rows(spark, n):
+    import corpus_pipeline
+
+    rows = [*ODD, (60, "ein Satz der bleibt"), (61, "ein Satz der auch bleibt")] if n else []
+    docs = odd(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, ROOT)
+        assert set(docs.columns) == set(odd(spark).columns)
+    assert (corpus_pipeline.STAGES[-1][1](spark, docs, ROOT).count() > 0) == bool(n)
+
+
+def test_subpackage_is_imported_by_nothing_else():
+    import subprocess
+
+    code = ("import sys; import holdfast.checks.queries; "
+            "assert not [m for m in sys.modules if m.startswith('holdfast.llm')]")
+    subprocess.run([sys.executable, "-c", code], check=True)
