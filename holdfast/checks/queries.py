@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,13 @@ from pyspark.sql import functions as F
 from holdfast.checks import duck
 from holdfast.checks.workspace import ML_POLICY, REPLAYED, Workspace, workspace
 from holdfast.config import (
-    DECISION_ID_NAMESPACE,
     EVENT_ID_NAMESPACE,
     REJECT_ID_NAMESPACE,
     SETTINGS,
     candidate_rows,
 )
 from holdfast.functions import draws, ids, ordering
-from holdfast.functions.numbers import day_index, ratio
+from holdfast.functions.numbers import day_index
 from holdfast.functions.text import normalize_identifier
 from holdfast.operators import asof, bootstrap, evaluation, gateway, mart, mart_checks, measures
 from holdfast.operators import candidates as ac
@@ -39,6 +39,7 @@ from holdfast.plans import ingest as ing
 from holdfast.plans import replay as rp
 from holdfast.session import shared_dir, stage
 from holdfast.sources import adapters, fixtures, tables
+from holdfast.streaming import streams as st
 
 S = SETTINGS
 
@@ -84,9 +85,9 @@ def scratch(ws: Workspace, name: str) -> str:
 @report("table_read", "SRC-1", """
 SELECT l_returnflag, l_linestatus, count(*) AS n_lines,
   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
-FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY ALL""")
+FROM lineitem GROUP BY ALL""")
 def _(ws):
-    return ws.table("lineitem").where(F.col("l_shipdate") < "2000-01-01").groupBy(
+    return ws.table("lineitem").groupBy(
         "l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
@@ -367,6 +368,94 @@ def _(ws):
     return normalize_identifier(rows, "spelled", "identifier")
 
 
+# ================================================================== streams
+def _files(ws: Workspace, name: str, *parts: DataFrame) -> str:
+    """A folder with the parts appended one after another, each in one file: a micro-batch each."""
+    path = scratch(ws, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _drained(ws: Workspace, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all that is there, into a table."""
+    path = scratch(ws, name)
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
+        "checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return ws.spark.read.schema(stream.schema).parquet(path)
+
+
+def _source(ws: Workspace, df: DataFrame, path: str) -> DataFrame:
+    return ws.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@report("stream_contract_split", "ST-1", f"""
+SELECT DISTINCT 'landed' AS outcome, event_id AS id FROM good UNION ALL
+SELECT DISTINCT 'rejected', {duck.uuid5(REJECT_ID_NAMESPACE, "raw_record || '|' || reason || '|contract'")}
+FROM (SELECT reason, CAST(json_object('customer_id', customer_id, 'event_id', event_id, 'payload', payload,
+    'session_id', session_id, 'source', 'simulator', 'ts', ts, 'type', type) AS VARCHAR) AS raw_record
+  FROM judged_raw WHERE reason IS NOT NULL)""")
+def _(ws):
+    raw = ws.raw
+    third = F.pmod(F.hash("event_id"), F.lit(3))
+    source = _files(ws, "raw-files", *[raw.where(third == k) for k in range(3)])
+    events, rejects, log = (scratch(ws, n) for n in ("landing", "quarantine", "split-log"))
+    st.split_stream(st.read_raw_stream(ws.spark, source), events, rejects, log).awaitTermination()
+    landed, refused = ws.spark.read.parquet(events), ws.spark.read.parquet(rejects)
+    return landed.select(F.lit("landed").alias("outcome"), F.col("event_id").alias("id")).unionByName(
+        refused.select(F.lit("rejected").alias("outcome"), F.col("reject_id").alias("id")).distinct())
+
+
+@report("stream_deduplicated", "ST-2", "SELECT event_id, type FROM ev")
+def _(ws):
+    rows = ws.events.select("event_id", "type", "ts")
+    stream = _source(ws, rows, _files(ws, "twice", rows, rows))
+    return _drained(ws, st.dedupe_stream(stream), "once").select("event_id", "type")
+
+
+@report("stream_session_order", "ST-3", """
+SELECT event_id, row_number() OVER (PARTITION BY session_id, ts ORDER BY event_id) = 1 AS accepted FROM ev""")
+def _(ws):
+    rows = ws.events.select("event_id", "customer_id", "session_id", "ts")
+    day = day_index(F.col("ts"), S.start_date)
+    cuts = [day < 10, (day >= 10) & (day < 20), day >= 20]
+    stream = _source(ws, rows, _files(ws, "sessions", *[rows.where(c) for c in cuts]))
+    return _drained(ws, st.session_order_stream(stream), "ordered").select("event_id", "accepted")
+
+
+@report("stream_message_fatigue", "ST-4", f"""
+SELECT customer_id, strftime(window_start, {DUCK_TS}) AS window_start, count(*) AS message_fatigue_count FROM (
+  SELECT customer_id, date_trunc('day', ts) - to_days(CAST(unnest(range(0, 14)) AS INTEGER)) AS window_start
+  FROM ev WHERE type IN ('campaign_exposure', 'action_delivered')) GROUP BY ALL""")
+def _(ws):
+    rows = ws.events.select("customer_id", "type", "ts")
+    # a later message of nobody's closes every window
+    closing = rows.agg(F.lit("").alias("customer_id"), F.lit("campaign_exposure").alias("type"),
+                       (F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+    stream = _source(ws, rows, _files(ws, "messages", rows, closing))
+    return _drained(ws, st.fatigue_stream(stream), "fatigue").where("customer_id <> ''").select(
+        "customer_id", text_ts("window_start").alias("window_start"), "message_fatigue_count")
+
+
+@report("stream_reject_alarm", "ST-5", f"""
+SELECT count(*) AS rows_in, count(*) FILTER (reason IS NOT NULL) AS rows_rejected,
+  count(*) FILTER (reason IS NOT NULL) / count(*) > {S.max_reject_rate} AS alarm FROM judged_raw""")
+def _(ws):
+    source = _files(ws, "watched", ws.raw)
+    watched = st.observed(q.check_contract(st.read_raw_stream(ws.spark, source)))
+    path = scratch(ws, "watched-out")
+    query = watched.select("event_id").writeStream.format("parquet").option("path", path).option(
+        "checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p["observedMetrics"]["ingest"] for p in query.recentProgress
+            if p["observedMetrics"].get("ingest")]
+    total = [int(sum(m[c] for m in seen)) for c in ("rows_in", "rows_rejected")]
+    alarm = st.reject_alarm({"observedMetrics": {"ingest": dict(zip(
+        ("rows_in", "rows_rejected"), total))}})
+    return ws.spark.createDataFrame([(*total, alarm)],
+                                    "rows_in long, rows_rejected long, alarm boolean")
+
+
 # ================================================================== features
 def _feature(name: str, item: str, column: str, sql: str):
     @report(name, item, f"SELECT customer_id, day, {sql} AS {column} FROM grid")
@@ -1034,9 +1123,8 @@ def _(ws):
     cols = cx.model_columns(ws.categories)
     score = lambda df: po.expected_value_scores(
         model.members(df, cols, _arms()), "members", model.n_members)
-    days = S.decision_days[::7]
     return rp.replay_with_model(ws.with_probabilities(ws.contexts), "expected_value_logistic",
-                                score, days=days, min_confidence=S.min_confidence).drop("reasoning")
+                                score, days=S.decision_days, min_confidence=S.min_confidence).drop("reasoning")
 
 
 # ================================================================== segmentation
@@ -1070,8 +1158,9 @@ def _(ws):
 @report("segments_kmeans", "SG-4")
 def _(ws):
     matrix = sg.segment_matrix(ws.snapshot)
-    model = sg.kmeans(matrix, S.kmeans_k[0], S.seeds["models"])
-    return sg.kmeans_labels(matrix, model)
+    fits = [sg.kmeans_labels(matrix, sg.kmeans(matrix, k, S.seeds["models"])).select(
+        F.lit(k).alias("k"), "customer_id", "segment_id") for k in S.kmeans_k]
+    return reduce(DataFrame.unionByName, fits)
 
 
 @report("segment_balance", "SG-5, SG-8", f"""
@@ -1099,7 +1188,7 @@ def _(ws):
     return sg.adjusted_rand(pairs).select(r6("ari"))
 
 
-_DIST = "sqrt(" + " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(len(S.segment_features))) + ")"
+_DIST = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(len(S.segment_features)))
 
 
 @report("segment_silhouette", "SG-7", f"""

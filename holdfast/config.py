@@ -98,7 +98,6 @@ class Settings:
     validation_end_day: int = 23
     warmup_days: int = 14
     decision_days: tuple[int, ...] = tuple(range(23, 31))
-    replay_every_days: int = 1
     initial_stock: int = 250
     low_stock_threshold: int = 20
     max_reject_rate: float = 0.001
@@ -128,7 +127,6 @@ class Settings:
     logistic_max_iter: int = 3000
     gbm_rounds: int = 250
     gbm_step: float = 0.05
-    gbm_leaves: int = 15
     gbm_min_leaf_rows: int = 300
     gbm_row_share: float = 0.8
     gbm_feature_share: float = 0.8
@@ -151,8 +149,7 @@ class Settings:
     kmeans_k: tuple[int, ...] = (3, 4, 5, 6)
     min_segment_share: float = 0.05
     max_segments: int = 6
-    stability_resamples: int = 5
-    silhouette_sample: int = 3000
+    fixture_splits: int = 8  # exchange width of the single-file test tables
     sensitivity_factor: float = 0.5
     lapsed_after_days: int = 60
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from holdfast.session import stage
 
 GRAIN = 4096
-TIE_SLICES = 64
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.config import SETTINGS, Settings
 from holdfast.functions.draws import draw_bits
 from holdfast.functions.ordering import number_rows
 
@@ -60,7 +59,3 @@ def per_customer(log: DataFrame, customers: DataFrame, column: str) -> DataFrame
     sums = log.groupBy("customer_id").agg(F.sum(F.col(column).cast("double")).alias(column))
     return customers.select("customer_id").join(sums, "customer_id", "left").select(
         "customer_id", F.coalesce(column, F.lit(0.0)).alias(column))
-
-
-def settings_seed(settings: Settings = SETTINGS) -> int:
-    return settings.seeds["bootstrap"]

@@ -178,11 +178,6 @@ def contexts(grid: DataFrame, events: DataFrame, catalog: DataFrame, inventory:
         "margin_rate", "order_value_cents")
 
 
-def eligible_order(df: DataFrame) -> DataFrame:
-    """Customers in numeric-style id order: shorter ids first, then by text."""
-    return df.orderBy(F.length("customer_id"), "customer_id")
-
-
 # ------------------------------------------------------------------------------ model inputs
 MODEL_FEATURES = (
     "has_ordered", "rfm_recency_days", "rfm_frequency_count", "rfm_monetary_cents",

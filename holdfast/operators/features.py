@@ -333,10 +333,6 @@ def feature_grid(events: DataFrame, settings: Settings = SETTINGS, nfc: bool = T
 _GRID_INPUTS = tuple(ROLLING)
 
 
-def affinity_json(column: Column) -> Column:
-    return F.to_json(column)
-
-
 # ----------------------------------------------------------------------------------- lookup
 def features_as_of(events: DataFrame, ids: DataFrame, nfc: bool = True) -> DataFrame:
     """Features of `ids (customer_id, as_of)` at arbitrary instants; unknown ids get defaults.

@@ -401,10 +401,6 @@ def landed_events(events: DataFrame, decisive: DataFrame,
     return keep_first(rows, ["event_id"], ["customer_id", "ts", "event_id"])
 
 
-def canonical_order(events: DataFrame) -> DataFrame:
-    return events.orderBy("customer_id", "ts", "event_id")
-
-
 class RejectRateExceeded(RuntimeError):
     pass
 

@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.config import MCDA_CRITERIA, SETTINGS, Settings
-from holdfast.functions.draws import draw_bits
 from holdfast.functions.numbers import day_index, ratio
 
 RFM_NAMES = {0: "new_or_browsing", 1: "lapsed_buyer", 2: "active_buyer", 3: "loyal_high_value"}
 BROWSER_NAMES = ("engaged_browsers", "occasional_browsers", "light_browsers")
-SINGLE_SEGMENT = "all_customers"
-INTERPRETABILITY = {"rfm_rules": 1.0, "kmeans": 0.5}
 
 
 def snapshot(grid: DataFrame, events: DataFrame, day: int,
@@ -135,50 +130,36 @@ def adjusted_rand(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
         (F.col("both") - expected) / F.nullif(top - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
 
-def hash_sample(df: DataFrame, size: int, seed: int | str, key: str = "customer_id") -> DataFrame:
-    """A seeded sample without replacement: the `size` smallest hash draws (a distributed
-    top-k)."""
-    return df.withColumn("_d", draw_bits(seed, F.col(key))).orderBy("_d", key).limit(size).drop("_d")
+def silhouette(points: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """Mean silhouette of all points under squared Euclidean distance.
 
-
-def silhouette(points: DataFrame, settings: Settings = SETTINGS, seed: int | str = 0) -> DataFrame:
-    """Mean Euclidean silhouette over a sample of at most `silhouette_sample` points.
-
-    The sample is the operator's definition and is small (a few thousand short vectors), so it
-    is broadcast; tasks compute their rows' mean distance to each cluster and emit one row per
-    point, never pairs.
+    The mean squared distance of a point x to a cluster of n points with sum S and squared norms
+    Q is |x|^2 + Q / n - 2 x.S / n, so three sums per cluster replace all pairs. A point alone in
+    its cluster scores 0; fewer than two clusters score -1.
     """
     names = list(settings.segment_features)
-    sample = hash_sample(points.select("customer_id", "segment_id", *names),
-                         settings.silhouette_sample, seed)
-    local = sample.toPandas()
-    if local["segment_id"].nunique() < 2:
-        return points.sparkSession.range(1).select(F.lit(-1.0).alias("silhouette"))
-    spark = points.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (local[names].to_numpy(dtype=float), local["segment_id"].to_numpy()))
-
-    def score(batches):
-        x, labels = shared.value
-        kinds = np.unique(labels)
-        sizes = {k: int((labels == k).sum()) for k in kinds}
-        for pdf in batches:
-            own = pdf[names].to_numpy(dtype=float)
-            mine = pdf["segment_id"].to_numpy()
-            dist = np.sqrt(((own[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-            sums = np.stack([dist[:, labels == k].sum(axis=1) for k in kinds], axis=1)
-            out = np.zeros(len(pdf))
-            for i, label in enumerate(mine):
-                at = int(np.searchsorted(kinds, label))
-                if sizes[label] < 2:
-                    continue
-                inside = sums[i, at] / (sizes[label] - 1)
-                outside = min(sums[i, j] / sizes[k] for j, k in enumerate(kinds) if k != label)
-                out[i] = (outside - inside) / max(inside, outside)
-            yield pd.DataFrame({"s": out})
-
-    rows = spark.createDataFrame(local).repartition(8)
-    return rows.mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette"))
+    norm = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
+    per = points.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(norm).alias("q"),
+        F.array(*[F.sum(n) for n in names]).alias("s"))
+    # one row: as many structs as there are clusters
+    clusters = per.agg(F.collect_list(F.struct("segment_id", "n", "q", "s")).alias("c")).scalar()
+    x = F.array(*[F.col(n) for n in names])
+
+    def mean_to(c: Column) -> Column:
+        dot = F.aggregate(F.zip_with(x, c["s"], lambda a, b: a * b), F.lit(0.0),
+                          lambda acc, v: acc + v)
+        return norm + c["q"] / c["n"] - 2 * dot / c["n"]
+
+    placed = points.select("segment_id", *names).withColumn("_c", clusters)
+    mine = F.get(F.filter("_c", lambda c: c["segment_id"] == F.col("segment_id")), F.lit(0))
+    inside = mean_to(mine) * mine["n"] / (mine["n"] - 1)
+    outside = F.array_min(F.transform(F.filter(
+        "_c", lambda c: c["segment_id"] != F.col("segment_id")), mean_to))
+    top = F.greatest(inside, outside)
+    score = F.when(F.size("_c") < 2, -1.0).when(mine["n"] < 2, 0.0).otherwise(
+        F.coalesce((outside - inside) / F.nullif(top, F.lit(0.0)), F.lit(0.0)))
+    return placed.agg(F.coalesce(F.avg(score), F.lit(-1.0)).alias("silhouette"))
 
 
 # ----------------------------------------------------------------------------------- TOPSIS

@@ -121,17 +121,6 @@ def _broken() -> dict[str, Column]:
     }
 
 
-INVARIANTS = (
-    "none not considered", "wait not considered", "duplicate candidate",
-    "unknown candidate in trace", "filtered candidate scored", "filtering rule did not fire",
-    "runner-up without reason", "runner-up not scored", "runner-up is the choice",
-    "choice not considered", "choice filtered", "choice not scored",
-    "choice of another archetype", "interval misses estimate", "estimate null without reason",
-    "interval null without reason", "confidence null without reason",
-    "confidence outside [0, 1]", "review without reason", "blank reasoning",
-)
-
-
 def invariant_violations(records: DataFrame) -> DataFrame:
     """(decision_id, invariant) for every broken invariant; empty when all hold."""
     broken = _broken()

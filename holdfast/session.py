@@ -67,12 +67,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise to shared storage so that a lost executor never replays the whole chain."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: a stage hand-over in columns."""
     spark = df.sparkSession
@@ -82,8 +76,6 @@ def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a source with fewer splits than cores one round-robin exchange; keyless, so a hot
-    key stays spread. Sources with enough splits pass through."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, parts: int) -> DataFrame:
+    """One round-robin exchange into `parts`; keyless, so a hot key stays spread."""
+    return df.repartition(parts)

@@ -83,7 +83,7 @@ def _payload() -> Column:
 
 def events(spark: SparkSession, root: str) -> DataFrame:
     """The canonical event log."""
-    raw = spread(read_table(spark, root, "events")).select(
+    raw = spread(read_table(spark, root, "events"), SETTINGS.fixture_splits).select(
         "event_id", utc("ts").alias("ts"), F.col("user_id").cast("string").alias("customer_id"),
         F.col("event_type").alias("kind"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
