@@ -7,7 +7,7 @@ the end of day d - 1.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +36,10 @@ def exposure_days(events: DataFrame, settings: Settings = SETTINGS) -> DataFrame
         F.count(F.lit(1)).alias("n"))
 
 
-def contact_history(events: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def contact_history(events: DataFrame, settings: Settings = SETTINGS,
+                    windows: Sequence[int] = (WEEK, FORTNIGHT)) -> DataFrame:
     """(customer, day) for every day after the first active one: first day seen and contacts
-    of the last 7 and 14 days and in all, each strictly before `day`.
+    of the last `windows` days (contacts_7d and so on) and in all, each strictly before `day`.
 
     Counts per calendar day become steps (+n the day after, -n when the window closes) and a
     running sum per customer, as in the feature grid; no list of contacts is ever built.
@@ -48,19 +49,19 @@ def contact_history(events: DataFrame, settings: Settings = SETTINGS) -> DataFra
         "customer_id", day_index(F.col("ts"), settings.start_date).alias("c")).agg(
         F.count_if(F.col("type") == "campaign_exposure").alias("n"))
     c, n, zero = F.col("c"), F.col("n"), F.lit(0).cast("long")
+    names = [f"contacts_{w}d" for w in windows]
 
-    def step(day, week, fortnight, total, seen):
-        return F.struct(F.greatest(day, zero).alias("day"), week.alias("contacts_7d"),
-                        fortnight.alias("contacts_14d"), total.alias("contacts_total"),
-                        seen.alias("first_day"))
+    def step(day: Column, total: Column, seen: Column, **moves: Column) -> Column:
+        return F.struct(F.greatest(day, zero).alias("day"),
+                        *[moves.get(name, zero).alias(name) for name in names],
+                        total.alias("contacts_total"), seen.alias("first_day"))
 
     gone = F.lit(None).cast("long")
-    steps = F.array(
-        step(c + 1, F.when(c + WEEK >= 0, n).otherwise(zero),
-             F.when(c + FORTNIGHT >= 0, n).otherwise(zero), n, c),
-        F.when(c + WEEK >= 0, step(c + WEEK + 1, -n, zero, zero, gone)),
-        F.when(c + FORTNIGHT >= 0, step(c + FORTNIGHT + 1, zero, -n, zero, gone)))
-    sums = ("contacts_7d", "contacts_14d", "contacts_total")
+    opened = {name: F.when(c + w >= 0, n).otherwise(zero) for name, w in zip(names, windows)}
+    steps = F.array(step(c + 1, n, c, **opened), *[
+        F.when(c + w >= 0, step(c + w + 1, zero, gone, **{name: -n}))
+        for name, w in zip(names, windows)])
+    sums = (*names, "contacts_total")
     changes = daily.select("customer_id", F.inline(F.filter(
         steps, lambda s: s.isNotNull() & (s["day"] < horizon)))).repartition(
         "customer_id").groupBy("customer_id", "day").agg(
@@ -148,12 +149,13 @@ def is_scarce(units: Column, settings: Settings = SETTINGS) -> Column:
 
 
 def contexts(grid: DataFrame, events: DataFrame, catalog: DataFrame, inventory: DataFrame,
-             days: Iterable[int], settings: Settings = SETTINGS) -> DataFrame:
-    """One wide row per eligible (customer, day)."""
+             days: Iterable[int], settings: Settings = SETTINGS,
+             windows: Sequence[int] = (WEEK, FORTNIGHT)) -> DataFrame:
+    """One wide row per eligible (customer, day); `windows` as in `rules.contact_windows`."""
     reference = category_reference(events, catalog, settings.train_end_day, settings)
     stock = category_stock(inventory, catalog)
     base = grid_rows(grid, days).join(
-        contact_history(events, settings), ["customer_id", "day"])  # inner: eligible only
+        contact_history(events, settings, windows), ["customer_id", "day"])  # inner: eligible only
     chosen = F.coalesce(primary_category(F.col("category_affinity")),
                         top_seller(reference).scalar())
     prior = F.greatest(F.col("day") - 1, F.lit(0))
@@ -169,7 +171,7 @@ def contexts(grid: DataFrame, events: DataFrame, catalog: DataFrame, inventory:
         "customer_id", "day", *keep, "primary_category",
         F.coalesce(F.col("category_affinity")[F.col("primary_category")], F.lit(0.0))
         .alias("primary_affinity_share"),
-        "contacts_7d", "contacts_14d", "contacts_total", "first_day",
+        *[f"contacts_{w}d" for w in windows], "contacts_total", "first_day",
         F.greatest(F.col("day") - F.col("first_day"), F.lit(0)).alias("tenure_days"),
         month.alias("month"),
         F.coalesce("units", F.lit(settings.initial_stock)).alias("stock_units"),

@@ -69,10 +69,14 @@ def inventory_scarcity(c: Column, params: dict) -> Verdict:
 
 
 def _recent(window_days: int) -> Column:
-    columns = {7: "contacts_7d", 14: "contacts_14d"}
-    if window_days not in columns:
-        raise ValueError(f"no contact counter for a window of {window_days} days")
-    return F.col(columns[window_days])
+    return F.col(f"contacts_{window_days}d")
+
+
+def contact_windows(specs: Sequence[tuple] = CONSTRAINTS) -> tuple[int, ...]:
+    """Window lengths in days that the rules count contacts over; 7 and 14 are always kept, as
+    features and reports read them."""
+    asked = {int(s[4]["window_days"]) for s in specs if "window_days" in s[4]}
+    return tuple(sorted(asked | {7, 14}))
 
 
 @register_rule("frequency_cap")

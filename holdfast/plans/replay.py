@@ -17,9 +17,9 @@ from holdfast.config import CONSTRAINTS, SETTINGS, Settings
 from holdfast.functions.ids import decision_id
 from holdfast.operators import policies as po
 from holdfast.operators.candidates import with_candidates
-from holdfast.operators.context import FORTNIGHT, WEEK
+from holdfast.operators.context import WEEK
 from holdfast.operators.outcomes import chosen, price, replay_rows
-from holdfast.operators.rules import apply_rules
+from holdfast.operators.rules import apply_rules, contact_windows
 from holdfast.session import stage
 
 CAP_CLOSED = 1 << 30
@@ -51,23 +51,23 @@ def contact_cap(specs=CONSTRAINTS) -> tuple[int, int]:
     return CAP_CLOSED, WEEK
 
 
-def _fold(days: Column, index: Column, cap: int, window: int) -> Column:
+def _fold(days: Column, index: Column, cap: int, window: int,
+          windows: Sequence[int]) -> Column:
     """Walk one customer's days: pick by cap state, remember contact days."""
+    own = "".join(f"own_{w}d:bigint," for w in windows)
     empty = F.array().cast("array<bigint>")
     start = F.struct(
         empty.alias("made"),
-        F.array().cast("array<struct<chosen_id:string,own_7d:bigint,own_14d:bigint,"
-                       "own_total:bigint>>").alias("out"))
+        F.array().cast(f"array<struct<chosen_id:string,{own}own_total:bigint>>").alias("out"))
 
     def within(made: Column, day: Column, width: int) -> Column:
         return F.size(F.filter(made, lambda d: day - d <= width)).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
-        seen = x["contacts_7d"] + within(acc["made"], x["day"], window)
+        seen = x[f"contacts_{window}d"] + within(acc["made"], x["day"], window)
         pick = F.when(seen >= cap, F.get(x["closed"], index)).otherwise(F.get(x["open"], index))
         row = F.struct(pick["id"].alias("chosen_id"),
-                       within(acc["made"], x["day"], WEEK).alias("own_7d"),
-                       within(acc["made"], x["day"], FORTNIGHT).alias("own_14d"),
+                       *[within(acc["made"], x["day"], w).alias(f"own_{w}d") for w in windows],
                        F.size(acc["made"]).cast("long").alias("own_total"))
         made = F.when(pick["contact"], F.concat(acc["made"], F.array(x["day"]))).otherwise(
             acc["made"])
@@ -77,24 +77,24 @@ def _fold(days: Column, index: Column, cap: int, window: int) -> Column:
 
 
 def replay(contexts: DataFrame, policies: Sequence[str],
-           settings: Settings = SETTINGS) -> DataFrame:
-    """Replay rule-based policies; `contexts` carries `p`, the probability map.
+           settings: Settings = SETTINGS, specs: Sequence[tuple] = CONSTRAINTS) -> DataFrame:
+    """Replay rule-based policies; `contexts` carries `p`, the probability map, and a contact
+    counter for each of `contact_windows(specs)`.
 
     One exchange on customer. Every (policy, customer, day) comes back with the contact
     counters its own history implies, judged and priced.
     """
     base = contexts.columns
-    cap, window = contact_cap()
-    if window != WEEK:
-        raise ValueError("the contact cap must use the weekly counter")
+    cap, window = contact_cap(specs)
+    windows, counter = contact_windows(specs), f"contacts_{window}d"
     open_ = apply_rules(with_candidates(
-        contexts.withColumn("_c7", F.col("contacts_7d")).withColumn(
-            "contacts_7d", F.lit(0).cast("long"))))
+        contexts.withColumn("_seen", F.col(counter)).withColumn(
+            counter, F.lit(0).cast("long"))), specs)
     open_ = open_.withColumn("open", _picks(open_, policies, settings))
     shut = apply_rules(with_candidates(open_.withColumn(
-        "contacts_7d", F.lit(CAP_CLOSED).cast("long"))))
+        counter, F.lit(CAP_CLOSED).cast("long"))), specs)
     shut = shut.withColumn("closed", _picks(shut, policies, settings)).withColumn(
-        "contacts_7d", F.col("_c7"))
+        counter, F.col("_seen"))
     entry = F.struct("day", *[c for c in base if c not in ("customer_id", "day")],
                      "open", "closed")
     # arrays are bounded by the number of decision days; `p` holds no order, so it sorts apart
@@ -103,29 +103,28 @@ def replay(contexts: DataFrame, policies: Sequence[str],
     walked = grouped.withColumn("days", sorted_days).select(
         "customer_id", "days",
         F.posexplode(F.array(*[F.lit(p) for p in policies])).alias("_i", "policy"))
-    walked = walked.withColumn("_out", _fold(F.col("days"), F.col("_i"), cap, window))
+    walked = walked.withColumn("_out", _fold(F.col("days"), F.col("_i"), cap, window,
+                                               windows))
     rows = walked.select("policy", "customer_id", "_out",
                          F.posexplode("days").alias("_at", "_d"))
     flat = rows.select(
         "policy", "customer_id", "_d.day",
         *[F.col(f"_d.{c}").alias(c) for c in base if c not in ("customer_id", "day")],
         F.get(F.col("_out"), F.col("_at")).alias("_o"))
-    return finish(flat.withColumn("chosen_id", F.col("_o.chosen_id")).withColumn(
-        "own_7d", F.col("_o.own_7d")).withColumn("own_14d", F.col("_o.own_14d")).withColumn(
-        "own_total", F.col("_o.own_total")).drop("_o"), settings)
+    return finish(flat.select("*", "_o.*").drop("_o"), settings, specs)
 
 
-def add_own_contacts(rows: DataFrame) -> DataFrame:
+def add_own_contacts(rows: DataFrame, specs: Sequence[tuple] = CONSTRAINTS) -> DataFrame:
     """Add the policy's own contacts to the business's exposures."""
-    for have, own in (("contacts_7d", "own_7d"), ("contacts_14d", "own_14d"),
-                      ("contacts_total", "own_total")):
-        rows = rows.withColumn(have, F.col(have) + F.col(own))
-    return rows.drop("own_7d", "own_14d", "own_total")
+    spans = [*[f"{w}d" for w in contact_windows(specs)], "total"]
+    return rows.withColumns({f"contacts_{s}": F.col(f"contacts_{s}") + F.col(f"own_{s}")
+                             for s in spans}).drop(*[f"own_{s}" for s in spans])
 
 
-def finish(rows: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def finish(rows: DataFrame, settings: Settings = SETTINGS,
+           specs: Sequence[tuple] = CONSTRAINTS) -> DataFrame:
     """Judge with full contact history, rank for the runner-up, price, flatten."""
-    judged = apply_rules(with_candidates(add_own_contacts(rows)))
+    judged = apply_rules(with_candidates(add_own_contacts(rows, specs)), specs)
     scored = po.choose(po.preference_scores(
         judged.withColumn("_keep", F.col("chosen_id")), F.col("_keep"), F.lit("")))
     # with no survivor at all `none` stands in
@@ -160,8 +159,8 @@ def experiment_log(contexts: DataFrame, features: dict[str, Column],
 
 def replay_with_model(contexts: DataFrame, policy: str, score: Callable[[DataFrame], DataFrame],
                       settings: Settings = SETTINGS, days: Sequence[int] | None = None,
-                      min_confidence: float | None = None,
-                      model_versions: str = "") -> DataFrame:
+                      min_confidence: float | None = None, model_versions: str = "",
+                      specs: Sequence[tuple] = CONSTRAINTS) -> DataFrame:
     """Replay a model policy day by day.
 
     Its features read the contacts made so far, so days are rounds. The state is one short
@@ -175,13 +174,13 @@ def replay_with_model(contexts: DataFrame, policy: str, score: Callable[[DataFra
     for day in days:
         today = contexts.where(F.col("day") == day).join(state, "customer_id", "left")
         made = F.coalesce("made", F.array().cast("array<bigint>"))
-        for name, width in (("own_7d", WEEK), ("own_14d", FORTNIGHT)):
+        for width in contact_windows(specs):
             since = F.lit(day - width)
-            today = today.withColumn(name, F.size(F.filter(
+            today = today.withColumn(f"own_{width}d", F.size(F.filter(
                 made, lambda d: d >= since)).cast("long"))  # noqa: B023 (read at once)
         today = today.withColumn("own_total", F.size(made).cast("long")).withColumn(
             "made", made).withColumn("policy", F.lit(policy))
-        judged = apply_rules(with_candidates(add_own_contacts(today)))
+        judged = apply_rules(with_candidates(add_own_contacts(today, specs)), specs)
         picked = po.choose(score(judged), min_confidence)
         as_of = F.date_add(F.lit(settings.start_date), F.lit(int(day))).cast("timestamp")
         picked = picked.withColumn("decision_id", decision_id(

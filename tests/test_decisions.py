@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from holdfast.config import CONSTRAINTS, SETTINGS, candidate_rows
@@ -177,3 +178,32 @@ def test_quantile_is_linear(spark):
     s = sorted(values)
     assert math.isclose(got, s[0] + 0.4 * (s[1] - s[0]))
     assert SETTINGS.interval_quantiles == (0.1, 0.9)
+
+
+def test_contact_rules_of_any_window(spark, ws):
+    """A cap over ten days and a penalty over three, against counts from the raw exposures."""
+    from holdfast.config import SETTINGS
+    from holdfast.functions.numbers import day_index
+    from holdfast.operators import context as cx
+    from holdfast.operators import rules as ru
+    from holdfast.plans import replay as rp
+
+    specs = (("cap", "frequency_cap", "hard", "campaign", {"max_contacts": 1, "window_days": 10}),
+             ("tired", "fatigue_penalty", "soft", "preference",
+              {"penalty_cents_per_recent_contact": 5, "window_days": 3}))
+    assert ru.contact_windows(specs) == (3, 7, 10, 14)
+    ctx = cx.contexts(ws.grid, ws.events, ws.catalog, ws.inventory, SETTINGS.decision_days[:3],
+                      windows=ru.contact_windows(specs)).cache()
+    sent = ws.events.where("type = 'campaign_exposure'").select("customer_id", day_index(
+        F.col("ts"), SETTINGS.start_date).alias("sent"))
+    gap = F.col("day") - F.col("sent")
+    want = ctx.select("customer_id", "day").join(sent, "customer_id", "left").groupBy(
+        "customer_id", "day").agg(*[F.count_if(gap.between(1, w)).alias(f"want_{w}")
+                                    for w in (3, 10)])
+    both = ctx.join(want, ["customer_id", "day"])
+    assert both.where("contacts_3d <> want_3 OR contacts_10d <> want_10").count() == 0
+    assert both.where("contacts_10d > contacts_7d").count() > 0
+    log = rp.replay(ws.with_probabilities(ctx), ["always_discount"], specs=specs)
+    again = F.lag("day").over(Window.partitionBy("customer_id").orderBy("day"))
+    made = log.where("contact").withColumn("before", again)
+    assert made.count() > 0 and made.where("day - before <= 10").count() == 0
