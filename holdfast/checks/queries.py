@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -637,34 +638,50 @@ def _(ws):
     return ws.contexts.select(*KEY, "stock_units", cx.is_scarce(F.col("stock_units")).alias("low_stock"))
 
 
-@report("model_feature_row", "CX-12", """
-SELECT customer_id, day, CASE WHEN rfm_recency_days IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS has_ordered,
-  CAST(least(coalesce(rfm_recency_days, 365), 365) AS DOUBLE) AS rfm_recency_days,
-  CAST(rfm_monetary_cents AS DOUBLE) AS rfm_monetary_cents, primary_affinity_share,
-  CAST(contacts_7d AS DOUBLE) AS contacts_7d, CAST(tenure_days AS DOUBLE) AS tenure_days,
-  round(sin(2 * pi() * month / 12), 6) AS month_sin, round(cos(2 * pi() * month / 12), 6) AS month_cos,
-  CASE WHEN low_stock THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low_stock,
-  CASE WHEN primary_category = 'PROMO' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS primary_is_promo
-FROM dctx""")
+_Z_COLUMNS = {
+    "has_ordered": "rfm_recency_days IS NOT NULL", "rfm_recency_days": "least(coalesce(rfm_recency_days, 365), 365)",
+    "dwell_long_count": "dwell_long", "dwell_medium_count": "dwell_medium", "scroll_count": "scrolls",
+    "filter_apply_count": "filters", "month_sin": "sin(2 * pi() * month / 12)", "month_cos": "cos(2 * pi() * month / 12)"}
+
+
+def _z_sql(**own: str) -> str:
+    """The model's features as a list: plain columns, then one flag per category."""
+    columns = {n: _Z_COLUMNS.get(n, n) for n in cx.MODEL_FEATURES} | own
+    return ("list_concat([" + ", ".join(f"CAST({c} AS DOUBLE)" for c in columns.values()) + "], list_transform("
+            "(SELECT list(category ORDER BY category) FROM (SELECT DISTINCT category FROM catalog)), "
+            "lambda k: CAST(primary_category = k AS DOUBLE)))")
+
+
+def _entries(design):
+    """(place, value) of the entries that are not zero."""
+    return F.filter(F.transform(design, lambda v, i: F.struct(
+        i.cast("long").alias("place"), F.round(v, 6).alias("value"))), lambda e: e["value"] != 0)
+
+
+_ENTRIES_SQL = """
+SELECT customer_id, day, {extra} place - 1 AS place, round(value, 6) AS value
+FROM (SELECT customer_id, day, {extra} unnest(v) AS value, unnest(range(1, len(v) + 1)) AS place FROM ({rows}))
+WHERE round(value, 6) <> 0"""
+
+
+@report("model_feature_row", "CX-12", _ENTRIES_SQL.format(
+    extra="", rows=f"SELECT customer_id, day, {_z_sql()} AS v FROM dctx"))
 def _(ws):
-    cols = cx.model_columns(ws.categories)
-    names = ["has_ordered", "rfm_recency_days", "rfm_monetary_cents", "primary_affinity_share",
-             "contacts_7d", "tenure_days", "month_sin", "month_cos", "low_stock"]
-    return ws.contexts.select(*KEY, *[r6(cols[n], n) for n in names],
-                              cols["primary_is_PROMO"].alias("primary_is_promo"))
+    columns = F.array(*cx.model_columns(ws.categories).values())
+    return ws.contexts.select(*KEY, F.inline(_entries(columns)))
+
 
+_FLAGS = ", ".join(f"CASE WHEN archetype = '{a}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS action_is_{a}"
+                   for a in rs.ARCHETYPES)
 
-@report("action_encoding", "CX-13", """
-SELECT o.customer_id, o.day, o.candidate_id, CASE WHEN archetype = 'recommend' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS action_is_recommend,
-  CASE WHEN archetype = 'discount_low' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS action_is_discount_low,
-  discount_bps / 10000.0::DOUBLE AS discount_depth
+
+@report("action_encoding", "CX-13", f"""
+SELECT o.customer_id, o.day, o.candidate_id, {_FLAGS}, discount_bps / 10000.0::DOUBLE AS discount_depth
 FROM options o JOIN dctx USING (customer_id, day)""")
 def _(ws):
     enc = cx.action_columns(rs.ARCHETYPES)
     return ru.options_view(ws.judged).select(
-        *KEY, "candidate_id", enc["action_is_recommend"].alias("action_is_recommend"),
-        enc["action_is_discount_low"].alias("action_is_discount_low"),
-        enc["discount_depth"].alias("discount_depth"))
+        *KEY, "candidate_id", *[c.alias(n) for n, c in enc.items()])
 
 
 # ================================================================== candidates, rules
@@ -962,18 +979,32 @@ def _(ws):
         "feature", r6("mean"), r6("scale"))
 
 
-@report("logistic_design", "ML-2")
+_LOGGED = f"""
+SELECT r.customer_id, r.day, r.archetype, r.discount_bps / 10000.0::DOUBLE AS depth,
+  {_z_sql(contacts_7d='r.recent_contacts_7d', contacts_total='r.prior_contacts', low_stock='c.low_stock',
+          primary_affinity_share='c.primary_affinity_share').replace('primary_category = k', 'c.primary_category = k')} AS z
+FROM replay r JOIN ctx c USING (customer_id, day) WHERE r.policy = 'random'"""
+_ACTS = "[" + ", ".join(f"CAST(archetype = '{a}' AS DOUBLE)" for a in rs.ARCHETYPES if a != "none") + "]"
+_ARM = "[CAST(list_position([" + ", ".join(f"'{a}'" for a in rs.ARCHETYPES) + "], archetype) - 1 AS DOUBLE), depth]"
+
+
+@report("logistic_design", "ML-2", _ENTRIES_SQL.format(extra="archetype,", rows=f"""
+SELECT customer_id, day, archetype, list_concat(z, flags, flatten(list_transform(flags, lambda f: list_transform(z, lambda x: x * f))),
+  [depth], list_transform(z, lambda x: x * depth)) AS v FROM (SELECT *, {_ACTS} AS flags FROM ({_LOGGED}))"""))
 def _(ws):
     names = list(cx.model_columns(ws.categories))
     n = len(names)
     df = ws.experiment.withColumn("z", rs.z_array(names, [0.0] * n, [1.0] * n))
-    return rs.logistic_design(df).select(*KEY, "archetype", "design")
+    return rs.logistic_design(df).select(*KEY, "archetype", F.inline(_entries(
+        vector_to_array("design"))))
 
 
-@report("tree_design", "ML-3")
+@report("tree_design", "ML-3", _ENTRIES_SQL.format(
+    extra="archetype,", rows=f"SELECT customer_id, day, archetype, list_concat(z, {_ARM}) AS v FROM ({_LOGGED})"))
 def _(ws):
     names = list(cx.model_columns(ws.categories))
-    return rs.TreeEnsemble(names).design(ws.experiment).select(*KEY, "archetype", "design")
+    return rs.TreeEnsemble(names).design(ws.experiment).select(
+        *KEY, "archetype", F.inline(_entries(vector_to_array("design"))))
 
 
 @report("member_weights", "ML-4", f"""
