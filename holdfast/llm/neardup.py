@@ -10,12 +10,15 @@ full shingle sets.
 
 Texts with equal sets form one class first, so copies never meet each other in a key. Within a key
 no group is expanded into all its pairs:
-1. every class is compared with one class only, the most typical one among its keys' members
-   (the one whose keys are shared most), and confirmed links are folded into components;
-2. keys whose members are by then all in one component are done. In the others, members of
-   different components are compared in blocks of bounded size, by signature and by a finer
-   sketch (one permutation, 256 bins, cut five deviations below the threshold), once per pair;
-   what passes is confirmed on full sets. This rest is exact: no group or partner is capped.
+1. each key has a hub, its most typical member (the one whose keys are shared most); every class
+   is compared with one hub only, the one it shares most keys with, and confirmed links are folded
+   into components;
+2. keys whose members are all in one component are done. In the others, members of different
+   components are compared in blocks of bounded size, by signature and by a finer sketch (one
+   permutation, BINS bins, cut five deviations below the threshold). For ROUNDS rounds only each
+   class's most similar partner outside its component is confirmed and folded in;
+3. at last every pair that is still across components and passes is confirmed. This rest is exact,
+   whatever the rounds before it left: no group or partner is capped.
 
 Cases: null, empty and wordless texts have an empty set, no links and are kept; texts with fewer
 than five words are one shingle; repeated rows share a component; a null id takes the smallest
@@ -37,13 +40,14 @@ from pyspark.sql import types as T
 
 from holdfast.llm import shingles as sh
 from holdfast.llm.components import components
-from holdfast.llm.tables import id_and_text
+from holdfast.llm.tables import id_and_text, packed_rows
 from holdfast.session import stage
 
 THRESHOLD = 75  # per cent
 SYMBOLS, CHUNKS, ERRORS = 16, 4, 11
-BINS = 256
+BINS = 1024
 BLOCK = 1024
+ROUNDS = 2
 
 _PER = SYMBOLS // CHUNKS
 _KEPT = _PER - ERRORS // CHUNKS
@@ -52,34 +56,28 @@ COMBOS = np.array([[c * _PER + k for k in pick] for c in range(CHUNKS)
                    for pick in combinations(range(_PER), _KEPT)])
 _MULTIPLY = sh._mix(np.arange(101, 101 + SYMBOLS, dtype="u8")) | np.uint64(1)
 _ADD = sh._mix(np.arange(901, 901 + SYMBOLS, dtype="u8"))
-_EDGES = (np.arange(BINS, dtype="u8") << np.uint64(56))
+_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
+_EDGES = (np.arange(BINS, dtype="u8") << _SHIFT)
 
 
 # ----------------------------------------------------------------------------- profiles
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, print (digest of the set; null if empty), sig and sketch (bytes)."""
+    """doc_id, n_shingles, print (digest of the set; null if empty) and sig (bytes)."""
     source = id_and_text(docs, id_col, text_col)
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_shingles", T.LongType()),
-                           *[T.StructField(c, T.BinaryType()) for c in ("print", "sig",
-                                                                        "sketch")]])
+                           T.StructField("print", T.BinaryType()),
+                           T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, sigs, sketches = [], [], [], []
+            sizes, prints, sigs = [], [], []
             for own in sh.text_sets(batch.column(1), sh.SPACE):
                 sizes.append(len(own))
-                if len(own):
-                    prints.append(_print(own))
-                    sigs.append(_signature(own))
-                    sketches.append(_sketch(own))
-                else:
-                    prints.append(None)
-                    sigs.append(None)
-                    sketches.append(None)
+                prints.append(_print(own) if len(own) else None)
+                sigs.append(_signature(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()),
-                 *[pa.array(x, pa.binary()) for x in (prints, sigs, sketches)]],
-                names=schema.names)
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
+                 pa.array(sigs, pa.binary())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -97,10 +95,10 @@ def _signature(own: np.ndarray) -> bytes:
 
 
 def _sketch(own: np.ndarray) -> bytes:
-    """Per bin of the leading byte, a byte of the smallest hash in it; 0 where there is none."""
+    """Per bin of the leading bits, a byte of the smallest hash in it; 0 where there is none."""
     at = np.searchsorted(own, _EDGES)
     first = own[np.minimum(at, len(own) - 1)]
-    held = (at < len(own)) & (first >> np.uint64(56) == np.arange(BINS, dtype="u8"))
+    held = (at < len(own)) & (first >> _SHIFT == np.arange(BINS, dtype="u8"))
     return np.where(held, 1 + sh._mix(first) % np.uint64(255), 0).astype("u1").tobytes()
 
 
@@ -129,50 +127,50 @@ def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
 
 
 # ------------------------------------------------------------------------------ compare
-def _close(sig_a, sig_b, sketch_a, sketch_b, n_a, n_b) -> np.ndarray:
-    """Which pairs are within the signature distance and may reach the threshold."""
+def _near(sig_a, sig_b, n_a, n_b) -> np.ndarray:
+    """Which pairs are within the signature distance, and of sizes that can reach the threshold."""
     out = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * THRESHOLD
-    at = np.flatnonzero(out)
-    at = at[(sig_a[at] == sig_b[at]).sum(axis=1) >= SYMBOLS - ERRORS]
-    x, y = sketch_a[at], sketch_b[at]
-    either = ((x != 0) | (y != 0)).sum(axis=1)
+    return out & ((sig_a == sig_b).sum(axis=1) >= SYMBOLS - ERRORS)
+
+
+def _margin(x, y, n_a, n_b) -> np.ndarray:
+    """By how much the sketches' similarity is above the least one that must be confirmed.
+
+    The m bins in use are a sample of the union without replacement, so the deviation shrinks as
+    m nears the union's size (at the threshold (n_a + n_b) / (1 + t)).
+    """
+    t = THRESHOLD / 100
+    m = np.maximum(1, ((x != 0) | (y != 0)).sum(axis=1))
     same = ((x == y) & (x != 0)).sum(axis=1)
-    out[:] = False
-    out[at[same >= THRESHOLD / 100 * either - 2.2 * np.sqrt(either)]] = True
-    return out
+    left = np.maximum(0.02, 1 - m * (1 + t) / (n_a + n_b))
+    return same / m - t + 5 * np.sqrt(t * (1 - t) / m * left) + 0.02
 
 
-def best_partners(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """For each a the nearest b of `pairs` (a, b) among those that may be linked."""
-    one = pairs.join(classes.select(*[F.col(c).alias(c + "_b") for c in (
-        "node", "n", "sig", "sketch")]).withColumnRenamed("node_b", "b"), "b")
-    both = one.join(classes.select(*[F.col(c).alias(c + "_a") for c in (
-        "node", "n", "sig", "sketch")]).withColumnRenamed("node_a", "a"), "a")
+def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be linked, by signature."""
+    one = pairs.join(classes.select(*[F.col(c).alias(c + "_b") for c in ("node", "n", "sig")]
+                                    ).withColumnRenamed("node_b", "b"), "b")
+    both = one.join(classes.select(*[F.col(c).alias(c + "_a") for c in ("node", "n", "sig")]
+                                   ).withColumnRenamed("node_a", "a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig_a, sig_b = (_matrix(batch.column(c), "<u4") for c in ("sig_a", "sig_b"))
-            ok = _close(sig_a, sig_b, *(_matrix(batch.column(c), "u1") for c in (
-                "sketch_a", "sketch_b")), *(batch.column(c).to_numpy() for c in ("n_a", "n_b")))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column("a").to_numpy()[ok]),
-                 pa.array(batch.column("b").to_numpy()[ok]),
-                 pa.array((sig_a[ok] == sig_b[ok]).sum(axis=1).astype("i4"))],
-                names=["a", "b", "same"])
+            if batch.num_rows:
+                ok = _near(*(_matrix(batch.column(c), "<u4") for c in ("sig_a", "sig_b")),
+                           *(batch.column(c).to_numpy() for c in ("n_a", "n_b")))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(batch.column(c).to_numpy()[ok]) for c in "ab"], names=["a", "b"])
 
-    near = both.select("a", "b", "sig_a", "sig_b", "sketch_a", "sketch_b", "n_a", "n_b")
-    return near.mapInArrow(run, "a long, b long, same int").groupBy("a").agg(
-        F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("best")).select(
-            "a", (-F.col("best.b")).alias("b"))
+    return both.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(
+        run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a key that may be linked, each once.
+def cross_pairs(members: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of different components within a key that may be linked.
 
     members: key, combo, node, comp, n, sig, sketch. Keys with more than BLOCK members are split
-    into blocks, and each pair of blocks is a group of its own.
+    into blocks, and each pair of blocks is a group of its own. best_only: for each a the most
+    similar b; else all, each once.
     """
     sizes = members.groupBy("key").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -184,45 +182,58 @@ def cross_pairs(members: DataFrame) -> DataFrame:
                          "sketch")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-    def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, margin) of the group's pairs that pass."""
         get = lambda c: table.column(c).to_numpy()
-        m = table.num_rows
-        node, comp, n, own = get("node"), get("comp"), get("n"), get("own")
-        combo = int(table.column("combo")[0].as_py())
-        a, b = np.triu_indices(m, 1)
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        keep = comp[a] != comp[b]
-        if low != high:
-            keep &= own[a] != own[b]
-        a, b = a[keep], b[keep]
-        if not len(a):
-            return a, b
+        comp, n, own = get("comp"), get("n"), get("own")
+        apart = table.column("low")[0].as_py() != table.column("high")[0].as_py()
         sig = _matrix(table.column("sig").combine_chunks(), "<u4")
         sketch = _matrix(table.column("sketch").combine_chunks(), "u1")
+        combo = int(table.column("combo")[0].as_py())
         found = []
-        for k in range(0, len(a), 1 << 16):
-            i, j = a[k:k + (1 << 16)], b[k:k + (1 << 16)]
-            ok = np.flatnonzero(_close_at(sig, sketch, n, i, j))
-            # the first key a pair shares reports it
-            same = (sig[i[ok]] == sig[j[ok]])[:, COMBOS].all(axis=2)
-            ok = ok[same.argmax(axis=1) == combo] if len(ok) else ok
-            found.append(np.stack([i[ok], j[ok]]))
-        a, b = np.concatenate(found, axis=1)
-        return node[a], node[b]
+        step = max(1, (1 << 16) // len(comp))
+        for k in range(0, len(comp), step):
+            rows = np.arange(k, min(k + step, len(comp)))
+            keep = (rows[:, None] < np.arange(len(comp))) & (comp[rows][:, None] != comp)
+            if apart:
+                keep &= own[rows][:, None] != own
+            i, j = np.nonzero(keep)
+            i = rows[i]
+            ok = _near(sig[i], sig[j], n[i], n[j])
+            i, j = i[ok], j[ok]
+            if not best_only and len(i):  # the first key a pair shares reports it
+                first = (sig[i] == sig[j])[:, COMBOS].all(axis=2).argmax(axis=1) == combo
+                i, j = i[first], j[first]
+            for c in range(0, len(i), 8192):
+                a, b = i[c:c + 8192], j[c:c + 8192]
+                over = _margin(sketch[a], sketch[b], n[a], n[b])
+                pick = over >= 0
+                found.append((a[pick], b[pick], over[pick]))
+        if not found:
+            return (np.zeros(0, "i8"),) * 3
+        a, b, over = (np.concatenate(x) for x in zip(*found))
+        if best_only and len(a):
+            a, b, over = np.append(a, b), np.append(b, a), np.append(over, over)
+            order = np.lexsort((b, -over, a))
+            order = order[np.append(True, a[order][1:] != a[order][:-1])]
+            a, b, over = a[order], b[order], over[order]
+        node = get("node")
+        return node[a], node[b], over
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ("key", "low", "high")):
             if table.num_rows > 1:
-                a, b = compare(table)
+                a, b, over = compare(table)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)],
-                                                     names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a), pa.array(b), pa.array(over.astype("f8"))],
+                        names=["a", "b", "over"])
 
-
-def _close_at(sig, sketch, n, i, j) -> np.ndarray:
-    return _close(sig[i], sig[j], sketch[i], sketch[j], n[i], n[j])
+    pairs = dealt.mapInArrow(run, "a long, b long, over double")
+    if not best_only:
+        return pairs.select("a", "b")
+    return pairs.groupBy("a").agg(F.max(F.struct("over", (-F.col("b")).alias("b"))).alias(
+        "best")).select("a", (-F.col("best.b")).alias("b"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -279,10 +290,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     docs_profile = stage(profiles(docs, id_col, text_col), "profiles")
-    # rows of one class have equal sets, so any row's n, sig and sketch are the class's
+    # rows of one class have equal sets, so any row's n and sig are the class's
     made = docs_profile.where(F.col("print").isNotNull()).groupBy("print").agg(
         F.min("doc_id").alias("first_id"), F.any_value(F.struct(
-            F.col("n_shingles").alias("n"), "sig", "sketch")).alias("any"))
+            F.col("n_shingles").alias("n"), "sig")).alias("any"))
     classes = stage(made.select(F.monotonically_increasing_id().alias("node"), "print",
                                 "first_id", "any.*"), "classes")
     links = near_links(docs, classes, id_col, text_col)
@@ -308,53 +319,65 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     hubs = scored.groupBy("key").agg(
         F.max(F.struct("score", (-F.col("node")).alias("node"))).alias("hub")).select(
         "key", (-F.col("hub.node")).alias("b"))
+    # each class meets the one hub that it shares most keys with
     to_hub = shared.select("key", F.col("node").alias("a")).join(hubs, "key").where(
-        "a <> b").select("a", "b").distinct()
-    star = stage(best_partners(to_hub, classes), "star")
+        "a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("same")).groupBy("a").agg(
+        F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("best")).select(
+        "a", (-F.col("best.b")).alias("b"))
+    star = stage(promising(to_hub, classes), "star")
 
     wanted = shared.select("node").distinct()
     texts = stage(_texts(docs, classes.join(wanted, "node", "left_semi"), id_col, text_col),
                   "near-texts")
     sure = stage(confirm(star, texts), "star-links")
-    comps = components(sure)
+    for _ in range(ROUNDS):
+        best = stage(cross_pairs(_members(shared, components(sure), texts), True), "best-pairs")
+        sure = sure.unionByName(stage(confirm(best, texts), "best-links"))
+    rest = stage(cross_pairs(_members(shared, components(sure), texts), False), "cross-pairs")
+    return sure.unionByName(stage(confirm(rest, texts), "cross-links"))
+
 
+def _members(shared: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members of keys that hold more than one component."""
     placed = shared.select("key", "combo", "node").join(comps, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")
                                           ).where("low < high").select("key")
-    members = placed.join(open_keys, "key").join(
-        classes.select("node", "n", "sig", "sketch"), "node")
-    rest = stage(cross_pairs(members), "cross-pairs")
-    return sure.unionByName(stage(confirm(rest, texts), "cross-links"))
+    return placed.join(open_keys, "key").join(texts.drop("text"), "node")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of the given classes, one text each: the row that the class was named by."""
+    """(node, n, sig, sketch, text) of the given classes, one text each: the row that the class
+    was named by."""
     source = id_and_text(docs, id_col, text_col)
-    met = source.join(classes.select("node", "print", F.col("first_id").alias("_id")),
-                      F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "print", "text")
+    met = source.join(classes.withColumnRenamed("first_id", "_id"),
+                      F.col("doc_id").eqNullSafe(F.col("_id"))).select(
+        "node", "n", "sig", "print", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # rows of one id come to one task, so repeated rows pass once
         for batch in batches:
-            at = []
+            at, sketches = [], []
             for k, (own, digest, node) in enumerate(zip(
                     sh.text_sets(batch.column("text"), sh.SPACE),
                     batch.column("print").to_pylist(), batch.column("node").to_pylist())):
                 if node not in seen and len(own) and _print(own) == digest:
                     seen.add(node)
                     at.append(k)
+                    sketches.append(_sketch(own))
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(at),
-                                              batch.column("text").take(at)],
-                                             names=["node", "text"])
+            columns = {c: batch.column(c).take(at) for c in ("node", "n", "sig", "text")}
+            columns["sketch"] = pa.array(sketches, pa.binary())
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return met.mapInArrow(run, "node long, text string")
+    names = ["node", "n", "sig", "sketch", "text"]
+    return met.mapInArrow(run, "node long, n long, sig binary, sketch binary, text string")
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        ) -> DataFrame:
     """One document of each component (the one with the smallest id), with all its columns."""
     kept = link_components(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+        F.col("doc_id").alias("first")).distinct()
+    return packed_rows(docs, id_col).join(
+        kept, F.col("key").eqNullSafe(F.col("first")), "left_semi").select("row.*")
