@@ -1025,8 +1025,7 @@ def _(ws):
 
 def _fitted(ws: Workspace) -> rs.LogisticEnsemble:
     if not hasattr(ws, "_logistic"):
-        ws._logistic = rs.fit_logistic(ws.experiment, list(cx.model_columns(ws.categories)),
-                                       max_iter=60)
+        ws._logistic = rs.fit_logistic(ws.experiment, list(cx.model_columns(ws.categories)))
     return ws._logistic
 
 

@@ -1,8 +1,8 @@
 """Response models: calibrated bootstrap ensembles of P(purchase | context, action).
 
 Two families share one interface: `members(df)` adds a map column `archetype:bps -> array of
-member probabilities`. Fitting is Spark ML; scoring the logistic family is one Arrow batch
-function, scoring the tree family is Spark ML's own transform.
+member probabilities`. The logistic family is fitted by Newton steps over all members at once and
+scored by one Arrow batch function; the tree family is Spark ML's.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark import inheritable_thread_target
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -28,6 +29,8 @@ from holdfast.operators.bootstrap import index_customers
 ARCHETYPES = tuple(name for name, *_ in ACTION_CATALOG)
 TINY_SD = 1e-9
 PLATT_C = 1e6
+NEWTON_STOP = 1e-9
+SUM_WIDTH = 64  # partial sums per block that meet in one task on the first level
 
 
 # ------------------------------------------------------------------------------ preparation
@@ -198,60 +201,186 @@ def in_parallel(spark: SparkSession, task: Callable[[int], object], n: int,
 
 def platt(scored: DataFrame, raw: str, label: str) -> tuple[float, float]:
     """Slope and intercept of a near-unregularised one-feature logistic fit."""
-    n = scored.count()
-    data = scored.select(array_to_vector(F.array(raw)).alias("_f"), F.col(label).alias("_y"))
-    fit = LogisticRegression(featuresCol="_f", labelCol="_y", standardization=False,
-                             regParam=1.0 / (PLATT_C * max(n, 1)), maxIter=200, tol=1e-9).fit(data)
-    return float(fit.coefficients[0]), float(fit.intercept)
-
-
-def fit_logistic(log: DataFrame, features: Sequence[str],
-                 settings: Settings = SETTINGS, max_iter: int | None = None) -> LogisticEnsemble:
+    one = scored.select(F.array(raw).alias("raw"), F.col(label).alias("label"))
+    return platt_all(one, 1)[0]
+
+
+def platt_all(scored: DataFrame, n_members: int, steps: int = 50) -> list[tuple[float, float]]:
+    """The fits of all members at once, by Newton steps: each step is one aggregate of five sums
+    per member over (raw: array of scores, label)."""
+    at = np.tile([1.0, 0.0], (n_members, 1))
+    for _ in range(steps):
+        sums = []
+        for m in range(n_members):
+            x = F.get("raw", F.lit(m))
+            p = 1 / (1 + F.exp(-(F.lit(float(at[m, 0])) * x + F.lit(float(at[m, 1])))))
+            w, r = p * (1 - p), F.col("label") - p
+            sums += [F.sum(v) for v in (w * x * x, w * x, w, r * x, r)]
+        row = np.array([v or 0.0 for v in scored.agg(*sums).first()]).reshape(n_members, 5)
+        moved = 0.0
+        for m, (xx, x1, one, gx, g1) in enumerate(row):
+            hessian = PLATT_C * np.array([[xx, x1], [x1, one]]) + np.diag([1.0, 1e-9])
+            step = np.linalg.solve(hessian, PLATT_C * np.array([gx, g1]) - [at[m, 0], 0.0])
+            at[m] += np.clip(step, -5.0, 5.0)
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-9 * (1 + float(np.abs(at).max())):
+            break
+    return [(float(a), float(b)) for a, b in at]
+
+
+def _arm_blocks(data: DataFrame, beta: np.ndarray, n_arms: int, p: int) -> np.ndarray:
+    """Per (arm, member): the weighted Gram matrix and gradient of (1, z, depth, depth * z).
+
+    A row touches only its own arm's interaction columns, which repeat (1, z), so these small
+    blocks hold all of the design's Gram matrix. Partial sums are per task; two levels of grouped
+    sums fold them, and what comes back has the size of the model.
+    """
+    n_members, d = beta.shape[0], 2 * p + 2
+    size = d * d + d
+    shared = data.sparkSession.sparkContext.broadcast(beta)
+
+    def partial(batches):
+        total = np.zeros((n_arms, n_members, size))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = np.array(batch.column("z").to_pylist()).reshape(batch.num_rows, p)
+            w = np.array(batch.column("w").to_pylist()).reshape(batch.num_rows, n_members)
+            depth, y, arm = (batch.column(c).to_numpy() for c in ("depth", "label", "arm"))
+            base = np.column_stack([np.ones(len(z)), z, depth, depth[:, None] * z])
+            for k in np.unique(arm).tolist():
+                x, own = base[arm == k], arm == k
+                for m in range(n_members):
+                    prob = 1 / (1 + np.exp(-(x @ shared.value[m, k])))
+                    weight = w[own, m] * prob * (1 - prob)
+                    total[k, m, :d * d] += ((x * weight[:, None]).T @ x).ravel()
+                    total[k, m, d * d:] += x.T @ (w[own, m] * (y[own] - prob))
+        slot = TaskContext.get().partitionId() % SUM_WIDTH
+        for k in range(n_arms):
+            for m in range(n_members):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k]), pa.array([m]), pa.array([slot]),
+                     pa.array([total[k, m].tobytes()])], names=["arm", "member", "slot", "sums"])
+
+    def fold(table: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(v) for v in table.column("sums").to_pylist())
+        return pa.table({"arm": table.column("arm")[:1], "member": table.column("member")[:1],
+                         "slot": table.column("slot")[:1], "sums": [sums.tobytes()]})
+
+    schema = "arm long, member long, slot long, sums binary"
+    parts = data.mapInArrow(partial, schema)
+    once = parts.groupBy("arm", "member", "slot").applyInArrow(fold, schema)
+    out = np.zeros((n_arms, n_members, size))
+    for r in once.groupBy("arm", "member").applyInArrow(fold, schema).collect():
+        out[r["arm"], r["member"]] = np.frombuffer(r["sums"])
+    return out
+
+
+def _places(p: int, n_actions: int, arm: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where (1, z, depth, depth * z) of a row with that arm stand in (intercept, coef), and where
+    its repeated (1, z) stand; arm 0 has none."""
+    base, alpha = 1 + np.arange(p), 1 + p
+    gamma, delta = alpha + n_actions, alpha + n_actions + n_actions * p
+    first = np.concatenate([[0], base, [delta], delta + 1 + np.arange(p)])
+    if not arm:
+        return first, np.zeros(0, int)
+    k = arm - 1
+    return first, np.concatenate([[alpha + k], gamma + k * p + np.arange(p)])
+
+
+def fit_logistic(log: DataFrame, features: Sequence[str], settings: Settings = SETTINGS,
+                 max_iter: int | None = None) -> LogisticEnsemble:
     """Bootstrap ensemble on the train split, calibrated on validation.
 
     Resamples are row weights, so no data is copied per member. The penalty matches
-    `C * sum(loss) + |w|^2 / 2`.
+    `C * sum(loss) + |w|^2 / 2`, without the intercept. All members take Newton steps together,
+    one pass over the data each; a fit that has not converged fails.
     """
     train = log.where("split = 'train'")
-    # a constant feature must be exactly 0: the solver rescales columns by their spread and a
-    # residue of 1e-14 would stall it
+    # a constant feature must be exactly 0: its spread is only rounding noise
     moments = {r["feature"]: (r["mean"], float("inf") if r["constant"] else r["scale"])
                for r in standardiser(train, features).collect()}
     model = LogisticEnsemble(list(features), [moments[f][0] for f in features],
                              [moments[f][1] for f in features])
     z = z_array(model.features, model.mean, model.scale)
-    label = F.col("converted").cast("double").alias("label")
-
-    def designed(df: DataFrame) -> DataFrame:
-        keep = df.select("customer_id", "archetype", "discount_bps", label, z.alias("z"))
-        return logistic_design(keep).select("customer_id", "design", "label")
-
-    weights = member_weights(train, settings.ensemble_size, settings.seeds["models"])
-    data = designed(train).join(weights, "customer_id").persist()
-    valid = designed(log.where("split = 'validation'")).persist()
-
-    def fit_member(m: int) -> LogisticMember:
-        own = data.withColumn("_w", F.get("w", F.lit(m))).where("_w > 0")
-        total = own.agg(F.sum("_w")).first()[0]
-        fit = LogisticRegression(
-            featuresCol="design", labelCol="label", weightCol="_w", elasticNetParam=0.0,
-            regParam=1.0 / (settings.logistic_c * total), standardization=False, tol=1e-8,
-            maxIter=max_iter or settings.logistic_max_iter).fit(own)
-        raw = F.get(vector_to_array("rawPrediction"), F.lit(1))
-        scored = fit.transform(valid).select(raw.alias("raw"), "label")
-        return LogisticMember(float(fit.intercept), fit.coefficients.toArray(),
-                              platt(scored, "raw", "label"))
+    arms = ["none", *model.actions]
+    p, k, n = len(features), len(model.actions), settings.ensemble_size
+    arm = F.array_position(F.array(*[F.lit(a) for a in arms]), F.col("archetype")) - 1
+    made = log.where("split IN ('train', 'validation')").select(
+        "customer_id", "split", arm.alias("arm"), z.alias("z"),
+        (F.col("discount_bps") / F.lit(10_000.0)).alias("depth"),
+        F.col("converted").cast("double").alias("label"))
+    weights = member_weights(train, n, settings.seeds["models"])
+    data = made.where("split = 'train'").join(weights, "customer_id").drop(
+        "customer_id", "split").persist()
+    places = [_places(p, k, a) for a in range(len(arms))]
+    width = 1 + p + k + k * p + 1 + p
+    beta = np.zeros((n, width))
+    limit = max_iter or settings.logistic_max_iter
+    penalty = np.append(0.0, np.ones(width - 1))
+
+    def per_arm() -> np.ndarray:
+        """Coefficients of (1, z, depth, depth * z) by member and arm."""
+        out = np.zeros((n, len(arms), 2 * p + 2))
+        for a, (first, own) in enumerate(places):
+            out[:, a] = beta[:, first]
+            out[:, a, :len(own)] += beta[:, own]
+        return out
 
     try:
-        data.count()
-        valid.count()
-        model.members_ = in_parallel(log.sparkSession, fit_member, settings.ensemble_size)
+        for _ in range(limit):
+            blocks = _arm_blocks(data, per_arm(), len(arms), p)
+            d, moved, pull = 2 * p + 2, 0.0, 0.0
+            for m in range(n):
+                hessian, slope = np.zeros((width, width)), np.zeros(width)
+                for a, (first, own) in enumerate(places):
+                    gram, grad = blocks[a, m, :d * d].reshape(d, d), blocks[a, m, d * d:]
+                    r = len(own)
+                    hessian[np.ix_(first, first)] += gram
+                    hessian[np.ix_(first, own)] += gram[:, :r]
+                    hessian[np.ix_(own, first)] += gram[:r]
+                    hessian[np.ix_(own, own)] += gram[:r, :r]
+                    slope[first] += grad
+                    slope[own] += grad[:r]
+                c = settings.logistic_c
+                gradient = c * slope - penalty * beta[m]
+                step = np.linalg.solve(c * hessian + np.diag(penalty + 1e-12), gradient)
+                beta[m] += step
+                moved = max(moved, float(np.abs(step).max()))
+                pull = max(pull, float(np.abs(gradient).max()))
+            # a resample of one class has no finite intercept: there the gradient fades instead
+            if moved < NEWTON_STOP or pull < NEWTON_STOP:
+                break
+        else:
+            raise RuntimeError(f"the response fit moved {moved:g} after {limit} steps")
     finally:
         data.unpersist()
+    model.members_ = [LogisticMember(float(b[0]), b[1:].copy()) for b in beta]
+    scores = F.array(*[_raw(coef) for coef in per_arm_rows(per_arm(), n)])
+    valid = made.where("split = 'validation'").select(scores.alias("raw"), "label").persist()
+    try:
+        for member, fit in zip(model.members_, platt_all(valid, n)):
+            member.platt = fit
+    finally:
         valid.unpersist()
     return model
 
 
+def per_arm_rows(coefficients: np.ndarray, n: int) -> list[list[list[float]]]:
+    return [coefficients[m].tolist() for m in range(n)]
+
+
+def _raw(by_arm: list[list[float]]) -> Column:
+    """Linear score of a row (arm, z, depth) from its arm's coefficients."""
+    p = (len(by_arm[0]) - 2) // 2
+    table = F.array(*[F.array(*[F.lit(v) for v in row]) for row in by_arm])
+    own = F.element_at(table, (F.col("arm") + 1).cast("int"))
+    dot = lambda begin: F.aggregate(
+        F.zip_with(F.slice(own, begin, p), F.col("z"), lambda a, b: a * b), F.lit(0.0),
+        lambda acc, v: acc + v)
+    return F.get(own, F.lit(0)) + dot(2) + F.col("depth") * (F.get(own, F.lit(p + 1)) + dot(p + 3))
+
+
 # ------------------------------------------------------------------------------------ trees
 @dataclass
 class TreeEnsemble:
