@@ -205,25 +205,39 @@ def platt(scored: DataFrame, raw: str, label: str) -> tuple[float, float]:
     return platt_all(one, 1)[0]
 
 
-def platt_all(scored: DataFrame, n_members: int, steps: int = 50) -> list[tuple[float, float]]:
-    """The fits of all members at once, by Newton steps: each step is one aggregate of five sums
-    per member over (raw: array of scores, label)."""
-    at = np.tile([1.0, 0.0], (n_members, 1))
+def platt_all(scored: DataFrame, n_members: int, steps: int = 100) -> list[tuple[float, float]]:
+    """The fits of all members at once, by Newton steps from the base rate: each step is one
+    aggregate of six sums per member over (raw: array of scores, label). A step that raises the
+    loss is halved."""
+    rate = scored.agg(F.avg("label")).first()[0]
+    if rate is None:
+        return [(1.0, 0.0)] * n_members
+    start = float(np.log(np.clip(rate, 1e-12, 1 - 1e-12) / (1 - np.clip(rate, 1e-12, 1 - 1e-12))))
+    at = np.tile([0.0, start], (n_members, 1))
+    held, least = at.copy(), np.full(n_members, np.inf)
     for _ in range(steps):
         sums = []
         for m in range(n_members):
             x = F.get("raw", F.lit(m))
-            p = 1 / (1 + F.exp(-(F.lit(float(at[m, 0])) * x + F.lit(float(at[m, 1])))))
+            score = F.lit(float(at[m, 0])) * x + F.lit(float(at[m, 1]))
+            p = 1 / (1 + F.exp(-score))
             w, r = p * (1 - p), F.col("label") - p
-            sums += [F.sum(v) for v in (w * x * x, w * x, w, r * x, r)]
-        row = np.array([v or 0.0 for v in scored.agg(*sums).first()]).reshape(n_members, 5)
+            loss = F.greatest(score, F.lit(0.0)) + F.log1p(F.exp(-F.abs(score))) - (
+                F.col("label") * score)
+            sums += [F.sum(v) for v in (w * x * x, w * x, w, r * x, r, loss)]
+        row = np.array([v or 0.0 for v in scored.agg(*sums).first()]).reshape(n_members, 6)
         moved = 0.0
-        for m, (xx, x1, one, gx, g1) in enumerate(row):
-            hessian = PLATT_C * np.array([[xx, x1], [x1, one]]) + np.diag([1.0, 1e-9])
-            step = np.linalg.solve(hessian, PLATT_C * np.array([gx, g1]) - [at[m, 0], 0.0])
-            at[m] += np.clip(step, -5.0, 5.0)
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-9 * (1 + float(np.abs(at).max())):
+        for m, (xx, x1, one, gx, g1, loss) in enumerate(row):
+            cost = PLATT_C * loss + at[m, 0] ** 2 / 2
+            if cost > least[m] * (1 + 1e-12):
+                step = (held[m] - at[m]) / 2
+            else:
+                held[m], least[m] = at[m], cost
+                hessian = PLATT_C * np.array([[xx, x1], [x1, one]]) + np.diag([1.0, 1e-9])
+                step = np.linalg.solve(hessian, PLATT_C * np.array([gx, g1]) - [at[m, 0], 0.0])
+            at[m] = at[m] + step
+            moved = max(moved, float((np.abs(step) / (1 + np.abs(at[m]))).max()))
+        if moved < 1e-9:
             break
     return [(float(a), float(b)) for a, b in at]
 
