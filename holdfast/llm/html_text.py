@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from holdfast.llm.tables import small_batches
+
 WINDOW = 3
 THIN = 0.2  # of the best stretch's text
 LINKED = 0.6  # share of a line's characters in links that makes it a menu
@@ -186,6 +188,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
+    small_batches(pages.sparkSession)
     source = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"),
                           pages[html_col].cast("string").alias("html"))
     schema = T.StructType([source.schema["page_id"], source.schema["url"],

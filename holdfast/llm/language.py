@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.llm.tables import id_and_text
+from holdfast.llm.tables import id_and_text, small_batches
 
 NGRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -90,6 +90,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
           id_col: str = "doc_id", learn: Column | None = None,
           sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on rows with a label for which `learn` holds."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[text_col].cast("string").alias("text"),
                        docs[lang_col].cast("string").alias("lang"),
                        docs[id_col].cast("string").alias("key"),
@@ -159,9 +160,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return _scored(source, model)
 
 
-def _scored(source: DataFrame, model: Model) -> DataFrame:
-    """Replace text and known by lang_pred and score; the other columns pass."""
-    kept = [c for c in source.columns if c not in ("text", "known")]
+def _scored(source: DataFrame, model: Model, text_col: str = "text",
+            kept: list[str] | None = None) -> DataFrame:
+    """Add lang_pred and score to the kept columns (all but text and known, if not said)."""
+    kept = kept or [c for c in source.columns if c not in (text_col, "known")]
     schema = T.StructType([*[source.schema[c] for c in kept],
                            T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
@@ -171,7 +173,7 @@ def _scored(source: DataFrame, model: Model) -> DataFrame:
         names = np.array([*shared.value.languages, "und"], object)
         for batch in batches:
             known = batch.column("known").to_numpy(zero_copy_only=False).astype(bool)
-            best, score = score_texts(shared.value, batch.column("text"))
+            best, score = score_texts(shared.value, batch.column(text_col))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept],
                  pa.array(np.where(known, names[best], "und"), pa.string()),
@@ -182,8 +184,12 @@ def _scored(source: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose text is in some learned language, with all their columns."""
-    with_text = docs.withColumn("known", F.coalesce(
-        docs[text_col].cast("string").rlike(r"\p{L}"), F.lit(False)))
-    source = with_text.select(F.struct(*docs.columns).alias("row"),
-                              docs[text_col].cast("string").alias("text"), "known")
-    return _scored(source, model).where(F.col("lang_pred") != "und").select("row.*")
+    small_batches(docs.sparkSession)
+    # columns go by place, so no name can clash, and the text goes once
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    text = F.col(names[docs.columns.index(text_col)])
+    source = plain.withColumn("known", F.coalesce(
+        text.cast("string").rlike(r"\p{L}"), F.lit(False)))
+    scored = _scored(source, model, names[docs.columns.index(text_col)], names)
+    return scored.where(F.col("lang_pred") != "und").select(*names).toDF(*docs.columns)

@@ -16,8 +16,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+BATCH_KEY, DEFAULT_BATCH, TEXT_BATCH = (
+    "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts make wide rows: hand Python fewer of them at once, unless the session says
+    otherwise."""
+    if spark.conf.get(BATCH_KEY) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_KEY, TEXT_BATCH)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names; other columns never matter."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

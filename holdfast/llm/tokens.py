@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
 # A lone space between two non-spaces opens a new pre-token in byte-level vocabularies and
 # belongs to the word behind it. Longer runs of white space stay inside a piece.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-LOOSE_SPACE = re.compile(r"\s[ \n]|[ \n]\s|^\s|\s$|\0")
-MAX_CACHED = 1_000_000
+LOOSE_SPACE = re.compile(r"\s[ \n]|[ \n]\s|^\s|\s$")
+# Starts a piece that has no space before it; a lone surrogate is in no decoded text.
+BARE = "\ud800"
+MAX_CACHED = 600_000  # words; about 120 MB of a worker's memory
 JOINED = 200
 
 
@@ -35,6 +38,7 @@ class WordEncoder:
         self.spaced = spaced
         # stands between new words that are encoded in one call, and never merges with them
         self.mark, self.between = ("\n", "\n") if spaced else ("\ue000", " \ue000 ")
+        self.unfit = re.compile(rf"\s|{self.mark}|^$").search
         self.sign = np.array(self.tokenizer.encode(self.mark, add_special_tokens=False).ids, "i4")
         self._clear()
 
@@ -42,21 +46,34 @@ class WordEncoder:
         self.index: dict[str, int] = {}
         self.start, self.size, self.flat = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i4")
 
+    def _shrink(self, at: np.ndarray) -> np.ndarray:
+        """Keep only the cached words that these places use again; their new places."""
+        kept = np.unique(at[at >= 0])
+        place = np.full(len(self.index) + 1, -1, "i4")
+        place[kept] = np.arange(len(kept), dtype="i4")
+        words = list(self.index)
+        size, start = self.size[kept], self.start[kept]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(start - (ends - size), size)]
+        self.index = {words[k]: n for n, k in enumerate(kept.tolist())}
+        self.start, self.size = ends - size, size
+        return place[at]  # -1 picks the last entry, which is -1
+
     def _words(self, text: str) -> list[str]:
-        """Pieces of a text; a piece that has no space before it starts with a zero character."""
+        """Pieces of a text; one that has no space before it starts with BARE."""
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
         if LOOSE_SPACE.search(text):
             words = LONE_SPACE.split(text)
         else:
-            words = text.replace("\n", " \0\n \0").split(" ")
-        words[0] = "\0" + words[0]
+            words = text.replace("\n", f" {BARE}\n {BARE}").split(" ")
+        words[0] = BARE + words[0]
         return words
 
     def _asked(self, word: str) -> str:
         if not self.spaced:
             return word
-        return word[1:] if word[:1] == "\0" else " " + word
+        return word[1:] if word[:1] == BARE else " " + word
 
     def _encoded(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and sizes of many short strings, JOINED of them in one call."""
@@ -82,9 +99,9 @@ class WordEncoder:
         return ids[keep], sizes
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
-        plain = [w for w in new if self.mark not in w]
-        odd = [w for w in new if self.mark in w]
+        # white space at a word's edge would merge with the mark, and nothing leaves two marks
+        odd = [w for w in words if self.unfit(w) or w == BARE]
+        plain = list(words.difference(odd))
         for lot, encoded in ((plain, self._encoded), (odd, self._each)):
             if not lot:
                 continue
@@ -108,15 +125,19 @@ class WordEncoder:
                 own = self._words(text)
                 counts[k] = len(own)
                 words += own
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), "i4", len(words))
         if len(self.index) > MAX_CACHED:
-            self._clear()
-        self._learn(set(words))
-        index = self.index
-        at = np.fromiter((index[w] for w in words), "i8", len(words))
+            at = self._shrink(at)
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn({words[k] for k in new})
+            find = self.index.get
+            at[new] = [find(words[k]) for k in new]
         size = self.size[at]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype="i8")
         total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
+        shift = (self.start[at] - (ends - size)).astype("i4")
+        flat = self.flat[np.arange(total, dtype="i4") + np.repeat(shift, size)]
         edges = np.concatenate([[0], np.cumsum(counts)])
         upto = np.concatenate([[0], ends])
         return flat, np.diff(upto[edges])
@@ -128,7 +149,7 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
     return WordEncoder(path, spaced)
 
 
-def text_groups(texts: list[str | None], chars: int = 4_000_000):
+def text_groups(texts: list[str | None], chars: int = 1_000_000):
     """(from, to) ranges of consecutive texts with about `chars` characters; one text at least."""
     begin, held = 0, 0
     for k, text in enumerate(texts):
