@@ -1,12 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Method: markup is stripped so that every block element becomes a line. Lines of elements that never
-hold the article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
-styles, hidden parts) and lines that are mostly links count as empty, and so does all that stands
-outside <article> or <main> where a page has one. Text lengths are summed over sliding windows of
-WINDOW lines; where the sums leave zero is a surge point, where they come back to zero a dive
-point, and the lines with text between the two are kept. With several such stretches and no
-<article> or <main>, those far thinner than the best one are left out.
+Method: markup is stripped so that every block element with text becomes a line; nesting alone adds
+none. Lines of elements that never hold the article (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts, styles, hidden parts) are left out, and so is all that stands
+outside <article> or <main> where a page has one. On other pages, lines that are mostly links count
+as empty. Text lengths are summed over sliding windows of WINDOW lines; where the sums leave zero
+is a surge point, where they come back to zero a dive point, and the lines between the first and
+last text of the two are kept, with paragraphs, headings and list items of links among them. So
+only WINDOW or more link lines in a row part two stretches; those far thinner than the best one are
+left out, unless they hold an <h1>.
 
 Cases: null, empty or textless html gives an empty text; unclosed and wrongly nested tags are
 closed by their parents; a `<` that opens no tag is text; any length is read in one linear pass;
@@ -55,28 +57,46 @@ SELF_ENDING = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({
                "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
 CONTAINER = frozenset("div section ul ol dl table p span header details figure blockquote li td "
                       "center".split())
-# Words in class, id or role that mark what is not the article.
+# Blocks of running text, in which mostly linked words can be the article's own.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption caption li dt dd td th pre".split())
+# Words in class or id that mark what is not the article, on any CONTAINER.
 ASIDE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
-    "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription "
-    "signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar rail footer masthead "
-    "topbar toolbar share sharing social related recommended recommendations trending widget "
-    "pagination pager skip disclaimer copyright legal complementary contentinfo search".split())
-REPLIES = frozenset("comment comments disqus reply replies respond discussion".split())
-
-
-def _marks(rest: str) -> tuple[set[str], bool]:
-    """(words in class, id and role; whether the element is hidden)."""
-    words, hidden = set(), False
+    "ad ads advert adverts advertisement sponsor sponsored promo cookie cookies gdpr popup modal "
+    "overlay newsletter subscribe signup login nav navbar breadcrumb breadcrumbs sidebar footer "
+    "masthead topbar toolbar pagination pager".split())
+# Words that also name parts of an article: they count on a GROUP, alone or beside FURNITURE.
+UNSURE = frozenset(
+    "advertising advertisements promotion banner consent notice alert subscription navigation menu "
+    "rail share sharing social related recommended recommendations trending widget skip disclaimer "
+    "copyright legal search".split())
+GROUP = frozenset("div ul ol dl span header center table".split())
+FURNITURE = UNSURE | ASIDE | frozenset(
+    "area bar block box btn button buttons container content field icon icons input item items link "
+    "links list main media module nav panel post posts primary secondary site top bottom left right "
+    "wrap wrapper".split())
+REPLIES = frozenset("comment comments disqus reply replies respond".split())
+THREAD = CONTAINER - frozenset("p span td figure blockquote".split())
+ROLES = frozenset("navigation menu menubar banner complementary contentinfo search alert dialog "
+                  "alertdialog toolbar".split())
+# A class such as has-sidebar or comments-open tells of the page, not of the element.
+FIRST = frozenset("has with no without is show hide".split())
+LAST = frozenset("open opened closed enabled disabled on off".split())
+
+
+def _marks(rest: str) -> tuple[list[list[str]], set[str], bool]:
+    """(words of each class and id; roles; whether the element is hidden)."""
+    names, roles, hidden = [], set(), False
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role"):
-            words.update(w.lower() for w in SPLIT.split(value) if w)
+        if name in ("class", "id"):
+            names += [[w.lower() for w in SPLIT.split(x) if w] for x in value.split()]
+        elif name == "role":
+            roles.update(value.lower().split())
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
             hidden |= name == "hidden" or value.lower() == "true"
-    return words, hidden
+    return names, roles, hidden
 
 
 def _not_article(name: str, rest: str, inside: bool) -> bool:
@@ -84,26 +104,36 @@ def _not_article(name: str, rest: str, inside: bool) -> bool:
         return True
     if not rest or rest.isspace():
         return False
-    words, hidden = _marks(rest)
-    return hidden or bool(words & REPLIES) or name in CONTAINER and bool(words & ASIDE)
+    names, roles, hidden = _marks(rest)
+    if hidden or name not in CONTAINER:
+        return hidden
+    for words in names:
+        if not words or words[0] in FIRST or words[-1] in LAST:
+            continue
+        if any(w in ASIDE or w in REPLIES and name in THREAD for w in words):
+            return True
+        if name in GROUP and FURNITURE.issuperset(words) and not UNSURE.isdisjoint(words):
+            return True
+    return not ROLES.isdisjoint(roles)
 
 
-def page_lines(html: str) -> list[tuple[str, bool, bool, float]]:
-    """Lines of a page: (text, may be article, inside <article> or <main>, share in links)."""
-    lines: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, bool, bool]] = []  # (element, left out, inside the article)
+def page_lines(html: str) -> list[tuple[str, bool, bool, float, str]]:
+    """Lines of a page: (text, may be article, inside <article> or <main>, share in links, block)."""
+    lines: list[tuple[str, bool, bool, float, str]] = []
+    stack: list[tuple[str, bool, bool, str]] = []  # (element, left out, inside the article, block)
     parts: list[str] = []
     linked = 0
     links = 0
 
-    def state() -> tuple[bool, bool]:
-        return stack[-1][1:] if stack else (False, False)
+    def state() -> tuple[bool, bool, str]:
+        return stack[-1][1:] if stack else (False, False, "")
 
     def flush() -> None:
         nonlocal linked
-        out, inside = state()
+        out, inside, block = state()
         text = " ".join(unescape("".join(parts)).split())
-        lines.append((text, not out, inside, linked / len(text) if text else 0.0))
+        if text:
+            lines.append((text, not out, inside, linked / len(text), block))
         parts.clear()
         linked = 0
 
@@ -155,10 +185,11 @@ def page_lines(html: str) -> list[tuple[str, bool, bool, float]]:
                     break
         if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
             continue
-        out, inside = state()
+        out, inside, block = state()
         inside = inside or name in ("article", "main") or "role" in m["rest"] and (
-            "main" in _marks(m["rest"])[0])
-        stack.append((name, out or _not_article(name, m["rest"], inside), inside))
+            "main" in _marks(m["rest"])[1])
+        stack.append((name, out or _not_article(name, m["rest"], inside), inside,
+                      name if name in BLOCK else block))
         links += name == "a"
     add(html[at:])
     flush()
@@ -166,22 +197,23 @@ def page_lines(html: str) -> list[tuple[str, bool, bool, float]]:
 
 
 def main_text(html: str | None) -> str:
-    lines = page_lines(html or "")
-    framed = any(ok and inside and text for text, ok, inside, _ in lines)
-    size = np.array([len(text) if ok and (inside if framed else share < LINKED) else 0
-                     for text, ok, inside, share in lines], "i8")
+    lines = [x for x in page_lines(html or "") if x[1]]
+    if any(inside for _, _, inside, _, _ in lines):
+        return "\n".join(text for text, _, inside, _, _ in lines if inside)
+    size = np.array([len(text) if share < LINKED else 0 for text, _, _, share, _ in lines], "i8")
     padded = np.concatenate([[0], np.cumsum(size)])
     # sums over windows of lines; each window is named by its last line
     ends = np.arange(1, len(size) + WINDOW)
     sums = padded[np.minimum(ends, len(size))] - padded[np.maximum(ends - WINDOW, 0)]
     live = np.concatenate([[False], sums > 0, [False]])
     surges = np.flatnonzero(~live[:-1] & live[1:])
-    dives = np.flatnonzero(live[:-1] & ~live[1:])
-    stretches = [(a, min(b, len(size)), padded[min(b, len(size))] - padded[a])
-                 for a, b in zip(surges.tolist(), dives.tolist())]
+    # the last line with text stands WINDOW - 1 lines before the last live window
+    dives = np.flatnonzero(live[:-1] & ~live[1:]) - WINDOW + 1
+    stretches = [(a, b, padded[b] - padded[a]) for a, b in zip(surges.tolist(), dives.tolist())]
     best = max((n for _, _, n in stretches), default=0)
-    kept = [k for a, b, n in stretches if framed or n >= THIN * best
-            for k in range(a, b) if size[k]]
+    kept = [k for a, b, n in stretches
+            if n >= THIN * best or any(lines[k][4] == "h1" for k in range(a, b))
+            for k in range(a, b) if size[k] or lines[k][4] in PROSE]
     return "\n".join(lines[k][0] for k in kept)
 
 

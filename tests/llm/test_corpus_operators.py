@@ -382,6 +382,39 @@ def test_main_text_without_an_article_element():
     assert len(lines) == 4 and lines[0].endswith("0.") and lines[3].endswith("3.")
 
 
+LONG_P = "<p>" + "sentence of some length " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("html,kept", [
+    # nesting alone parts nothing
+    (f"<div><h1>Title</h1></div><div><div><div>{LONG_P}</div></div></div>", "Title"),
+    (f"<section>{LONG_P}</section><div></div><section><div><p>A short end.</p></div></section>",
+     "A short end."),
+    (f'{LONG_P}<div class="ad"><p>a</p><p>b</p><p>c</p><p>d</p></div><p>A short end.</p>',
+     "A short end."),
+    # a paragraph of links between others, and a title above a menu
+    (f"{LONG_P}<p><a href=x>All about the method</a></p>{LONG_P}", "All about the method"),
+    (f"<h1>Title</h1>{'<div><a href=a>One</a></div>' * 4}{LONG_P}", "Title"),
+    # words that tell of the page or name a part of the article
+    (f"<body class='single comments-open'>{LONG_P}<p>Kept.</p>", "Kept."),
+    (f"<div class='page has-sidebar'>{LONG_P}<p>Kept.</p></div>", "Kept."),
+    (f"{LONG_P}<section id='discussion'><h2>Discussion</h2></section>", "Discussion"),
+    (f"{LONG_P}<section class='legal'><p>On law.</p></section>", "On law."),
+    (f"{LONG_P}<div id='social-impact'><p>On impact.</p></div>", "On impact."),
+    (f"{LONG_P}<h2 class='search comments'>On search</h2>", "On search")])
+def test_article_text_is_not_dropped(html, kept):
+    assert kept in html_text.main_text(html).split("\n")
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='comments'>Gone</div>", "<ol class='comment-list'><li>Gone</ol>",
+    "<div class='social-links'>Gone</div>", "<div role='search'>Gone</div>",
+    "<div id='legal'>Gone</div>", "<section class='newsletter-box'>Gone</section>",
+    "<div><a href=a>Gone</a> <a href=b>Two</a></div>"])
+def test_what_is_not_the_article_still_goes(part):
+    assert "Gone" not in html_text.main_text(f"<body>{LONG_P}{part}{LONG_P}")
+
+
 def test_odd_pages(spark):
     cases = {1: (None, ""), 2: ("", ""), 3: ("<p>", ""), 4: ("a < b <3", "a < b <3"),
              5: ("<div>x<div>y", "x\ny"), 6: ("<script>never ends", ""), 7: ("<p>one</div></p>two",
