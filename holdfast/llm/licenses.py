@@ -1,15 +1,17 @@
 """License scans: places of base phrases, and license notices found by a set-similarity join.
 
-Method: exact set-similarity join of notice templates with text blocks (lines). Both are sets of
-words; a template T is found where a block holds ceil(t |T|) of its words. Words are ordered by
-how few documents of the whole corpus hold them, rarest first. A block that reaches the threshold
-must share one of the first |T| - ceil(t |T|) + 1 words of T in that order (prefix filter), have
-at least ceil(t |T|) template words (length filter), and have enough words left behind the shared
-ones (positional filter). Only blocks that pass are compared in full.
+Method: exact set-similarity join of notice templates with text blocks (paragraphs: lines up to one
+without a word). Both are sets of words; a template T is a candidate where a block holds
+ceil(t |T|) of its words. Words are ordered by how few documents of the whole corpus hold them,
+rarest first. A block that reaches the threshold must share one of the first |T| - ceil(t |T|) + 1
+words of T in that order (prefix filter), have at least ceil(t |T|) template words (length filter),
+and have enough words left behind the shared ones (positional filter). Only blocks that pass are
+compared in full. A candidate is found where some run of neighbouring words, across line ends and
+little more than twice as long as the template, holds ceil(t |T|) of its words.
 
 Everything is DataFrame expressions. Template words are few and fixed, so a text is first reduced
 to the template words it holds; only texts that hold enough words of some template are cut into
-lines. The template index is a table whose size depends on the templates alone.
+paragraphs. The template index is a table whose size depends on the templates alone.
 
 Cases: a null or empty text has no words, places or labels and score 0; equal places cannot tie, as
 a word starts one phrase at most; repeated rows each get their row; an empty table gives an empty
@@ -29,6 +31,7 @@ from holdfast.llm.tables import id_and_text, lower_ascii
 from holdfast.session import stage
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = rf"\n{BREAKS[:-1]}*\n"  # a line without a word
 THRESHOLD = 0.8
 
 # Base phrases and their labels.
@@ -56,6 +59,11 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(BREAKS, text.lower()) if w))
 
 
+def span(text: str) -> int:
+    """Words among which a notice must stand: room for names and comment marks between its own."""
+    return 2 * sum(w != "" for w in re.split(BREAKS, text)) + 4
+
+
 def needed(n: int, threshold: float) -> int:
     return ceil(threshold * n - 1e-9)
 
@@ -87,8 +95,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
          threshold: float = THRESHOLD, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, places (start, label), labels and score, and the found blocks."""
-    wanted = [(n, label, template_words(text)) for n, (label, text) in enumerate(templates)]
-    vocabulary = sorted({w for _, _, words in wanted for w in words})
+    wanted = [(label, template_words(text), span(text)) for label, text in templates]
+    vocabulary = sorted({w for _, words, _ in wanted for w in words})
     low = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     rows = id_and_text(docs, id_col, text_col).select("doc_id", low.alias("low")).withColumn(
@@ -98,7 +106,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
         .alias("places"),
         F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])).alias("held"))
     enough = F.lit(False)
-    for _, _, words in wanted:
+    for _, words, _ in wanted:
         enough |= F.size(F.array_intersect("held", F.array(*[F.lit(w) for w in words]))) >= (
             needed(len(words), threshold))
     rows = stage(rows.select("doc_id", "n_words", "places", "held",
@@ -116,7 +124,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
                       F.array_sort(both).alias("labels"), score.alias("score"), "blocks")
 
 
-def found_blocks(rows: DataFrame, wanted: Sequence[tuple[int, str, list[str]]],
+def found_blocks(rows: DataFrame, wanted: Sequence[tuple[str, list[str], int]],
                  vocabulary: list[str], threshold: float) -> DataFrame:
     """(row, block, label, containment): the join itself. rows: row, held, low."""
     spark = rows.sparkSession
@@ -125,29 +133,41 @@ def found_blocks(rows: DataFrame, wanted: Sequence[tuple[int, str, list[str]]],
         "word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (uses.get(w, 0), w))
     rank = {w: k + 1 for k, w in enumerate(order)}
-    index, bodies = [], []
-    for n, label, words in wanted:
+    index, smallest = [], len(order)
+    for label, words, reach in wanted:
         own = sorted(rank[w] for w in words)
         least = needed(len(own), threshold)
-        bodies.append((n, label, own, least))
-        index += [(n, own[i], i, len(own), least) for i in range(len(own) - least + 1)]
-    prefix = spark.createDataFrame(
-        index, "template int, rank int, place int, size int, least int")
-    body = spark.createDataFrame(bodies, "template int, label string, own array<int>, least int")
-    smallest = min((b[3] for b in bodies), default=1)
+        smallest = min(smallest, least)
+        first = own[:len(own) - least + 1]
+        index += [(r, i, first, label, own, words, least, reach) for i, r in enumerate(first)]
+    templates = spark.createDataFrame(
+        index, "rank int, place int, first array<int>, label string, own array<int>, "
+               "own_words array<string>, least int, reach int")
     ranked = F.array(*[F.lit(w) for w in order])
-    lines = rows.where("low IS NOT NULL").select("row", F.posexplode(F.split("low", "\n")).alias(
-        "block", "line"))
-    sets = lines.select("row", "block", F.array_sort(F.transform(
-        F.array_intersect(F.split("line", BREAKS), ranked),
+    blocks = rows.where("low IS NOT NULL").select("row", F.posexplode(F.split("low", GAP)).alias(
+        "block", "part"))
+    sets = blocks.select("row", "block", "part", F.array_sort(F.transform(
+        F.array_intersect(F.split("part", BREAKS), ranked),
         lambda w: F.array_position(ranked, w).cast("int"))).alias("ranks")).where(
         F.size("ranks") >= smallest)
-    probes = sets.select("row", "block", "ranks", F.posexplode("ranks").alias("at", "rank"))
+    probes = sets.select("*", F.posexplode("ranks").alias("at", "rank"))
     size = F.size("ranks")
-    candidates = probes.join(prefix, "rank").where(
-        (size >= F.col("least")) & (F.least(F.col("size") - F.col("place"), size - F.col("at"))
-                                    >= F.col("least"))).select(
-        "row", "block", "ranks", "template").distinct()
-    common = F.size(F.array_intersect("ranks", "own"))
-    return candidates.join(body, "template").where(common >= F.col("least")).select(
-        "row", "block", "label", (common / F.size("own")).alias("containment"))
+    # a block meets a template once, by the first prefix word they share
+    candidates = probes.join(templates, "rank").where(
+        (size >= F.col("least")) & (F.least(F.size("own") - F.col("place"), size - F.col("at"))
+                                    >= F.col("least"))
+        & (F.array_min(F.array_intersect("ranks", "first")) == F.col("rank"))
+        & (F.size(F.array_intersect("ranks", "own")) >= F.col("least")))
+    words = F.filter(F.split("part", BREAKS), lambda w: w != "")
+    near = candidates.select("row", "block", "label", "own_words", "least", "reach",
+                             words.alias("words"))
+
+    def common(i: Column) -> Column:
+        return F.size(F.array_intersect(F.slice("words", i + 1, F.col("reach")),
+                                        F.col("own_words")))
+
+    runs = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(
+        "own_words", F.get("words", i)) & (common(i) >= F.col("least")))
+    most = F.array_max(F.transform("runs", common))
+    return near.withColumn("runs", runs).where(F.size("runs") > 0).select(
+        "row", "block", "label", (most / F.size("own_words")).alias("containment"))

@@ -244,6 +244,23 @@ def test_license_places(spark, rows):
         want((d, *brute.license_base(t)) for d, t in rows))
 
 
+def test_wrapped_license_notices(spark):
+    import textwrap
+
+    notices = [(k, label, text) for k, (label, text) in enumerate(licenses.TEMPLATES)]
+    rows = [(1000 * width + 10 * k + m, "Some title\n\n" + "\n".join(
+        mark + line for line in textwrap.wrap(f"{text}: and more of it", width)) + "\n\nEnd")
+        for k, _, text in notices for width in (20, 40, 70, 80)
+        for m, mark in enumerate(("", " * ", "# "))]
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(odd(spark, rows)).collect()}
+    for k, label, _ in notices:
+        assert all(label in found[d] for d, _ in rows if d % 1000 // 10 == k)
+    far = " filler" * 40
+    apart = "".join(w + far + " " for w in "Released under the MIT License".split())
+    rows = [(1, apart), (2, "Released under\n\nsome words\n\nthe MIT License")]
+    assert all(r["labels"] == [] for r in licenses.scan(odd(spark, rows)).collect())
+
+
 # -------------------------------------------------------------------------------------- urls
 def test_site_rules_and_word_rules(spark):
     cases = {
