@@ -7,7 +7,8 @@ rarest first. A block that reaches the threshold must share one of the first |T|
 words of T in that order (prefix filter), have at least ceil(t |T|) template words (length filter),
 and have enough words left behind the shared ones (positional filter). Only blocks that pass are
 compared in full. A candidate is found where some run of neighbouring words, across line ends and
-little more than twice as long as the template, holds ceil(t |T|) of its words.
+little more than twice as long as the template, holds ceil(t |T|) of its words, the words that tell
+T from other notices among them (MARKS).
 
 Everything is DataFrame expressions. Template words are few and fixed, so a text is first reduced
 to the template words it holds; only texts that hold enough words of some template are cut into
@@ -53,6 +54,10 @@ TEMPLATES = (
             "this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"))
+# What must stand in a notice, by template: words or phrases, `|` between equal ones.
+MARKS = (("apache", "2|v2"), ("redistribution", "binary"), ("by nc",), ("by sa",), ("waived",),
+         ("gnu general public license", "3|v3"), ("lesser general public license",), ("mit",),
+         ("permission", "associated"), ("mozilla",), ("unencumbered",))
 
 
 def template_words(text: str) -> list[str]:
@@ -93,10 +98,16 @@ def _any_phrase() -> str:
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
          threshold: float = THRESHOLD, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, places (start, label), labels and score, and the found blocks."""
-    wanted = [(label, template_words(text), span(text)) for label, text in templates]
-    vocabulary = sorted({w for _, words, _ in wanted for w in words})
+         text_col: str = "text", marks: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Per row: id, n_words, places (start, label), labels and score, and the found blocks.
+
+    marks: what each template's notices must hold; MARKS for TEMPLATES, nothing for other ones.
+    """
+    if marks is None:
+        marks = MARKS if templates is TEMPLATES else [()] * len(templates)
+    wanted = [(label, template_words(text), span(text), [f"(?:^| )(?:{m})(?: |$)" for m in must])
+              for (label, text), must in zip(templates, marks, strict=True)]
+    vocabulary = sorted({w for _, words, _, _ in wanted for w in words})
     low = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     rows = id_and_text(docs, id_col, text_col).select("doc_id", low.alias("low")).withColumn(
@@ -106,7 +117,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
         .alias("places"),
         F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])).alias("held"))
     enough = F.lit(False)
-    for _, words, _ in wanted:
+    for _, words, _, _ in wanted:
         enough |= F.size(F.array_intersect("held", F.array(*[F.lit(w) for w in words]))) >= (
             needed(len(words), threshold))
     rows = stage(rows.select("doc_id", "n_words", "places", "held",
@@ -124,7 +135,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
                       F.array_sort(both).alias("labels"), score.alias("score"), "blocks")
 
 
-def found_blocks(rows: DataFrame, wanted: Sequence[tuple[str, list[str], int]],
+def found_blocks(rows: DataFrame, wanted: Sequence[tuple[str, list[str], int, list[str]]],
                  vocabulary: list[str], threshold: float) -> DataFrame:
     """(row, block, label, containment): the join itself. rows: row, held, low."""
     spark = rows.sparkSession
@@ -134,15 +145,16 @@ def found_blocks(rows: DataFrame, wanted: Sequence[tuple[str, list[str], int]],
     order = sorted(vocabulary, key=lambda w: (uses.get(w, 0), w))
     rank = {w: k + 1 for k, w in enumerate(order)}
     index, smallest = [], len(order)
-    for label, words, reach in wanted:
+    for label, words, reach, marks in wanted:
         own = sorted(rank[w] for w in words)
         least = needed(len(own), threshold)
         smallest = min(smallest, least)
         first = own[:len(own) - least + 1]
-        index += [(r, i, first, label, own, words, least, reach) for i, r in enumerate(first)]
+        index += [(r, i, first, label, own, words, least, reach, marks)
+                  for i, r in enumerate(first)]
     templates = spark.createDataFrame(
         index, "rank int, place int, first array<int>, label string, own array<int>, "
-               "own_words array<string>, least int, reach int")
+               "own_words array<string>, least int, reach int, marks array<string>")
     ranked = F.array(*[F.lit(w) for w in order])
     blocks = rows.where("low IS NOT NULL").select("row", F.posexplode(F.split("low", GAP)).alias(
         "block", "part"))
@@ -158,16 +170,24 @@ def found_blocks(rows: DataFrame, wanted: Sequence[tuple[str, list[str], int]],
                                     >= F.col("least"))
         & (F.array_min(F.array_intersect("ranks", "first")) == F.col("rank"))
         & (F.size(F.array_intersect("ranks", "own")) >= F.col("least")))
+    own = F.col("own_words")
+
+    def once(value: Column, use) -> Column:
+        """use(value), with the value computed a single time."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def held(run: Column) -> Column:
+        """Template words of a run that is a notice."""
+        n = F.size(F.array_intersect(run, own))
+        marked = F.forall("marks", lambda m: F.rlike(F.concat_ws(" ", run), m))
+        return F.when((n >= F.col("least")) & marked, n)
+
+    def most(words: Column) -> Column:
+        return F.array_max(F.transform(words, lambda w, i: F.when(
+            F.array_contains(own, w), once(F.slice(words, i + 1, F.col("reach")), held))))
+
     words = F.filter(F.split("part", BREAKS), lambda w: w != "")
-    near = candidates.select("row", "block", "label", "own_words", "least", "reach",
-                             words.alias("words"))
-
-    def common(i: Column) -> Column:
-        return F.size(F.array_intersect(F.slice("words", i + 1, F.col("reach")),
-                                        F.col("own_words")))
-
-    runs = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(
-        "own_words", F.get("words", i)) & (common(i) >= F.col("least")))
-    most = F.array_max(F.transform("runs", common))
-    return near.withColumn("runs", runs).where(F.size("runs") > 0).select(
-        "row", "block", "label", (most / F.size("own_words")).alias("containment"))
+    # exploded, so that the filter below is not computed a second time under it
+    return candidates.select("row", "block", "label", "own_words", F.explode(
+        F.transform(F.array(words), most)).alias("most")).where("most IS NOT NULL").select(
+        "row", "block", "label", (F.col("most") / F.size("own_words")).alias("containment"))

@@ -261,6 +261,24 @@ def test_wrapped_license_notices(spark):
     assert all(r["labels"] == [] for r in licenses.scan(odd(spark, rows)).collect())
 
 
+def test_deciding_words_of_license_notices(spark):
+    cases = {
+        "This work is licensed under the GNU General Public License, version 3": {"gpl", "gpl-3.0"},
+        "This work is licensed under the GNU General Public License v3": {"gpl", "gpl-3.0"},
+        "This work is licensed under the GNU General Public License, version 2": {"gpl"},
+        "This work is licensed under the GNU Lesser General Public License, version 3": {
+            "gpl", "lgpl"},
+        "Licensed under CC BY 4.0": {"cc-by"}, "Licensed under CC BY-NC 4.0": {"cc-by", "cc-by-nc"},
+        "Licensed under CC BY-SA 4.0": {"cc-by", "cc-by-sa"},
+        "Licensed under the Apache License, Version 1.0": set(),
+        "Released under the BSD License": set(), "Released under the MIT License": {"mit"},
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a "
+        "copy of the software and accompanying documentation covered by this license": set()}
+    rows = list(enumerate(cases))
+    found = {r["doc_id"]: set(r["labels"]) for r in licenses.scan(odd(spark, rows)).collect()}
+    assert found == dict(enumerate(cases.values()))
+
+
 # -------------------------------------------------------------------------------------- urls
 def test_site_rules_and_word_rules(spark):
     cases = {
