@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
@@ -12,6 +12,7 @@ from holdfast.llm import (
     html_text,
     language,
     licenses,
+    merkle,
     neardup,
     packing,
     quality,
@@ -19,7 +20,7 @@ from holdfast.llm import (
     token_files,
     urls,
 )
-from holdfast.llm.tables import read_table
+from holdfast.llm.tables import lower_ascii, read_table
 
 
 def vocabulary_path(name: str) -> str:
@@ -235,14 +236,83 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def tampered(docs: DataFrame) -> Column:
+        fields = [docs[c] for c in merkle.FIELDS[:-1]]
+        hit = F.crc32(docs["doc_id"].cast("string")) % 5 == 0
+        return F.when(hit, merkle.leaf_hash([*fields, lower_ascii(docs["text"])]))
+
+    return merkle.verify(merkle.manifest(read_table(spark, sf_dir, "documents"), tampered))
+
+
+def _op12_sql(levels: int = 5) -> str:
+    def leaf(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')"
+            for f in fields) + ")"
+
+    def tree(name: str, nodes: str) -> str:
+        """CTEs `name`0.. of nodes and `name`r0.. of runs, from rows (tree, pos, n, h)."""
+        parts = [f"{name}0 AS MATERIALIZED ({nodes})"]
+        for k in range(levels):
+            parts.append(f"""{name}r{k} AS MATERIALIZED (
+         SELECT tree, pos // 16 AS run, any_value(n) AS n, list(h ORDER BY pos) AS hs
+         FROM {name}{k} GROUP BY tree, pos // 16)""")
+            parts.append(f"""{name}{k + 1} AS MATERIALIZED (
+         SELECT tree, run AS pos, (n + 15) // 16 AS n,
+                CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h
+         FROM {name}r{k})""")
+        return ",\n     ".join(parts)
+
+    def walk(name: str, runs: str, start: str) -> str:
+        """CTEs `name`0..: folded node f and siblings so far s of each row, place pos."""
+        parts = [f"{name}0 AS MATERIALIZED ({start})"]
+        for k in range(levels):
+            left = "array_to_string(hs[1:pos % 16], '')"
+            right = "array_to_string(hs[pos % 16 + 2:], '')"
+            parts.append(f"""{name}{k + 1} AS MATERIALIZED (
+         SELECT w.row, w.tree, pos // 16 AS pos,
+                CASE WHEN n = 1 THEN f ELSE sha256({left} || f || {right}) END AS f,
+                CASE WHEN n = 1 THEN s ELSE s || {left} || {right} END AS s
+         FROM {name}{k} w JOIN {runs}r{k} r ON r.tree = w.tree AND r.run = w.pos // 16)""")
+        return ",\n     ".join(parts)
+
+    return f"""
+WITH hashed AS MATERIALIZED (
+         SELECT row_number() OVER () AS row, doc_id, source, {leaf("text")} AS leaf,
+                CASE WHEN xor(4294967295::UBIGINT, list_reduce(
+                    [4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''),
+                                                            lambda c: ascii(c)::UBIGINT),
+                    lambda a, b: list_reduce([xor(a, b)] || [0::UBIGINT for x in range(8)],
+                        lambda c, z: xor(c >> 1, 3988292384::UBIGINT * (c & 1))))) % 5 = 0
+                THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+                           " 'abcdefghijklmnopqrstuvwxyz')")} END AS claim
+         FROM documents),
+     placed AS MATERIALIZED (
+         SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1
+                AS pos, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+     {tree("t", "SELECT tree, pos, n, leaf AS h FROM placed")},
+     {tree("c", f"SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM t{levels}")},
+     {walk("w", "t", "SELECT row, tree, pos, coalesce(claim, leaf) AS f, '' AS s FROM placed")},
+     {walk("v", "c", f"SELECT row, 0 AS tree, tree AS pos, f, s FROM w{levels}")}
+SELECT doc_id, leaf, t.h AS subroot, c.h AS root, sha256(v.s) AS proof_sha256,
+       v.f AS folded_root, v.f = c.h AS verified
+FROM placed p JOIN t{levels} t ON t.tree = p.tree JOIN v{levels} v ON v.row = p.row
+CROSS JOIN c{levels} c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_best_fit_packing, op3_token_files, op4_secret_scans,
         op5_license_scans, op6_url_filters, op7_language_id,
-        op8_quality_rules, op9_near_dedup, op10_html_extraction)}
+        op8_quality_rules, op9_near_dedup, op10_html_extraction, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontamination": OP1_SQL, "op5_license_scans": _op5_sql(),
             "op6_url_filters": OP6_SQL,
-            "op8_quality_rules": OP8_SQL, "op9_near_dedup": OP9_SQL}
+            "op8_quality_rules": OP8_SQL, "op9_near_dedup": OP9_SQL,
+            "op12_merkle_manifest": _op12_sql()}
