@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from holdfast.llm import (
     html_text,
     language,
     licenses,
+    line_dedup,
     merkle,
     neardup,
     packing,
@@ -21,6 +23,7 @@ from holdfast.llm import (
     urls,
 )
 from holdfast.llm.tables import lower_ascii, read_table
+from holdfast.session import shared_dir
 
 
 def vocabulary_path(name: str) -> str:
@@ -236,6 +239,33 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    index = line_dedup.build(docs, f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}")
+    return index.deduplicate(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH lines AS MATERIALIZED (
+         SELECT row, doc_id, i, line, CASE WHEN length(key) >= 20 THEN key END AS key
+         FROM (SELECT row, doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line,
+                      regexp_replace(translate(unnest(lines), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                               'abcdefghijklmnopqrstuvwxyz'),
+                                     '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key
+               FROM (SELECT row_number() OVER () AS row, doc_id,
+                            string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+     repeated AS (SELECT key, max(doc_id) AS top FROM lines WHERE key IS NOT NULL
+                  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+     judged AS (SELECT l.*, coalesce(r.key IS NOT NULL AND doc_id <> top, false) AS dropped
+                FROM lines l LEFT JOIN repeated r ON r.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), ''))
+           AS kept_sha256
+FROM judged GROUP BY row, doc_id
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     def tampered(docs: DataFrame) -> Column:
         fields = [docs[c] for c in merkle.FIELDS[:-1]]
@@ -308,11 +338,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_best_fit_packing, op3_token_files, op4_secret_scans,
         op5_license_scans, op6_url_filters, op7_language_id,
-        op8_quality_rules, op9_near_dedup, op10_html_extraction, op12_merkle_manifest)}
+        op8_quality_rules, op9_near_dedup, op10_html_extraction,
+        op11_line_dedup, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontamination": OP1_SQL, "op5_license_scans": _op5_sql(),
             "op6_url_filters": OP6_SQL,
             "op8_quality_rules": OP8_SQL, "op9_near_dedup": OP9_SQL,
-            "op12_merkle_manifest": _op12_sql()}
+            "op11_line_dedup": OP11_SQL, "op12_merkle_manifest": _op12_sql()}
