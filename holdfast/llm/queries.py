@@ -17,6 +17,7 @@ from holdfast.llm import (
     merkle,
     neardup,
     packing,
+    phrases,
     quality,
     secrets,
     token_files,
@@ -334,16 +335,58 @@ CROSS JOIN c{levels} c
 """
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+         SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^ \t]+') AS w
+         FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+               FROM documents)),
+     grams AS MATERIALIZED (
+         SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase,
+                any_value(w[i:i + k - 1]) AS w, count(*)::HUGEINT AS f
+         FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+               FROM pieces, (VALUES (1), (2), (3)) AS s(k))
+         GROUP BY ALL),
+     totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+     cand AS MATERIALIZED (SELECT * FROM grams WHERE k > 1 AND f >= 10),
+     cuts AS (SELECT c.lang, c.k, c.phrase, c.f AS a, cut, l.f AS l, r.f AS r,
+                     (1000000 * c.f * c.f) // (l.f * r.f) AS score
+              FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c
+              JOIN grams l ON l.lang = c.lang
+                   AND l.k = cut AND l.phrase = array_to_string(c.w[1:cut], ' ')
+              JOIN grams r ON r.lang = c.lang AND r.k = c.k - cut
+                   AND r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+     lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (
+                    PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+     longer AS (SELECT lang, phrase, max(f) AS f FROM (
+                    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM cand WHERE k = 3
+                    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM cand WHERE k = 3)
+                GROUP BY lang, phrase),
+     kept AS (SELECT x.* FROM lowest x LEFT JOIN longer y ON x.k = 2 AND y.lang = x.lang
+                   AND y.phrase = x.phrase WHERE y.f IS NULL OR 100 * y.f < 50 * x.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept k JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_best_fit_packing, op3_token_files, op4_secret_scans,
         op5_license_scans, op6_url_filters, op7_language_id,
         op8_quality_rules, op9_near_dedup, op10_html_extraction,
-        op11_line_dedup, op12_merkle_manifest)}
+        op11_line_dedup, op12_merkle_manifest, op13_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontamination": OP1_SQL, "op5_license_scans": _op5_sql(),
             "op6_url_filters": OP6_SQL,
             "op8_quality_rules": OP8_SQL, "op9_near_dedup": OP9_SQL,
-            "op11_line_dedup": OP11_SQL, "op12_merkle_manifest": _op12_sql()}
+            "op11_line_dedup": OP11_SQL, "op12_merkle_manifest": _op12_sql(),
+            "op13_phrase_collocations": OP13_SQL}
