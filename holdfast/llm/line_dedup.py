@@ -176,8 +176,8 @@ class LineIndex:
             keys = own["lo"].to_numpy()
             kept.delete(keys[~new])
             kept.insert(keys[new])
-            shard = own["shard"][:1]
-            return pa.table([shard, pa.array([of] * len(shard)),
+            shard = own["shard"][:1]  # none where nothing changes: the stored filter stays
+            return pa.table([shard, pa.array([of] * len(shard), pa.int64()),
                              pa.array([kept.to_bytes()] * len(shard), pa.binary())],
                             names=["shard", "of", "slots"])
 
@@ -185,7 +185,6 @@ class LineIndex:
         rows = [df.select(*KEY, F.lit(flag).alias("put"))
                 for df, flag in ((put, True), (out, False)) if df is not None]
         keys = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-        # shards nothing touched have no group of their own and keep their stored filter
         touched = self._sharded(keys).groupBy("shard").cogroup(old.groupBy("shard"))
         self._write("filters", touched.applyInArrow(run, "shard long, of long, slots binary"))
 
