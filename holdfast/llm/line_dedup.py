@@ -193,12 +193,15 @@ class LineIndex:
         """Put in the documents that are not held."""
         docs = id_and_text(docs, id_col, text_col)
         known = self.keys()
-        if known is not None:
-            docs = docs.join(self._live("docs").select("doc_id").distinct(), "doc_id",
-                             "left_anti").select("doc_id", "text")
+        ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+        refs = references(docs, self.min_chars).distinct()
+        if known is not None:  # narrow rows meet the held ids; texts stay where they are
+            held_ids = self._live("docs").select("doc_id").distinct()
+            ids = ids.join(held_ids, "doc_id", "left_anti")
+            refs = refs.join(held_ids, "doc_id", "left_anti")
         self.generation += 1
-        refs = self._write("refs", references(docs, self.min_chars).distinct())
-        self._write("docs", docs.select("doc_id").where("doc_id IS NOT NULL").distinct())
+        refs = self._write("refs", refs.select("doc_id", *KEY))
+        self._write("docs", ids)
         touched = refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"),
                                          F.max("doc_id").alias("top"))
         if known is None:
