@@ -36,7 +36,6 @@ from holdfast.session import stage
 
 FANOUT = 16
 KEPT_EVERY = 3  # levels
-BLOCK = FANOUT ** KEPT_EVERY
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<left:string,right:string>>"
 
@@ -52,10 +51,10 @@ def leaf_hash(fields: Sequence[Column]) -> Column:
                                         F.lit("-")) for t in texts]), 256)
 
 
-def subtree(nodes: list[str], n: int) -> list[list[str]]:
+def subtree(nodes: list[str], n: int, every: int) -> list[list[str]]:
     """The levels above `nodes` up to the next kept one; n: nodes of the whole tree's level."""
     levels = [nodes]
-    while n > 1 and len(levels) <= KEPT_EVERY:
+    while n > 1 and len(levels) <= every:
         nodes = [node_hash("".join(nodes[i:i + FANOUT])) for i in range(0, len(nodes), FANOUT)]
         levels.append(nodes)
         n = -(-n // FANOUT)
@@ -92,15 +91,16 @@ def fold(node: str, path: Sequence[tuple[str, str]]) -> str:
 class Forest:
     """Trees by their kept levels: rows (tree, block, n, nodes[, ids, claims]), lowest first."""
 
+    every: int  # levels from one kept one to the next
     kept: list[DataFrame]
     tops: DataFrame  # tree, top
 
 
-def _tops(blocks: DataFrame) -> DataFrame:
+def _tops(blocks: DataFrame, every: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tops = [subtree(nodes, n)[-1][0] for n, nodes in zip(batch.column(2).to_pylist(),
-                                                                batch.column(3).to_pylist())]
+            tops = [subtree(nodes, n, every)[-1][0] for n, nodes in zip(
+                batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tops, pa.string())],
                                              names=["tree", "block", "n", "top"])
 
@@ -108,29 +108,30 @@ def _tops(blocks: DataFrame) -> DataFrame:
         run, "tree long, block long, n long, top string")
 
 
-def _grouped(nodes: DataFrame, name: str, *extra: str) -> DataFrame:
-    """Rows (tree, pos, n, node, ...) as one stored row for each aligned run of BLOCK nodes."""
+def _grouped(nodes: DataFrame, size: int, *extra: str) -> DataFrame:
+    """Rows (tree, pos, n, node, ...) as one stored row for each aligned run of `size` nodes."""
     items = F.sort_array(F.collect_list(F.struct("pos", "node", *extra)))
-    block = F.floor(F.col("pos") / BLOCK).cast("long").alias("block")
+    block = F.floor(F.col("pos") / size).cast("long").alias("block")
     rows = nodes.groupBy("tree", block).agg(F.first("n").alias("n"), items.alias("items"))
     return stage(rows.select("tree", "block", "n", F.col("items.node").alias("nodes"),
-                             *[F.col(f"items.{c}").alias(f"{c}s") for c in extra]), name)
+                             *[F.col(f"items.{c}").alias(f"{c}s") for c in extra]), "merkle")
 
 
-def grow(nodes: DataFrame, largest: int, *extra: str) -> Forest:
+def grow(nodes: DataFrame, largest: int, every: int, *extra: str) -> Forest:
     """Forest over rows (tree, pos, n, node): n nodes in the tree, pos from 0 in it."""
-    kept = [_grouped(nodes, "merkle", *extra)]
-    tops = stage(_tops(kept[0]), "merkle-tops")
-    done = tops.where(F.col("n") <= BLOCK)
-    while largest > BLOCK:
-        up = tops.where(F.col("n") > BLOCK).select(
-            "tree", F.col("block").alias("pos"), F.ceil(F.col("n") / BLOCK).alias("n"),
+    size = FANOUT ** every
+    kept = [_grouped(nodes, size, *extra)]
+    tops = stage(_tops(kept[0], every), "merkle-tops")
+    done = tops.where(F.col("n") <= size)
+    while largest > size:
+        up = tops.where(F.col("n") > size).select(
+            "tree", F.col("block").alias("pos"), F.ceil(F.col("n") / size).alias("n"),
             F.col("top").alias("node"))
-        kept.append(_grouped(up, "merkle"))
-        tops = stage(_tops(kept[-1]), "merkle-tops")
-        done = done.unionByName(tops.where(F.col("n") <= BLOCK))
-        largest = -(-largest // BLOCK)
-    return Forest(kept, done.select("tree", "top"))
+        kept.append(_grouped(up, size))
+        tops = stage(_tops(kept[-1], every), "merkle-tops")
+        done = done.unionByName(tops.where(F.col("n") <= size))
+        largest = -(-largest // size)
+    return Forest(every, kept, done.select("tree", "top"))
 
 
 @dataclass
@@ -141,7 +142,7 @@ class Manifest:
 
 
 def manifest(docs: DataFrame, claim: Callable[[DataFrame], Column] | None = None,
-             fields: Sequence[str] = FIELDS) -> Manifest:
+             fields: Sequence[str] = FIELDS, every: int = KEPT_EVERY) -> Manifest:
     """Manifest of `docs` (fields: id, source, then any others).
 
     claim: from the documents, the leaf that a later holder of the row presents; kept beside the
@@ -164,36 +165,38 @@ def manifest(docs: DataFrame, claim: Callable[[DataFrame], Column] | None = None
         sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select(
         "s.tree", (F.col("r.rank") - F.col("s.first")).alias("pos"), "s.n", "r.node", "r.id",
         "r.claim")
-    trees = grow(placed, largest, "id", "claim")
+    trees = grow(placed, largest, every, "id", "claim")
     crown = grow(trees.tops.select(F.lit(0).cast("long").alias("tree"),
                                    F.col("tree").alias("pos"), F.lit(n_sources).cast("long")
-                                   .alias("n"), F.col("top").alias("node")), n_sources)
+                                   .alias("n"), F.col("top").alias("node")), n_sources, every)
     return Manifest(sources, trees, crown)
 
 
 # -------------------------------------------------------------------------------------- proofs
-def _with_upper(blocks: DataFrame, paths: DataFrame | None, above: DataFrame) -> DataFrame:
+def _with_upper(blocks: DataFrame, paths: DataFrame | None, above: DataFrame,
+                size: int) -> DataFrame:
     """Blocks and the path above each: from the kept level over it, or from above its tree.
 
     Only the narrow keys of blocks meet `above`, so a hot tree's digests are not moved for it.
     """
     keys = blocks.select("tree", "block", "n")
-    upper = keys.where(F.col("n") <= BLOCK).join(above, "tree").select("tree", "block", "path")
+    upper = keys.where(F.col("n") <= size).join(above, "tree").select("tree", "block", "path")
     if paths is not None:
         upper = upper.unionByName(paths.select("tree", F.col("pos").alias("block"), "path"))
     return blocks.join(stage(upper, "merkle-upper"), ["tree", "block"])
 
 
-def _paths_below(blocks: DataFrame) -> DataFrame:
+def _paths_below(blocks: DataFrame, every: int) -> DataFrame:
     """(tree, pos, path up to the root) of every node of the blocks (tree, block, n, nodes, path)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 upper = [(p["left"], p["right"]) for p in row["path"]]
-                levels = subtree(row["nodes"], row["n"])
+                levels = subtree(row["nodes"], row["n"], every)
                 paths = [[{"left": a, "right": b} for a, b in siblings(levels, k) + upper]
                          for k in range(len(row["nodes"]))]
-                at = range(row["block"] * BLOCK, row["block"] * BLOCK + len(paths))
+                first = row["block"] * FANOUT ** every
+                at = range(first, first + len(paths))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["tree"]] * len(paths), pa.int64()), pa.array(at, pa.int64()),
                      pa.array(paths, pa.list_(pa.struct(
@@ -207,9 +210,10 @@ def _paths_below(blocks: DataFrame) -> DataFrame:
 def _descend(forest: Forest, above: DataFrame) -> DataFrame:
     """The lowest kept blocks with their upper paths."""
     paths = None
+    size = FANOUT ** forest.every
     for blocks in reversed(forest.kept[1:]):
-        paths = _paths_below(_with_upper(blocks, paths, above))
-    return _with_upper(forest.kept[0], paths, above)
+        paths = _paths_below(_with_upper(blocks, paths, above, size), forest.every)
+    return _with_upper(forest.kept[0], paths, above, size)
 
 
 def verify(found: Manifest) -> DataFrame:
@@ -218,7 +222,8 @@ def verify(found: Manifest) -> DataFrame:
     head = found.crown.tops.first()
     root = head["top"] if head else None
     none = found.crown.tops.select("tree", F.array().cast(PATH).alias("path"))
-    above = stage(_paths_below(_descend(found.crown, none)).select(
+    every = found.trees.every
+    above = stage(_paths_below(_descend(found.crown, none), every).select(
         F.col("pos").alias("tree"), "path"), "merkle-above")
     id_type = found.trees.kept[0].schema["ids"].dataType.elementType.simpleString()
     schema = (f"doc_id {id_type}, leaf string, subroot string, proof_sha256 string, "
@@ -228,7 +233,7 @@ def verify(found: Manifest) -> DataFrame:
         for batch in batches:
             for k, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
                 upper = [(p["left"], p["right"]) for p in row["path"]]
-                levels = subtree(row["nodes"], row["n"])
+                levels = subtree(row["nodes"], row["n"], every)
                 proofs, roots = [], []
                 first = siblings(levels, 0) + upper
                 subroot = fold(row["nodes"][0], first[:height(row["n"])])

@@ -181,9 +181,7 @@ def test_manifest_of_the_corpus(spark):
 
 
 @pytest.mark.parametrize("every", [1, 2, 3])
-def test_manifest_of_odd_rows(spark, monkeypatch, every):
-    monkeypatch.setattr(merkle, "KEPT_EVERY", every)
-    monkeypatch.setattr(merkle, "BLOCK", 16 ** every)
+def test_manifest_of_odd_rows(spark, every):
     rows = [(d, [None, "", "é", "b"][k % 4], None if k % 3 else "de", k % 5 or None, t)
             for k, (d, t) in enumerate(ODD)]
     rows += [(k, "big", "en", 7, f"Text {k}") for k in range(600)] + [(3, "big", "en", 7, "A")] * 20
@@ -197,8 +195,8 @@ def test_manifest_of_odd_rows(spark, monkeypatch, every):
         low = F.translate(docs["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         return F.when(hit, merkle.leaf_hash([*[docs[c] for c in merkle.FIELDS[:4]], low]))
 
-    assert got(merkle.verify(merkle.manifest(df, tampered)), *PROOF) == want(manifest_rows(rows))
-    plain = merkle.verify(merkle.manifest(df))
+    assert got(merkle.verify(merkle.manifest(df, tampered, every=every)), *PROOF) == want(manifest_rows(rows))
+    plain = merkle.verify(merkle.manifest(df, every=every))
     assert plain.where("verified").count() == len(rows)
     assert merkle.verify(merkle.manifest(df.limit(0))).count() == 0
 
