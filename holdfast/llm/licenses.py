@@ -12,7 +12,8 @@ T from other notices among them (MARKS).
 
 Everything is DataFrame expressions. Template words are few and fixed, so a text is first reduced
 to the template words it holds; only texts that hold enough words of some template are cut into
-paragraphs. The template index is a table whose size depends on the templates alone.
+paragraphs. The template index is broadcast: its size depends on the given templates alone, and the
+texts' blocks are not moved.
 
 Cases: a null or empty text has no words, places or labels and score 0; equal places cannot tie, as
 a word starts one phrase at most; repeated rows each get their row; an empty table gives an empty
@@ -165,7 +166,7 @@ def found_blocks(rows: DataFrame, wanted: Sequence[tuple[str, list[str], int, li
     probes = sets.select("*", F.posexplode("ranks").alias("at", "rank"))
     size = F.size("ranks")
     # a block meets a template once, by the first prefix word they share
-    candidates = probes.join(templates, "rank").where(
+    candidates = probes.join(F.broadcast(templates), "rank").where(
         (size >= F.col("least")) & (F.least(F.size("own") - F.col("place"), size - F.col("at"))
                                     >= F.col("least"))
         & (F.array_min(F.array_intersect("ranks", "first")) == F.col("rank"))

@@ -2,8 +2,10 @@
 
 Method: pattern packing by non-negative least squares. The histogram of piece lengths is the only
 thing the driver sees (at most `capacity` numbers). Patterns of a few lengths that fill a sequence
-are enumerated, repeat counts are fitted to the histogram by non-negative least squares and
-rounded, and what is left over is packed best-fit-decreasing, still on the histogram. Pieces then
+but for at most capacity / SLACK tokens are enumerated, repeat counts are fitted to the histogram by
+non-negative least squares and rounded (whole parts first, then the largest remainders), as far as
+the histogram holds the patterns' pieces; lengths that are left are fitted again. What no pattern
+takes is packed best-fit-decreasing, still on the histogram. Pieces then
 look up their place: a piece's rank among the pieces of its length says which pattern slot, and
 which repeat of the pattern, it takes. No task ever holds the pieces of one length.
 
@@ -32,7 +34,10 @@ from holdfast.session import stage
 CAPACITY = 4096
 PARTNERS = 24  # second lengths tried for each first length
 DEEPEST = 12  # lengths in a pattern at most
-ROUNDS = 200  # of the least-squares fit
+ROUNDS = 200  # of the least-squares fit at most
+CLOSE = 1e-4  # change of the residual at which it ends
+FITS = 2  # fits on what is left, at most
+SLACK = 1024
 
 Run = tuple[int, int]  # (length, how often in a row)
 Pattern = tuple[Run, ...]
@@ -107,12 +112,48 @@ def fit_repeats(patterns: list[tuple[int, ...]], lengths: np.ndarray, counts: np
     want = add(col, (weight * counts)[row], len(patterns))
     waste = np.array([capacity - sum(p) for p in patterns]) / capacity
     x = np.full(len(patterns), counts.sum() / max(1, len(row)))
+    before = np.inf
     for _ in range(ROUNDS):
         have = add(row, x[col], len(lengths))
+        residual = float((weight * (have - counts) ** 2).sum())
+        if before - residual < CLOSE * residual:
+            break
+        before = residual
         x *= want / (add(col, (weight * have)[row], len(patterns)) * (1 + waste) + 1e-12)
     return x
 
 
+def take_patterns(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """One fit on the histogram `left`; what its rounded repeats use is taken out of it."""
+    lengths = np.array(sorted(left))
+    counts = np.array([left[k] for k in lengths.tolist()], float)
+    patterns = [p for p in enumerate_patterns(lengths, capacity)
+                if len(p) > 1 and sum(p) >= capacity - capacity // SLACK]
+    if not patterns:
+        return []
+    fitted = fit_repeats(patterns, lengths, counts, capacity)
+    whole = np.floor(fitted)
+    # fuller patterns first among equal remainders, so that gaps stay few
+    full = np.array([sum(p) for p in patterns])
+    taken: dict[int, int] = {}
+    for order, times in ((np.lexsort((-full, -whole)), whole),
+                         (np.lexsort((-full, whole - fitted)), np.ones(len(whole)))):
+        for k in order.tolist():
+            n = int(times[k])
+            if not n:
+                break
+            need = [(x, patterns[k].count(x)) for x in dict.fromkeys(patterns[k])]
+            n = min(n, *(left.get(x, 0) // m for x, m in need))
+            if n:
+                taken[k] = taken.get(k, 0) + n
+                for x, m in need:
+                    left[x] -= n * m
+                    if not left[x]:
+                        del left[x]
+    return [(tuple((x, patterns[k].count(x)) for x in dict.fromkeys(patterns[k])), n)
+            for k, n in taken.items()]
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Best-fit decreasing on a histogram: equal bins are one group with a count."""
     rooms: list[int] = []
@@ -157,26 +198,12 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[Patte
     planned = []
     if capacity in left:
         planned.append((((capacity, 1),), left.pop(capacity)))
-    if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[k] for k in lengths.tolist()], float)
-        patterns = [p for p in enumerate_patterns(lengths, capacity) if len(p) > 1]
-        fitted = fit_repeats(patterns, lengths, counts, capacity) if patterns else np.zeros(0)
-        for k in np.lexsort((np.arange(len(fitted)), -fitted)).tolist():
-            times = int(fitted[k] + 0.5)
-            if not times:
-                break
-            # a pattern is taken whole only where it fills its sequence; the rest waits
-            if sum(patterns[k]) < capacity:
-                continue
-            need = [(n, patterns[k].count(n)) for n in dict.fromkeys(patterns[k])]
-            times = min(times, *(left[n] // m for n, m in need))
-            if times:
-                planned.append((tuple(need), times))
-                for n, m in need:
-                    left[n] -= times * m
-        planned += best_fit({k: n for k, n in left.items() if n}, capacity)
-    return planned
+    for _ in range(FITS):
+        found = take_patterns(left, capacity) if left else []
+        if not found:
+            break
+        planned += found
+    return planned + best_fit(left, capacity)
 
 
 def slot_table(planned: list[tuple[Pattern, int]]) -> np.ndarray:

@@ -88,10 +88,12 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op5_sql() -> str:
     templates = ", ".join(
-        f"({n}, '{label}', {licenses.template_words(text)!r})"
-        for n, (label, text) in enumerate(licenses.TEMPLATES))
+        f"({n}, '{label}', {words!r}, {licenses.needed(len(words), licenses.THRESHOLD)}, "
+        f"{licenses.span(text)}, {list(marks)!r})"
+        for n, ((label, text), marks) in enumerate(zip(licenses.TEMPLATES, licenses.MARKS))
+        for words in [licenses.template_words(text)])
     return rf"""
-WITH templates(t, label, words) AS (VALUES {templates}),
+WITH templates(t, label, words, least, reach, marks) AS (VALUES {templates}),
      d AS MATERIALIZED (
          SELECT doc_id, low, regexp_extract_all(low, '{ALNUM}') AS w
          FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -106,12 +108,18 @@ WITH templates(t, label, words) AS (VALUES {templates}),
                      THEN 'reserved' END AS label FROM words),
      base AS (SELECT doc_id, count(*) AS n, min(start) AS first_word, max(start) AS last_word
               FROM places WHERE label IS NOT NULL GROUP BY doc_id),
-     blocks AS (SELECT doc_id, block, regexp_extract_all(line, '{ALNUM}') AS b
-                FROM (SELECT doc_id, unnest(range(len(lines))) AS block, unnest(lines) AS line
-                      FROM (SELECT doc_id, string_split(low, chr(10)) AS lines FROM d))),
-     found AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS share
-               FROM blocks, templates
-               WHERE 10 * len(list_intersect(b, words)) >= 8 * len(words)),
+     blocks AS (SELECT doc_id, regexp_extract_all(part, '{ALNUM}') AS b
+                FROM (SELECT doc_id, unnest(regexp_split_to_array(
+                          low, '\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n')) AS part FROM d)),
+     runs AS (SELECT doc_id, t, label, words, least, marks, b[i:i + reach - 1] AS run
+              FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM blocks, templates
+                    WHERE len(list_intersect(list_distinct(b), words)) >= least)
+              WHERE list_contains(words, b[i])),
+     found AS (SELECT doc_id, label,
+                      len(list_intersect(list_distinct(run), words)) / len(words) AS share
+               FROM runs WHERE len(list_intersect(list_distinct(run), words)) >= least
+               AND len(list_filter(marks, lambda m: NOT regexp_matches(
+                       array_to_string(run, ' '), '(^| )(' || m || ')( |$)'))) = 0),
      labels AS (SELECT doc_id, label FROM found
                 UNION SELECT doc_id, label FROM places WHERE label IS NOT NULL),
      listed AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels

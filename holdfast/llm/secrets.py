@@ -1,6 +1,8 @@
 """Secret scans: candidate strings of texts, and a random forest that removes false positives.
 
-Method: a candidate is a run of key characters of at least MIN_LENGTH with a digit. Each is
+Method: candidates are runs of key characters of at least MIN_LENGTH with a digit, runs behind a
+known key prefix, whatever of SHORTEST or more characters is assigned to a name with a key word (with
+or without a digit or sign), and passwords inside connection strings. Each is
 described by its length, its character transitions (between letters, digits, cases and signs, and
 between vowels and consonants), its dictionary coverage (share of letters in words that several
 documents of the corpus hold), the path it was found under and the words next to it. A random
@@ -32,9 +34,10 @@ from holdfast.session import stage
 
 MIN_LENGTH = 12
 CORE = rf"[A-Za-z0-9][A-Za-z0-9+/_=~.\-]{{{MIN_LENGTH - 2},}}[A-Za-z0-9=]"
+SHORTEST = 8
 SPACES = r"[\x20\x09-\x0D]+"
 THRESHOLD = 0.5
-LABELLED = 6000
+LABELLED = 9000
 TREES, DEPTH, SEED = 30, 7, 17
 DICTIONARY_DOCS = 3  # documents that make a word a dictionary word
 REDACTED = "[SECRET]"
@@ -45,16 +48,25 @@ KEY_WORDS = ("token|secret|passw|passphrase|pwd|api.?key|apikey|auth|bearer|cred
 DECOY_WORDS = ("commit|sha.?1|sha.?256|md5|checksum|digest|hash|uuid|guid|etag|revision|version|"
                "isbn|order|invoice|card|phone|tel|fax|call|build|image|url|href|http")
 PLACEHOLDERS = r"(?i)x{4,}|\*{3,}|0{6,}|1234567|abcdef|changeme|example|sample|dummy|your|placeholder|insert"
-PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ)"
+PREFIX = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ"
+PASS_WORDS = "passw|passphrase|pwd"
 PATH_DECOYS = "(?i)test|example|sample|fixture|mock|demo|docs?/"
 COMMON_WORDS = ("the and for with from that this page file image index home user users name data "
                 "chapter section article release build version report summary example sample "
                 "default public static assets content download archive letter number street "
                 "change here key your test value html json mail server host local").split()
 
+# A name with a key word and what assigns to it; the value that ends a piece of text; a key by its
+# prefix; the password of a connection string.
+NAMED = rf"(?:{KEY_WORDS})[\w.\-]*[\"'\]]?\s*(?::=|=>|=|:)\s*(?:(?:bearer|basic)\s+)?"
+ASSIGNED = rf"(?i){NAMED}[\"'`]?([^\s\"'`,;<>]{{{SHORTEST},}})[\"'`]?[,;.)]*$"
+PREFIXED = rf"(?<![A-Za-z0-9])((?:{PREFIX})[A-Za-z0-9_\-]{{{SHORTEST},}})"
+CONNECTION = r"(?i)[a-z][a-z0-9+.\-]*://[^\s:/@]+:([^\s:/@]{4,})@"
+
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "switches", "vowel_turns", "distinct",
             "hexadecimal", "all_digits", "dots", "coverage", "prefix", "placeholder", "key_word",
-            "decoy_word", "assigned", "quoted", "path_decoy", "path_depth")
+            "decoy_word", "assigned", "quoted", "path_decoy", "path_depth", "named", "pass_word",
+            "code", "login", "parts")
 
 
 # --------------------------------------------------------------------------- candidates
@@ -65,26 +77,42 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"),
                        F.coalesce(path, F.lit("")).alias("path"))
     long_run = rf"[A-Za-z0-9+/_=~.\-]{{{MIN_LENGTH},}}"
-    split = rows.where(F.col("text").rlike("[0-9]") & F.col("text").rlike(long_run)).select(
-        "doc_id", "path", F.split("text", SPACES).alias("words"))
+    digit, text = "[0-9]", F.col("text")
+    kinds = {"runs": text.rlike(digit) & text.rlike(long_run),
+             "names": text.rlike(f"(?i){NAMED}"), "prefixes": text.rlike(PREFIXED),
+             "logins": text.rlike(CONNECTION)}
+    split = rows.select("doc_id", "path", "text", *[v.alias(k) for k, v in kinds.items()]).where(
+        F.col("runs") | F.col("names") | F.col("prefixes") | F.col("logins")).withColumn(
+        "words", F.split("text", SPACES))
+    none = F.array().cast("array<string>")
 
-    def hopeful(i: Column) -> Column:
+    def findings(i: Column) -> Column:
+        """What a word holds, each kind looked for only in texts that hold it somewhere."""
         word = F.get("words", i)
-        return (F.length(word) >= MIN_LENGTH) & word.rlike("[0-9]")
+        lead = F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1), word)
+        every = lambda x, p: F.regexp_extract_all(x, F.lit(p), 1)
+        run = F.when(F.col("runs") & (F.length(word) >= MIN_LENGTH) & word.rlike(digit),
+                     F.filter(every(word, f"({CORE})"), lambda x: x.rlike(digit)))
+        return F.array_distinct(F.concat(F.coalesce(run, none), *[
+            F.coalesce(F.when(F.col(kind) & (F.length(word) >= least), every(x, p)), none)
+            for kind, least, x, p in (("names", SHORTEST, lead, ASSIGNED),
+                                      ("prefixes", MIN_LENGTH, word, PREFIXED),
+                                      ("logins", MIN_LENGTH, word, CONNECTION))]))
 
     def beside(i: Column) -> Column:
         near = F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2),
                            F.get("words", i - 1))
         return F.struct(i.cast("long").alias("word_index"), near.alias("before"),
                         F.get("words", i).alias("word"),
-                        F.coalesce(F.get("words", i + 1), F.lit("")).alias("behind"))
+                        F.coalesce(F.get("words", i + 1), F.lit("")).alias("behind"),
+                        findings(i).alias("findings"))
 
-    places = F.transform(F.filter(F.sequence(F.lit(0), F.size("words") - 1), hopeful), beside)
+    long_enough = F.filter(F.sequence(F.lit(0), F.size("words") - 1),
+                           lambda i: F.length(F.get("words", i)) >= SHORTEST)
+    places = F.filter(F.transform(long_enough, beside), lambda x: F.size(x["findings"]) > 0)
     return split.select("doc_id", "path", F.explode(places).alias("x")).select(
-        "doc_id", "path", "x.*").select(
-        "doc_id", "path", "word_index", "before", "word", "behind",
-        F.explode(F.regexp_extract_all("word", F.lit(f"({CORE})"), 1)).alias("finding")).where(
-        F.col("finding").rlike("[0-9]"))
+        "doc_id", "path", "x.word_index", "x.before", "x.word", "x.behind",
+        F.explode("x.findings").alias("finding"))
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
@@ -96,13 +124,52 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     digits = F.lpad(F.abs(F.xxhash64(text)).cast("string"), 19, "7")
     stem = F.element_at(F.array(*[F.lit(w) for w in COMMON_WORDS]),
                         (at % len(COMMON_WORDS) + 1).cast("int"))
-    name = F.element_at(F.array(*[F.lit(w) for w in (
-        "token", "secret", "password", "api_key", "auth_token", "access_key", "client_secret",
-        "private_key")]), (F.pmod(F.hash(text), F.lit(8)) + 1).cast("int"))
+
+    def one_of(*words: str, salt: int = 0) -> Column:
+        return F.element_at(F.array(*[F.lit(w) for w in words]),
+                            (F.pmod(F.hash(text, F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
+
+    name = one_of("token", "secret", "password", "api_key", "auth_token", "access_key",
+                  "client_secret", "private_key")
+    pass_name = one_of("password", "PASSWORD", "db_password", "passwd", "pwd", "passphrase",
+                       "smtp_pwd", salt=1)
+    plain = one_of(*COMMON_WORDS[20:40], salt=2)
+    other = one_of(*COMMON_WORDS[30:], salt=3)
+    letters = F.translate(wide, "0123456789+/=", "QWxzKvbnmJhgf")
+    odd = F.concat(F.substring(wide, 3, 4), one_of("!", "&", "#", "$", "@", "%", salt=4),
+                   F.substring(digits, 1, 2), F.substring(letters, 9, 3))
+    spoken = F.concat(plain, F.substring(digits, 3, 1), F.substring(letters, 5, 1),
+                      one_of("!", "?", "#", "*", salt=5))
+    phrase = F.concat(plain, F.initcap(other), F.initcap(stem))
+    title = F.initcap(F.concat(stem, other))
     quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    long_hex = F.substring(F.sha2(text, 256), 1, 56)
     made = [  # (label, words before, word, finding)
-        (1, F.concat(name, F.lit(" =")), quoted(sha), sha),
-        (1, F.concat(F.upper(name), F.lit(" =")), quoted(F.upper(sha)), F.upper(sha)),
+        (1, F.concat(name, F.lit(" =")), quoted(long_hex), long_hex),
+        (1, F.concat(F.upper(name), F.lit(" =")), quoted(F.upper(md)), F.upper(md)),
+        (1, F.concat(name, F.lit(" =")), quoted(F.substring(letters, 1, 20)),
+         F.substring(letters, 1, 20)),
+        (1, stem, F.concat(pass_name, F.lit("="), quoted(odd)), odd),
+        (1, F.concat(pass_name, F.lit(" =")), quoted(spoken), spoken),
+        (1, F.concat(pass_name, F.lit(":")), phrase, phrase),
+        (1, stem, *[F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 2, 16)))] * 2),
+        (1, F.concat(name, F.lit(" =")), quoted(F.concat(F.lit("ghp_"), F.substring(
+            letters, 1, 34))), F.concat(F.lit("ghp_"), F.substring(letters, 1, 34))),
+        (1, F.lit("url"), F.concat(F.lit("postgres://"), stem, F.lit(":"), odd, F.lit("@db/"),
+                                   stem), odd),
+        (0, F.concat(one_of("author", "authority", "secretary", "private", "tokenizer", salt=6),
+                     F.lit(":")), title, title),
+        (0, F.concat(pass_name, F.lit(":")), *[one_of(
+            "required", "optional", "forgotten", "incorrect", "protected", "necessary",
+            salt=7)] * 2),
+        (0, F.concat(name, F.lit(" =")), *[F.concat(F.lit("get"), F.initcap(stem), F.lit("("),
+                                                    other, F.lit(")"))] * 2),
+        (0, F.concat(name, F.lit(" =")), *[F.concat(F.lit("os.environ["), F.upper(name),
+                                                    F.lit("]"))] * 2),
+        (0, F.concat(name, F.lit(" =")), quoted(F.concat(F.lit("${"), F.upper(name), F.lit("}"))),
+         F.concat(F.lit("${"), F.upper(name), F.lit("}"))),
+        (0, F.concat(pass_name, F.lit(" =")), quoted(F.concat(F.lit("<"), pass_name, F.lit(">"))),
+         F.concat(F.lit("<"), pass_name, F.lit(">"))),
         (1, F.concat(stem, F.lit(" "), name, F.lit(":")), md, md),
         (1, stem, F.concat(name, F.lit("="), quoted(wide)), wide),
         (1, F.concat(name, F.lit(" :=")), F.substring(wide, 1, 20), F.substring(wide, 1, 20)),
@@ -179,14 +246,18 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(x, ""))) / size,
         "hexadecimal": flag(x.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "all_digits": flag(x.rlike(r"^[0-9.\-]+$")), "dots": count(r"\."),
-        "coverage": letters / size, "prefix": flag(x.rlike(PREFIXES)),
+        "coverage": letters / size, "prefix": flag(x.rlike(f"^(?:{PREFIX})")),
         "placeholder": flag(x.rlike(PLACEHOLDERS)),
         "key_word": flag(lead.rlike(f"(?i)(?:{KEY_WORDS})")),
         "decoy_word": flag(lead.rlike(f"(?i)(?:{DECOY_WORDS})")),
         "assigned": flag(lead.rlike(r"(?:=|:)\s*[\"']?$")),
         "quoted": flag(lead.rlike("[\"']$")),
         "path_decoy": flag(F.col("path").rlike(PATH_DECOYS)),
-        "path_depth": (F.size(F.split("path", "/")) - 1).cast("double")}
+        "path_depth": (F.size(F.split("path", "/")) - 1).cast("double"),
+        "named": flag(lead.rlike(rf"(?i){NAMED}[\"'`]?$")),
+        "pass_word": flag(lead.rlike(f"(?i)(?:{PASS_WORDS})")),
+        "code": flag(x.rlike(r"[(){}\[\]<>]")),
+        "login": flag(lead.rlike(r"://[^\s:/@]+:$")), "parts": F.size(_parts(x))}
     joined = found.join(covered, "finding", "left")
     return joined.withColumns({c: v.cast("double") for c, v in made.items()}).drop("known")
 

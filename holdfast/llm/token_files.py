@@ -35,6 +35,7 @@ from holdfast.llm.tokens import encoder, text_groups
 from holdfast.session import shared_dir, stage
 
 BLOCK_TOKENS = 1 << 18
+PART_TOKENS = 1 << 26
 
 # byte widths of the four tokens of each control byte, and where each begins
 WIDTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
@@ -45,12 +46,11 @@ TOTALS = WIDTHS.sum(axis=1)
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, payload) of non-negative ranks below 2^32."""
     ranks = np.asarray(ranks, "<u4")
-    width = 1 + (ranks > 0xFF).astype("i8") + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    pad = -len(ranks) % 4
-    pairs = np.append(width - 1, np.zeros(pad, "i8")).reshape(-1, 4)
-    control = (pairs << np.array([0, 2, 4, 6])).sum(axis=1).astype("u1")
+    more = sum((ranks > edge).view("u1") for edge in (0xFF, 0xFFFF, 0xFFFFFF))
+    pairs = np.append(more, np.zeros(-len(ranks) % 4, "u1")).reshape(-1, 4)
+    control = pairs[:, 0] | pairs[:, 1] << 2 | pairs[:, 2] << 4 | pairs[:, 3] << 6
     bytes4 = ranks.view("u1").reshape(-1, 4)
-    return control.tobytes(), bytes4[np.arange(4) < width[:, None]].tobytes()
+    return control.tobytes(), bytes4[np.arange(4, dtype="u1") <= more[:, None]].tobytes()
 
 
 def decode(control: bytes, payload: bytes, n: int) -> np.ndarray:
@@ -68,54 +68,56 @@ def decode(control: bytes, payload: bytes, n: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------------------------- writing
+def id_type_of(vocabulary: str, end_id: int, spaced: bool = True) -> str:
+    """Two bytes an id where the whole vocabulary fits into them, else four."""
+    largest = max(encoder(vocabulary, spaced).largest_id, end_id)
+    return "<u2" if largest <= 0xFFFF else "<u4"
+
+
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int, spaced: bool = True,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and the ids (end id last) as little-endian bytes, two each where all of
-    the row's ids allow it (`wide` false), else four."""
+    """doc_id and the ids (end id last) as little-endian bytes of `id_type_of` the vocabulary."""
     source = id_and_text(docs, id_col, text_col)
-    schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
-                           T.StructField("wide", T.BooleanType()),
-                           T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([source.schema["doc_id"], T.StructField("ids", T.BinaryType())])
+    kind = np.dtype(id_type_of(vocabulary, end_id, spaced))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in text_groups(texts):
                 flat, counts = encoder(vocabulary, spaced).ids(texts[a:b])
-                counts = counts.tolist()
-                rows, wides, at = [], [], 0
-                for n in counts:
-                    ids = np.append(flat[at:at + n], end_id)
-                    at += n
-                    wides.append(bool(ids.max() > 0xFFFF))
-                    rows.append(ids.astype("<u4" if wides[-1] else "<u2").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([n + 1 for n in counts]),
-                     pa.array(wides), pa.array(rows, pa.binary())], names=schema.names)
+                ids = np.insert(flat.astype(kind), np.cumsum(counts), end_id)
+                ends = np.append(0, np.cumsum(counts + 1)) * kind.itemsize
+                rows = pa.Array.from_buffers(pa.binary(), b - a, [
+                    None, pa.py_buffer(ends.astype("i4")), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rows],
+                                                 names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def _ids(raw: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")
+def _flat_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, and where each row's begin (and the last one's end)."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], "i8")[column.offset:][:len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", "u1")[at[0]:at[-1]].view(kind)
+    return data, (at - at[0]) // np.dtype(kind).itemsize
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     """How often each id occurs in the corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, "i8")
         for batch in batches:
-            for raw, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.bincount(_ids(raw, wide))
-                if len(own) > len(total):
-                    total = np.append(total, np.zeros(len(own) - len(total), "i8"))
-                total[:len(own)] += own
+            own = np.bincount(_flat_ids(batch.column(0), kind)[0])
+            total, own = (total, own) if len(total) >= len(own) else (own, total)
+            total[:len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])],
                                          names=["id", "n"])
 
-    parts = ids.select("ids", "wide").mapInArrow(run, "id long, n long")
-    return parts.groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(
+        F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int,
@@ -124,7 +126,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Write the whole dataset to `folder` in ascending document id order."""
     spark = docs.sparkSession
     ids = stage(token_ids(docs, vocabulary, end_id, spaced, id_col, text_col), "token-ids")
-    counted = [(r["id"], r["n"]) for r in id_counts(ids).collect()]
+    stored = id_type_of(vocabulary, end_id, spaced)
+    counted = [(r["id"], r["n"]) for r in id_counts(ids, stored).collect()]
     order = sorted(counted, key=lambda x: (-x[1], x[0]))
     spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(order)],
                           "rank long, id long, n long").coalesce(1).write.parquet(
@@ -156,18 +159,21 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
         for batch in batches:
             id_type = batch.column(0).type
-            for name, n, wide, raw in zip(*(batch.column(c).to_pylist() for c in (
-                    "doc_id", "n_tokens", "wide", "ids"))):
-                held.append(_ids(raw, wide))
+            flat, at = _flat_ids(batch.column(1), stored)
+            at = at.tolist()
+            for name, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
+                held.append(flat[a:b])
                 names.append(name)
-                sizes.append(n)
-                tokens += n
+                sizes.append(b - a)
+                tokens += b - a
                 if tokens >= BLOCK_TOKENS:
                     yield flush()
         if held:
             yield flush()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # parts follow the corpus: about PART_TOKENS each, and no fewer than other exchanges have
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            -(-sum(n for _, n in counted) // PART_TOKENS))
     # rows of one repeated id are alike for the result, so a salt may order and spread them
     ordered = ids.withColumn("salt", F.xxhash64("ids", F.monotonically_increasing_id()))
     ordered = ordered.repartitionByRange(n, F.asc_nulls_first("doc_id"), "salt")

@@ -96,7 +96,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | None = None, url_col: str =
         [(n, t) for n, r in enumerate(rules) for t in dict.fromkeys(r.tokens)],
         "rule_no int, token string")
     # how common each literal is: one row per literal, summed on the map side
-    common = tokens.join(listed.select("token").distinct(), "token").groupBy("token").agg(
+    common = tokens.join(F.broadcast(listed.select("token").distinct()), "token").groupBy(
+        "token").agg(
         F.sum("n").alias("uses"))
     filed = listed.join(common, "token", "left").groupBy("rule_no").agg(
         F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token")).alias("rarest"))
@@ -105,7 +106,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | None = None, url_col: str =
         "rule_no int, name string, says string, pattern string, anchored boolean")
     index = bodies.join(filed, "rule_no", "left").select(
         "name", "says", "pattern", "anchored", F.col("rarest.token").alias("token"))
-    fetched = tokens.join(index.where(F.col("token").isNotNull()), "token")
+    # both rule tables are as large as the list of rules the caller holds
+    fetched = tokens.join(F.broadcast(index.where(F.col("token").isNotNull())), "token")
     if any(not r.tokens for r in rules):  # rules without a literal have to be tried everywhere
         bare = [F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("says"),
                          F.lit(r.pattern).alias("pattern"), F.lit(r.anchored).alias("anchored"))

@@ -18,9 +18,7 @@ ASCII_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvw
 
 @lru_cache
 def tokenizer(name: str) -> Tokenizer:
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def ids(text: str | None, name: str, end: int) -> np.ndarray:
