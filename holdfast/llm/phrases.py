@@ -16,6 +16,7 @@ Method, per language:
 
 Scale: texts are read twice, their hashes two times and once more for each trie. What moves is one
 clipped byte for each counter and task, the candidates, and one count for each state and task.
+A further trie is one more pass over the hashes, in which only its own first words are looked up.
 Counters are about twice the words, MOST_COUNTERS at most; far beyond that many words they fill up
 and keep out little, which costs time but changes no result. Long texts are split into chunks of
 CHUNK words that share two words with the next, so no task holds more.
@@ -40,9 +41,11 @@ from holdfast.llm.tables import lower_ascii, small_batches
 from holdfast.session import stage
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
+WORD_BREAK = r"[ \t.,;:!?\n\x0B\f\r]"
 LEAST, TOP, KEEP_SHARE = 10, 2000, 50
 CHUNK = 1 << 20  # words
-TRIE_PHRASES = 2_000_000
+TRIE_PHRASES = 500_000
+HELD_ROWS = 1_000_000  # candidates a task keeps apart before it hands them on
 LEAST_COUNTERS, MOST_COUNTERS = 16, 26  # bits
 LANE = 1 << 16  # counters or states in one summed row
 MAX_KNOWN = 400_000  # words a worker remembers
@@ -72,9 +75,11 @@ def _hash(word: Column, salt: str) -> Column:
 
 def word_counts(docs: DataFrame, salt: str) -> DataFrame:
     """(lang, word, hash, f) over rows (lang, text)."""
-    flat = F.translate(lower_ascii(F.col("text")), BREAKS + "\t", " " * (len(BREAKS) + 1))
-    words = docs.select("lang", F.explode(F.split(flat, " +")).alias("word")).where("word <> ''")
-    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")).withColumn(
+    words = docs.select("lang", F.explode(F.split("text", WORD_BREAK)).alias("word")).where(
+        "word <> ''")
+    # few words have a capital; translating every text would cost more than all the rest
+    low = F.when(F.col("word").rlike("[A-Z]"), lower_ascii(F.col("word"))).otherwise(F.col("word"))
+    return words.select("lang", low.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")).withColumn(
         "hash", _hash(F.col("word"), salt))
 
 
@@ -252,7 +257,7 @@ def candidates(runs: DataFrame, bounds: np.ndarray, bits: int) -> DataFrame:
                 if lang in held:
                     found = _distinct(*map(np.concatenate, zip(held[lang], found)))
                 held[lang] = found
-                if len(found[0]) > TRIE_PHRASES:
+                if len(found[0]) > HELD_ROWS:
                     yield record(lang, held.pop(lang)[0])
         for lang, (rows, _) in held.items():
             yield record(lang, rows)
@@ -273,7 +278,7 @@ def _lang_hash(lang: str) -> int:
 
 def tries(found: DataFrame, n_tries: int) -> DataFrame:
     """(trie, langs, symbols, base, check, digits): one row for each part of the candidates."""
-    part = F.pmod(F.xxhash64("lang", "h1"), F.lit(n_tries)).cast("int").alias("trie")
+    part = F.pmod(F.shiftrightunsigned("h1", 20), F.lit(n_tries)).cast("int").alias("trie")
 
     def run(rows: pa.Table) -> pa.Table:
         langs = rows["lang"].combine_chunks().dictionary_encode()
@@ -300,28 +305,29 @@ def _opened(shared) -> tuple[DoubleArray, np.ndarray, dict[int, str]]:
     return trie, np.frombuffer(row["symbols"], "i8"), {_lang_hash(x): x for x in row["langs"]}
 
 
-def _states(trie: DoubleArray, symbols: np.ndarray, words: np.ndarray, n: int, lang: str,
-            ) -> Iterator[np.ndarray]:
-    """States reached by two and by three words from the first n places."""
+def _states(trie: DoubleArray, symbols: np.ndarray, words: np.ndarray, places: np.ndarray,
+            lang: str) -> Iterator[np.ndarray]:
+    """States reached by two and by three words from the given places, all at once."""
     def number(values: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(symbols, values), len(symbols) - 1)
         return np.where(symbols[at] == values, at, -1)
 
     root = trie.step(np.zeros(1, "i8"), number(np.array([_lang_hash(lang)], "i8")))[0]
-    numbers = number(words)
-    places = np.flatnonzero(numbers[:n] >= 0) if len(root) else np.zeros(0, "i8")
+    places = places if len(root) else places[:0]
     states = np.repeat(root, len(places))
     for k in range(3):
-        there = numbers[places + k] >= 0
-        places, states = places[there], states[there]
-        states, kept = trie.step(states, numbers[places + k])
-        places = places[kept]
+        numbers = number(words[places + k])
+        there = numbers >= 0
+        states, kept = trie.step(states[there], numbers[there])
+        places = places[there][kept]
         if k:
             yield states
 
 
-def count_in_trie(runs: DataFrame, row) -> DataFrame:
-    """(lang, h1, h2, h3, f) of the phrases of one trie."""
+def count_in_trie(runs: DataFrame, row, n_tries: int) -> DataFrame:
+    """(lang, h1, h2, h3, f) of the phrases of one trie; only places whose first word is its own
+    are looked up."""
+    turn = row["trie"]
     shared = runs.sparkSession.sparkContext.broadcast(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +338,10 @@ def count_in_trie(runs: DataFrame, row) -> DataFrame:
                 words = np.zeros(row["n"] + 2, "i8")
                 own = np.frombuffer(row["words"], "i8")
                 words[:len(own)] = own
-                for states in _states(trie, symbols, words, row["n"], row["lang"]):
+                first = words[:row["n"]]
+                own_trie = (first.view("u8") >> np.uint64(20)) % np.uint64(n_tries)
+                mine = (first != 0) & (own_trie == turn)
+                for states in _states(trie, symbols, words, np.flatnonzero(mine), row["lang"]):
                     total += np.bincount(states, minlength=len(total))
         yield from _lanes(total)
 
@@ -389,7 +398,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang",
     for k in range(n_tries):
         row = built.where(F.col("trie") == k).first()
         if row is not None:
-            part = count_in_trie(runs, row)
+            part = count_in_trie(runs, row, n_tries)
             counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         counted = found.withColumn("f", F.lit(0).cast("long"))
