@@ -43,12 +43,12 @@ from holdfast.session import stage
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 WORD_BREAK = r"[ \t.,;:!?\n\x0B\f\r]"
 LEAST, TOP, KEEP_SHARE = 10, 2000, 50
-CHUNK = 1 << 20  # words
+CHUNK = 1 << 18  # words
 TRIE_PHRASES = 500_000
-HELD_ROWS = 1_000_000  # candidates a task keeps apart before it hands them on
+HELD_ROWS = 400_000  # candidates a task keeps apart before it hands them on
 LEAST_COUNTERS, MOST_COUNTERS = 16, 26  # bits
 LANE = 1 << 16  # counters or states in one summed row
-MAX_KNOWN = 400_000  # words a worker remembers
+MAX_KNOWN = 300_000  # words a worker remembers
 PHRASE = ["h1", "h2", "h3"]
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS.encode() + b"\t",
@@ -93,7 +93,7 @@ def _unambiguous(docs: DataFrame) -> tuple[str, DataFrame]:
     raise RuntimeError("no salt tells all words apart")
 
 
-def _pieces(raw: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+def _pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """A text in parts cut at white space or breaks, about `size` bytes each."""
     at = 0
     while at < len(raw):
@@ -139,11 +139,16 @@ def word_runs(docs: DataFrame, salt: str) -> DataFrame:
         run, "lang string, n long, words binary")
 
 
-def _windows(lang: str, raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(lang, n, words) of each row, one at a time and without a copy."""
+    for lang, n, words in zip(*(batch.column(k) for k in range(3))):
+        yield lang.as_py(), n.as_py(), np.frombuffer(words.as_buffer(), "i8")
+
+
+def _windows(lang: str, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n + 2 words from the start of a chunk, and hashes of the two- and three-word windows
     at its first n + 1 and n places."""
     words = np.zeros(n + 2, "i8")
-    own = np.frombuffer(raw, "i8")
     words[:len(own)] = own
     seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
     u = words.view("u8")
@@ -194,9 +199,8 @@ def upper_bounds(runs: DataFrame, bits: int, least: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, "u1")
         for batch in batches:
-            for row in batch.to_pylist():
-                n = row["n"]
-                words, two, three = _windows(row["lang"], row["words"], n)
+            for lang, n, own in _chunks(batch):
+                words, two, three = _windows(lang, own, n)
                 there = words != 0
                 pair = there[:-1] & there[1:]
                 hits = np.concatenate([(two[:n] >> shift)[pair[:n]],
@@ -236,9 +240,8 @@ def candidates(runs: DataFrame, bounds: np.ndarray, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                lang, n = row["lang"], row["n"]
-                words, two, three = _windows(lang, row["words"], n)
+            for lang, n, own in _chunks(batch):
+                words, two, three = _windows(lang, own, n)
 
                 def often(hashes: np.ndarray) -> np.ndarray:
                     at = hashes >> shift
@@ -334,14 +337,13 @@ def count_in_trie(runs: DataFrame, row, n_tries: int) -> DataFrame:
         trie, symbols, _ = _opened(shared)
         total = np.zeros(len(trie.check), "i8")
         for batch in batches:
-            for row in batch.to_pylist():
-                words = np.zeros(row["n"] + 2, "i8")
-                own = np.frombuffer(row["words"], "i8")
+            for lang, n, own in _chunks(batch):
+                words = np.zeros(n + 2, "i8")
                 words[:len(own)] = own
-                first = words[:row["n"]]
+                first = words[:n]
                 own_trie = (first.view("u8") >> np.uint64(20)) % np.uint64(n_tries)
                 mine = (first != 0) & (own_trie == turn)
-                for states in _states(trie, symbols, words, np.flatnonzero(mine), row["lang"]):
+                for states in _states(trie, symbols, words, np.flatnonzero(mine), lang):
                     total += np.bincount(states, minlength=len(total))
         yield from _lanes(total)
 

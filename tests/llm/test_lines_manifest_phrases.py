@@ -253,7 +253,7 @@ def test_phrases_of_the_corpus(spark):
     assert got(out, *MINED) == want(collocations(rows))
 
 
-@pytest.mark.parametrize("chunk,per_trie,bits", [(1 << 20, 2_000_000, 26), (50, 30, 16)])
+@pytest.mark.parametrize("chunk,per_trie,bits", [(1 << 20, 2_000_000, 26), (50, 300, 16)])
 def test_phrases_of_odd_rows(spark, monkeypatch, chunk, per_trie, bits):
     monkeypatch.setattr(phrases, "MOST_COUNTERS", bits)
     monkeypatch.setattr(phrases, "TRIE_PHRASES", per_trie)
