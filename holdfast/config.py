@@ -130,6 +130,8 @@ class Settings:
     gbm_min_leaf_rows: int = 300
     gbm_row_share: float = 0.8
     gbm_feature_share: float = 0.8
+    gbm_leaves: int = 15
+    gbm_l2: float = 5.0
     reliability_bins: int = 10
     max_ece: float = 0.01
     # evaluation

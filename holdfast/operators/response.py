@@ -2,29 +2,35 @@
 
 Two families share one interface: `members(df)` adds a map column `archetype:bps -> array of
 member probabilities`. The logistic family is fitted by Newton steps over all members at once and
-scored by one Arrow batch function; the tree family is Spark ML's.
+scored by one Arrow batch function; the tree family is grown from histograms of all members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark import TaskContext, inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from holdfast.config import ACTION_CATALOG, SETTINGS, Settings
 from holdfast.functions.draws import draw_bits
+from holdfast.operators.boosting import (
+    Boosted,
+    Growth,
+    attribution_difference,
+    boost,
+    feature_cuts,
+    raw_scores,
+)
 from holdfast.operators.bootstrap import index_customers
+from holdfast.session import stage
 
 ARCHETYPES = tuple(name for name, *_ in ACTION_CATALOG)
 TINY_SD = 1e-9
@@ -192,13 +198,6 @@ def global_importance(log: DataFrame, model: LogisticEnsemble,
     return each.groupBy("feature").agg(F.avg(F.abs("weight")).alias("mean_abs_attribution"))
 
 
-def in_parallel(spark: SparkSession, task: Callable[[int], object], n: int,
-                width: int = 4) -> list:
-    """Run independent fits a few at a time, so that small jobs overlap on the cluster."""
-    with ThreadPoolExecutor(max_workers=width) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(task), range(n)))
-
-
 def platt(scored: DataFrame, raw: str, label: str) -> tuple[float, float]:
     """Slope and intercept of a near-unregularised one-feature logistic fit."""
     one = scored.select(F.array(raw).alias("raw"), F.col(label).alias("label"))
@@ -398,85 +397,103 @@ def _raw(by_arm: list[list[float]]) -> Column:
 # ------------------------------------------------------------------------------------ trees
 @dataclass
 class TreeEnsemble:
+    """Boosted trees (see `boosting`), calibrated; the arm is a categorical feature."""
+
     features: list[str]
-    members_: list = field(default_factory=list)  # (model, platt)
+    boosted: Boosted | None = None
+    platt: list[tuple[float, float]] = field(default_factory=list)
     archetypes: tuple[str, ...] = ARCHETYPES
     family: str = "gbm"
 
     @property
     def n_members(self) -> int:
-        return len(self.members_)
+        return len(self.platt)
+
+    def inputs(self, columns: dict[str, Column] | None = None) -> tuple[Column, Column, Column]:
+        """(features and depth as an array, arm code, depth) of rows with archetype and bps."""
+        columns = columns or {f: F.col(f) for f in self.features}
+        depth = F.col("discount_bps") / F.lit(10_000.0)
+        arms = F.array(*[F.lit(a) for a in self.archetypes])
+        return (F.array(*[columns[f].cast("double") for f in self.features], depth),
+                (F.array_position(arms, F.col("archetype")) - 1).cast("int"), depth)
 
     def design(self, df: DataFrame) -> DataFrame:
         """Add `design`: features, archetype code (categorical), depth."""
-        coded = StringIndexerModel.from_labels(
-            list(self.archetypes), inputCol="archetype", outputCol="_arm").transform(df)
-        deep = coded.withColumn("_depth", F.col("discount_bps") / F.lit(10_000.0))
-        return VectorAssembler(inputCols=[*self.features, "_arm", "_depth"],
-                               outputCol="design").transform(deep)
+        numeric, arm, depth = self.inputs()
+        values = F.slice(numeric, 1, len(self.features))
+        return df.withColumn("design", array_to_vector(F.concat(
+            values, F.array(arm.cast("double"), depth))))
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add `p`: array of member probabilities of the row's own arm."""
-        out = self.design(df)
-        for m, (model, (a, b)) in enumerate(self.members_):
-            fitted = model.copy()
-            fitted.setPredictionCol(f"_pred{m}").setProbabilityCol(f"_prob{m}")
-            fitted.setRawPredictionCol(f"_raw{m}")
-            out = fitted.transform(out)
-            raw = F.get(vector_to_array(f"_raw{m}"), F.lit(1))
-            out = out.withColumn(f"_p{m}", 1 / (1 + F.exp(-(F.lit(a) * raw + F.lit(b))))).drop(
-                f"_pred{m}", f"_prob{m}", f"_raw{m}")
-        return out.withColumn("p", F.array(*[F.col(f"_p{m}") for m in range(self.n_members)])
-                              ).select(*df.columns, "p")
+        numeric, arm, _ = self.inputs()
+        line = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+                         for a, b in self.platt])
+        return df.withColumn("_raw", raw_scores(self.boosted, numeric, arm)).withColumn(
+            "p", F.zip_with("_raw", line, lambda r, k: 1 / (1 + F.exp(-(k["a"] * r + k["b"]))))
+        ).drop("_raw")
 
     def members(self, df: DataFrame, columns: dict[str, Column],
                 arms: Sequence[tuple[str, int]], out: str = "members") -> DataFrame:
-        """Add `out`: map `archetype:bps` -> member probabilities, by scoring each distinct
-        (context, arm) once and folding the arms back by context."""
-        key = ["customer_id", "day"]
-        listed = F.array(*[F.struct(F.lit(a).alias("archetype"),
-                                    F.lit(bps).cast("long").alias("discount_bps"))
-                           for a, bps in arms])
-        rows = df.select(*key, *[columns[f].alias(f) for f in self.features],
-                         F.inline(listed))
-        arm = F.concat_ws(":", "archetype", F.col("discount_bps").cast("string"))
-        folded = self.score(rows).groupBy(*key).agg(F.map_from_entries(
-            F.collect_list(F.struct(arm.alias("k"), F.col("p").alias("v")))).alias(out))
-        return df.join(folded, key)
+        """Add `out`: map `archetype:bps` -> member probabilities of every context row."""
+        wide = df.select("*", *[columns[f].cast("double").alias(f"_x_{f}") for f in self.features])
+        codes = [self.archetypes.index(a) for a, _ in arms]
+        depths = [bps / 10_000.0 for _, bps in arms]
+        slope, level = np.array(self.platt).T
+        boosted, n = self.boosted, self.n_members
+
+        def score(*cols: pd.Series) -> pd.Series:
+            x = np.stack([c.to_numpy(dtype=float) for c in cols], axis=1)
+            found = []
+            for code, depth in zip(codes, depths):
+                own = boosted.bins(np.column_stack([x, np.full(len(x), depth)]),
+                                   np.full(len(x), code))
+                found.append(1 / (1 + np.exp(-(boosted.raw(own) * slope + level))))
+            return pd.Series(list(np.concatenate(found, axis=1)))
+
+        flat = F.pandas_udf(score, ArrayType(DoubleType()))(*[
+            F.col(f"_x_{f}") for f in self.features])
+        keys = F.array(*[F.lit(f"{a}:{bps}") for a, bps in arms])
+        values = F.array(*[F.slice("_flat", i * n + 1, n) for i in range(len(arms))])
+        return wide.withColumn("_flat", flat).withColumn(
+            out, F.map_from_arrays(keys, values)).select(
+            *[c for c in df.columns if c != out], out)
+
+    def attributions(self, df: DataFrame, out: str = "attributions") -> DataFrame:
+        """Add `out`: (feature, weight) array, the exact parts of each feature in the difference
+        of the calibrated logits of the row's arm and of `none`, member mean; the arm and its
+        depth are `action:<archetype>`."""
+        numeric, arm, depth = self.inputs()
+        slopes = [a for a, _ in self.platt]
+        names = F.concat(F.array(*[F.lit(f) for f in self.features]),
+                         F.array(F.concat(F.lit("action:"), F.col("archetype"))))
+        none = self.archetypes.index("none")
+        return df.withColumn("_parts", attribution_difference(
+            self.boosted, slopes, numeric, arm, depth, none)).withColumn(out, F.zip_with(
+                names, "_parts", lambda f, w: F.struct(f.alias("feature"), w.alias("weight")))
+        ).drop("_parts")
 
 
 def fit_trees(log: DataFrame, features: Sequence[str], settings: Settings = SETTINGS,
-              rounds: int | None = None, depth: int = 4) -> TreeEnsemble:
-    """Gradient-boosted ensemble; same role as the logistic one, other numbers than a
-    leaf-wise learner."""
+              rounds: int | None = None) -> TreeEnsemble:
+    """Boosted bootstrap ensemble on the train split, calibrated on validation."""
     model = TreeEnsemble(list(features))
     train, valid = log.where("split = 'train'"), log.where("split = 'validation'")
     weights = member_weights(train, settings.ensemble_size, settings.seeds["models"])
-    label = F.col("converted").cast("double").alias("label")
-    data = model.design(train).select("customer_id", "design", label).join(
-        weights, "customer_id").persist()
-    held = model.design(valid).select("design", label).persist()
-    share = str(settings.gbm_feature_share)
-
-    def fit_member(m: int):
-        own = data.withColumn("_w", F.get("w", F.lit(m))).where("_w > 0")
-        fit = GBTClassifier(
-            featuresCol="design", labelCol="label", weightCol="_w", maxDepth=depth,
-            maxIter=rounds or settings.gbm_rounds, stepSize=settings.gbm_step,
-            minInstancesPerNode=settings.gbm_min_leaf_rows,
-            subsamplingRate=settings.gbm_row_share, featureSubsetStrategy=share,
-            seed=settings.seeds["models"] + m).fit(own)
-        raw = F.get(vector_to_array("rawPrediction"), F.lit(1))
-        scored = fit.transform(held).select(raw.alias("raw"), "label")
-        return fit, platt(scored, "raw", "label")
-
-    try:
-        data.count()
-        held.count()
-        model.members_ = in_parallel(log.sparkSession, fit_member, settings.ensemble_size)
-    finally:
-        data.unpersist()
-        held.unpersist()
+    numeric, arm, depth = model.inputs()
+    key = F.xxhash64("customer_id", "day")
+    y = F.col("converted").cast("double")
+    rows = stage(train.select("customer_id", numeric.alias("numeric"), arm.alias("arm"),
+                              y.alias("y"), key.alias("key")).join(weights, "customer_id"),
+                 "tree-rows")
+    cuts = feature_cuts(train.withColumn("_depth", depth), [*features, "_depth"])
+    model.boosted = boost(rows, cuts, settings.ensemble_size, Growth(
+        rounds or settings.gbm_rounds, settings.gbm_step, settings.gbm_leaves,
+        settings.gbm_min_leaf_rows, settings.gbm_row_share, settings.gbm_feature_share,
+        settings.gbm_l2, settings.seeds["models"]))
+    held = stage(valid.select(raw_scores(model.boosted, numeric, arm).alias("raw"),
+                              y.alias("label")), "tree-held")
+    model.platt = platt_all(held, settings.ensemble_size)
     return model
 
 
