@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from holdfast.checks import duck
 from holdfast.checks.workspace import ML_POLICY, REPLAYED, Workspace, workspace
 from holdfast.config import (
     EVENT_ID_NAMESPACE,
+    MCDA_CRITERIA,
     REJECT_ID_NAMESPACE,
     SETTINGS,
     candidate_rows,
@@ -23,6 +25,7 @@ from holdfast.functions import draws, ids, ordering
 from holdfast.functions.numbers import day_index
 from holdfast.functions.text import normalize_identifier
 from holdfast.operators import asof, bootstrap, evaluation, gateway, mart, mart_checks, measures
+from holdfast.operators import boosting as bo
 from holdfast.operators import candidates as ac
 from holdfast.operators import context as cx
 from holdfast.operators import explain as ex
@@ -34,6 +37,7 @@ from holdfast.operators import policies as po
 from holdfast.operators import quality as q
 from holdfast.operators import response as rs
 from holdfast.operators import rules as ru
+from holdfast.operators import segmentation as sn
 from holdfast.operators import segments as sg
 from holdfast.operators import trace as tr
 from holdfast.plans import ingest as ing
@@ -1046,15 +1050,49 @@ def _(ws):
         F.col("members")[arm]).alias("p"), F.col("converted").alias("y"))
 
 
+def _trees(ws: Workspace) -> rs.TreeEnsemble:
+    if not hasattr(ws, "_boosted"):
+        ws._boosted = rs.fit_trees(ws.experiment, list(cx.model_columns(ws.categories)))
+    return ws._boosted
+
+
 @report("tree_predictions", "ML-6")
 def _(ws):
-    small = S.with_(ensemble_size=2, gbm_min_leaf_rows=30)
-    model = rs.fit_trees(ws.experiment, list(cx.model_columns(ws.categories)), small, rounds=8,
-                         depth=2)
-    return model.score(ws.experiment).select(*KEY, "split", "archetype", rs.mean_probability(
+    return _trees(ws).score(ws.experiment).select(*KEY, "split", "archetype", rs.mean_probability(
         F.col("p")).alias("p"))
 
 
+@report("tree_attributions", "ML-11")
+def _(ws):
+    rows = ws.experiment.where("split = 'test' AND archetype <> 'none'")
+    return _trees(ws).attributions(rows).select(*KEY, "archetype", F.inline(
+        rs.top_attributions(F.col("attributions"))))
+
+
+# One tree written out by hand: restraint or not, then few contacts or many. Half of what a part
+# changes counts where it comes first, half where it comes last.
+_MANY, _HERE = "prior_contacts > 2", "CASE WHEN prior_contacts > 2 THEN -0.25 ELSE 0.5 END"
+
+
+@report("literal_tree_attributions", "ML-11", f"""
+SELECT customer_id, day, archetype, 'contacts_total' AS feature,
+  round(CASE WHEN archetype IN ('none', 'wait') THEN 0.0 ELSE ({_HERE} - 0.3125) / 2 END, 6) AS weight
+FROM replay WHERE policy = 'random' UNION ALL
+SELECT customer_id, day, archetype, 'action:' || archetype,
+  round(CASE WHEN archetype IN ('none', 'wait') THEN 0.0 ELSE (0.3125 + 1 + {_HERE} + 1) / 2 END, 6)
+FROM replay WHERE policy = 'random'""")
+def _(ws):
+    tree = bo.Tree.root()
+    tree.cover[0] = 100.0
+    arms = np.isin(np.arange(bo.BINS), [rs.ARCHETYPES.index(a) for a in ("none", "wait")])
+    _, right = tree.split(0, 2, arms, (-1.0, 0.0), (60.0, 40.0))
+    tree.split(right, 0, np.arange(bo.BINS) < 1, (0.5, -0.25), (30.0, 10.0))
+    model = rs.TreeEnsemble(["contacts_total"], bo.Boosted([[2.0], []], [0.0], [[tree]]),
+                            [(1.0, 0.0)])
+    return model.attributions(ws.experiment).select(*KEY, "archetype", F.inline(
+        "attributions")).withColumn("weight", r6("weight"))
+
+
 @report("predicted_uplift", "ML-9")
 def _(ws):
     arm = F.concat_ws(":", "archetype", F.col("discount_bps").cast("string"))
@@ -1187,13 +1225,10 @@ def _(ws):
 
 @report("segments_kmeans", "SG-4")
 def _(ws):
-    matrix = sg.segment_matrix(ws.snapshot)
-    fits = [sg.kmeans_labels(matrix, sg.kmeans(matrix, k, S.seeds["models"])).select(
-        F.lit(k).alias("k"), "customer_id", "segment_id") for k in S.kmeans_k]
-    return reduce(DataFrame.unionByName, fits)
+    return sg.kmeans_labels(sg.segment_matrix(ws.snapshot), S.kmeans_k, S.seeds["models"])
 
 
-@report("segment_balance", "SG-5, SG-8", f"""
+@report("segment_balance", "SG-5", f"""
 SELECT round(-sum(s * ln(s)) / nullif(ln(count(*)), 0), 6) AS size_balance, count(*) AS n_segments,
   round(min(s), 6) AS min_share, count(*) <= {S.max_segments} AND min(s) >= {S.min_segment_share} AS viable
 FROM (SELECT count(*) / sum(count(*)) OVER () AS s FROM segments GROUP BY segment_id)""")
@@ -1232,6 +1267,86 @@ def _(ws):
     return sg.silhouette(points).select(r6("silhouette"))
 
 
+# Labels and refits given by rules, so that the choice among them has a twin in SQL.
+_GIVEN = {
+    "rfm_rules": None, "kmeans_k3": "least(session_visits_count, 2)",
+    "kmeans_k4": "least(contacts_total, 3)",
+    "kmeans_k5": "CASE WHEN rfm_monetary_cents > 10000000 THEN 1 ELSE 0 END"}
+_COPIES = ("1 + session_visits_count % 2", "contacts_total % 3")
+_REFITS = ("CASE WHEN rfm_frequency_count % 2 = 1 THEN 0 ELSE segment_id END",
+           "CASE WHEN contacts_total > 4 THEN segment_id + 1 ELSE segment_id END")
+duck.CTES["seg_given"] = f"""
+SELECT *, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _COPIES)}] AS w, [{', '.join(f'CAST({c} AS BIGINT)' for c in _REFITS)}] AS refits FROM (
+  {' UNION ALL '.join(f"SELECT s.*, '{m}' AS method, CAST({c or 'g.segment_id'} AS BIGINT) AS segment_id FROM snap s JOIN segments g USING (customer_id)" for m, c in _GIVEN.items())})"""
+duck.CTES["seg_stable"] = """
+SELECT method, avg(coalesce((both_n - sa * sb / nullif(tot, 0)) / nullif((sa + sb) / 2 - sa * sb / nullif(tot, 0), 0), 1.0)) AS stability FROM (
+  SELECT method, r, sum(n * (n - 1) / 2) AS both_n, any_value(sa) AS sa, any_value(sb) AS sb, sum(n) * (sum(n) - 1) / 2 AS tot FROM (
+    SELECT method, r, a, b, sum(w) AS n FROM seg_pairs GROUP BY ALL)
+  JOIN (SELECT method, r, sum(n * (n - 1) / 2) AS sa FROM (SELECT method, r, a, sum(w) AS n FROM seg_pairs GROUP BY ALL) GROUP BY ALL) USING (method, r)
+  JOIN (SELECT method, r, sum(n * (n - 1) / 2) AS sb FROM (SELECT method, r, b, sum(w) AS n FROM seg_pairs GROUP BY ALL) GROUP BY ALL) USING (method, r)
+  GROUP BY method, r) GROUP BY method"""
+duck.CTES["seg_pairs"] = """
+SELECT method, r, segment_id AS a, refits[r] AS b, w[r] AS w FROM seg_given, range(1, 3) AS t(r) WHERE w[r] > 0"""
+
+
+def _given(ws: Workspace) -> DataFrame:
+    frame = ws.snapshot.join(ws.segments.select("customer_id", F.col("segment_id").alias("rfm")),
+                             "customer_id")
+    made = [frame.withColumn("method", F.lit(m)).withColumn(
+        "segment_id", F.expr(c or "rfm").cast("long")) for m, c in _GIVEN.items()]
+    array = lambda parts, kind: F.array(*[F.expr(c).cast(kind) for c in parts])
+    return reduce(DataFrame.unionByName, made).select(
+        "method", "customer_id", "segment_id", array(_COPIES, "double").alias("w"),
+        array(_REFITS, "long").alias("refits"))
+
+
+@report("segment_stability", "SG-6", "SELECT method, round(stability, 6) AS stability FROM seg_stable")
+def _(ws):
+    return sn.stability(_given(ws)).select("method", r6("stability"))
+
+
+_CRITERIA_SQL = "(VALUES " + ", ".join(f"('{c}', {w!r}::DOUBLE)" for c, (w, _) in MCDA_CRITERIA.items()) + ") AS k(criterion, weight)"
+
+
+@report("segmentation_choice", "SG-8, SG-9, SG-10", f"""
+WITH bal AS (SELECT method, coalesce(-sum(s * ln(s)) / nullif(ln(count(*)), 0), 0.0) AS size_balance, count(*) AS n_segments, min(s) AS min_share,
+    count(*) <= {S.max_segments} AND min(s) >= {S.min_segment_share} AS viable
+  FROM (SELECT method, count(*) / sum(count(*)) OVER (PARTITION BY method) AS s FROM seg_given GROUP BY method, segment_id) GROUP BY method),
+sil AS (SELECT method, avg(CASE WHEN n_own IS NULL OR others = 0 THEN -1 WHEN n_own < 2 THEN 0 ELSE coalesce((other - own) / nullif(greatest(other, own), 0), 0) END) AS silhouette FROM (
+  SELECT method, customer_id, max(n) FILTER (k = mine) AS n_own, max(total / nullif(n - 1, 0)) FILTER (k = mine) AS own, min(total / n) FILTER (k <> mine) AS other, count(*) FILTER (k <> mine) AS others FROM (
+    SELECT ga.method, a.customer_id, ga.segment_id AS mine, gb.segment_id AS k, sum({_DIST}) AS total, count(*) AS n
+    FROM seg_given ga JOIN seg_matrix a USING (customer_id) JOIN seg_given gb ON gb.method = ga.method JOIN seg_matrix b ON b.customer_id = gb.customer_id GROUP BY ALL) GROUP BY ALL) GROUP BY method),
+card AS (SELECT bal.*, silhouette, stability, CASE WHEN method = 'rfm_rules' THEN 1.0 ELSE 0.5 END::DOUBLE AS interpretability FROM bal JOIN sil USING (method) JOIN seg_stable USING (method)),
+long AS (SELECT method, criterion, weight / sum(weight) OVER (PARTITION BY method) AS weight,
+    CASE criterion WHEN 'silhouette' THEN silhouette WHEN 'size_balance' THEN size_balance WHEN 'stability' THEN stability ELSE interpretability END AS value
+  FROM card, {_CRITERIA_SQL} WHERE viable),
+scored AS (SELECT method, sqrt(sum((v - hi) ** 2)) AS dp, sqrt(sum((v - lo) ** 2)) AS dm FROM (
+  SELECT *, max(v) OVER (PARTITION BY criterion) AS hi, min(v) OVER (PARTITION BY criterion) AS lo FROM (
+    SELECT method, criterion, weight * value / coalesce(nullif(sqrt(sum(value * value) OVER (PARTITION BY criterion)), 0), 1) AS v FROM long)) GROUP BY method),
+close AS (SELECT method, coalesce(dm / nullif(dp + dm, 0), 0.0) AS closeness FROM scored),
+ranked AS (SELECT *, row_number() OVER (ORDER BY round(closeness, 12) DESC, method) AS rank FROM close)
+SELECT method, n_segments, round(min_share, 6) AS min_share, viable, round(size_balance, 6) AS size_balance, round(silhouette, 6) AS silhouette,
+  round(stability, 6) AS stability, interpretability, round(coalesce(closeness, -1.0), 6) AS closeness, coalesce(rank, -1) AS rank, coalesce(rank = 1, false) AS chosen
+FROM card LEFT JOIN ranked USING (method)""")
+def _(ws):
+    given = _given(ws)
+    return _card(sn.scorecard(given, sg.segment_matrix(ws.snapshot), sn.stability(given),
+                              sn.interpretability(S.interpretability)))
+
+
+def _card(card: DataFrame) -> DataFrame:
+    return card.select(
+        "method", "n_segments", r6("min_share"), "viable", r6("size_balance"), r6("silhouette"),
+        r6("stability"), "interpretability",
+        F.round(F.coalesce("closeness", F.lit(-1.0)), 6).alias("closeness"),
+        F.coalesce("rank", F.lit(-1)).alias("rank"), "chosen")
+
+
+@report("segmentation_run", "SG-4, SG-6, SG-8")
+def _(ws):
+    return _card(sn.run_segmentation(ws.snapshot).card)
+
+
 # a ranking of categories per day: four criteria from the event log
 DAY_CRITERIA = {"abandons": (0.2, "cost"), "orders": (0.3, "benefit"), "revenue": (0.3, "benefit"),
                 "views": (0.2, "benefit")}

@@ -142,13 +142,17 @@ class Settings:
     guardrails: tuple[tuple[str, float], ...] = (("conversion_rate", 0.002),)
     delay_budget_days: int = 28
     seeds: dict = field(default_factory=lambda: {
-        "experiment": 7001, "outcomes": 7002, "bootstrap": 7003, "models": 7004})
+        "experiment": 7001, "outcomes": 7002, "bootstrap": 7003, "models": 7004,
+        "segments": 7005})
     # segmentation
     segment_features: tuple[str, ...] = (
         "rfm_recency_days", "rfm_frequency_count", "rfm_monetary_cents",
         "session_visits_count", "price_sensitivity_proxy", "contacts_total",
     )
     kmeans_k: tuple[int, ...] = (3, 4, 5, 6)
+    kmeans_starts: int = 10
+    stability_resamples: int = 5
+    interpretability: dict = field(default_factory=lambda: {"rfm_rules": 1.0, "kmeans": 0.5})
     min_segment_share: float = 0.05
     max_segments: int = 6
     fixture_splits: int = 8  # exchange width of the single-file test tables

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.config import MCDA_CRITERIA, SETTINGS, Settings
 from holdfast.functions.numbers import day_index, ratio
+from holdfast.functions.quantiles import weighted_medians
+from holdfast.operators.clustering import nearest, weighted_kmeans
+from holdfast.session import stage
 
 RFM_NAMES = {0: "new_or_browsing", 1: "lapsed_buyer", 2: "active_buyer", 3: "loyal_high_value"}
 BROWSER_NAMES = ("engaged_browsers", "occasional_browsers", "light_browsers")
@@ -36,8 +37,7 @@ def rfm_tier(spend_cut: Column, settings: Settings = SETTINGS) -> Column:
 def rfm_segments(frame: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """Never ordered / lapsed / active / active above the median spend of actives."""
     active = frame.where(F.col("rfm_recency_days") <= settings.lapsed_after_days)
-    cut = active.agg(F.coalesce(F.percentile("rfm_monetary_cents", F.lit(0.5)),
-                                F.lit(0.0)).alias("cut")).scalar()
+    cut = F.lit(weighted_medians(active, "rfm_monetary_cents", [F.lit(1)])[0] or 0.0)
     names = F.create_map(*[F.lit(x) for kv in RFM_NAMES.items() for x in kv])
     return frame.withColumn("segment_id", rfm_tier(cut, settings)).withColumn(
         "segment_name", names[F.col("segment_id").cast("int")])
@@ -62,26 +62,17 @@ def segment_matrix(frame: DataFrame, settings: Settings = SETTINGS) -> DataFrame
         for n in settings.segment_features])
 
 
-def kmeans(matrix: DataFrame, k: int, seed: int, inits: int = 10,
-           settings: Settings = SETTINGS):
-    """Best of `inits` seeded runs by training cost; returns the fitted model."""
-    points = with_vector(matrix, settings).cache()
-    try:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(points)
-                for i in range(inits)]
-        return min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        points.unpersist()
-
-
-def with_vector(matrix: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    return matrix.withColumn("features", array_to_vector(F.array(
-        *[F.col(n) for n in settings.segment_features])))
-
-
-def kmeans_labels(matrix: DataFrame, model, settings: Settings = SETTINGS) -> DataFrame:
-    return model.transform(with_vector(matrix, settings)).select(
-        "customer_id", F.col("prediction").cast("long").alias("segment_id"))
+def kmeans_labels(matrix: DataFrame, counts: Sequence[int], seed: int,
+                  settings: Settings = SETTINGS) -> DataFrame:
+    """(k, customer_id, segment_id) for every cluster count, the best of several starts each."""
+    x = F.array(*[F.col(n) for n in settings.segment_features])
+    points = stage(matrix.select("customer_id", x.alias("x"), F.array(F.lit(1.0)).alias("w"),
+                                 F.xxhash64("customer_id").alias("key")), "points")
+    centres = weighted_kmeans(points, counts, 1, seed, settings.kmeans_starts)
+    held = [centres[k, 0] for k in counts] if centres else [[[0.0]]] * len(counts)
+    return points.select("customer_id", F.posexplode(nearest(F.col("x"), held)).alias(
+        "at", "segment_id")).select(F.element_at(F.array(*[F.lit(k) for k in counts]), F.col(
+            "at") + 1).alias("k"), "customer_id", "segment_id")
 
 
 # --------------------------------------------------------------------------------- criteria
@@ -130,8 +121,9 @@ def adjusted_rand(pairs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
         (F.col("both") - expected) / F.nullif(top - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
 
-def silhouette(points: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """Mean silhouette of all points under squared Euclidean distance.
+def silhouettes(points: DataFrame, group: Sequence[str],
+                settings: Settings = SETTINGS) -> DataFrame:
+    """Mean silhouette of all points of each group under squared Euclidean distance.
 
     The mean squared distance of a point x to a cluster of n points with sum S and squared norms
     Q is |x|^2 + Q / n - 2 x.S / n, so three sums per cluster replace all pairs. A point alone in
@@ -139,11 +131,12 @@ def silhouette(points: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """
     names = list(settings.segment_features)
     norm = sum((F.col(n) * F.col(n) for n in names), F.lit(0.0))
-    per = points.groupBy("segment_id").agg(
+    per = points.groupBy(*group, "segment_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(norm).alias("q"),
         F.array(*[F.sum(n) for n in names]).alias("s"))
-    # one row: as many structs as there are clusters
-    clusters = per.agg(F.collect_list(F.struct("segment_id", "n", "q", "s")).alias("c")).scalar()
+    # one row a group, with as many structs as it has clusters; groups are the compared methods
+    clusters = F.broadcast(per.groupBy(*group).agg(F.collect_list(
+        F.struct("segment_id", "n", "q", "s")).alias("_c")))
     x = F.array(*[F.col(n) for n in names])
 
     def mean_to(c: Column) -> Column:
@@ -151,7 +144,7 @@ def silhouette(points: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
                           lambda acc, v: acc + v)
         return norm + c["q"] / c["n"] - 2 * dot / c["n"]
 
-    placed = points.select("segment_id", *names).withColumn("_c", clusters)
+    placed = points.select(*group, "segment_id", *names).join(clusters, list(group))
     mine = F.get(F.filter("_c", lambda c: c["segment_id"] == F.col("segment_id")), F.lit(0))
     inside = mean_to(mine) * mine["n"] / (mine["n"] - 1)
     outside = F.array_min(F.transform(F.filter(
@@ -159,7 +152,11 @@ def silhouette(points: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     top = F.greatest(inside, outside)
     score = F.when(F.size("_c") < 2, -1.0).when(mine["n"] < 2, 0.0).otherwise(
         F.coalesce((outside - inside) / F.nullif(top, F.lit(0.0)), F.lit(0.0)))
-    return placed.agg(F.coalesce(F.avg(score), F.lit(-1.0)).alias("silhouette"))
+    return placed.groupBy(*group).agg(F.coalesce(F.avg(score), F.lit(-1.0)).alias("silhouette"))
+
+
+def silhouette(points: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    return silhouettes(points.withColumn("_one", F.lit(0)), ["_one"], settings).select("silhouette")
 
 
 # ----------------------------------------------------------------------------------- TOPSIS
