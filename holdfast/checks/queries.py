@@ -1317,17 +1317,17 @@ sil AS (SELECT method, avg(CASE WHEN n_own IS NULL OR others = 0 THEN -1 WHEN n_
     SELECT ga.method, a.customer_id, ga.segment_id AS mine, gb.segment_id AS k, sum({_DIST}) AS total, count(*) AS n
     FROM seg_given ga JOIN seg_matrix a USING (customer_id) JOIN seg_given gb ON gb.method = ga.method JOIN seg_matrix b ON b.customer_id = gb.customer_id GROUP BY ALL) GROUP BY ALL) GROUP BY method),
 card AS (SELECT bal.*, silhouette, stability, CASE WHEN method = 'rfm_rules' THEN 1.0 ELSE 0.5 END::DOUBLE AS interpretability FROM bal JOIN sil USING (method) JOIN seg_stable USING (method)),
-long AS (SELECT method, criterion, weight / sum(weight) OVER (PARTITION BY method) AS weight,
+card_long AS (SELECT method, criterion, weight / sum(weight) OVER (PARTITION BY method) AS weight,
     CASE criterion WHEN 'silhouette' THEN silhouette WHEN 'size_balance' THEN size_balance WHEN 'stability' THEN stability ELSE interpretability END AS value
   FROM card, {_CRITERIA_SQL} WHERE viable),
-scored AS (SELECT method, sqrt(sum((v - hi) ** 2)) AS dp, sqrt(sum((v - lo) ** 2)) AS dm FROM (
+card_scored AS (SELECT method, sqrt(sum((v - hi) ** 2)) AS dp, sqrt(sum((v - lo) ** 2)) AS dm FROM (
   SELECT *, max(v) OVER (PARTITION BY criterion) AS hi, min(v) OVER (PARTITION BY criterion) AS lo FROM (
-    SELECT method, criterion, weight * value / coalesce(nullif(sqrt(sum(value * value) OVER (PARTITION BY criterion)), 0), 1) AS v FROM long)) GROUP BY method),
-close AS (SELECT method, coalesce(dm / nullif(dp + dm, 0), 0.0) AS closeness FROM scored),
-ranked AS (SELECT *, row_number() OVER (ORDER BY round(closeness, 12) DESC, method) AS rank FROM close)
+    SELECT method, criterion, weight * value / coalesce(nullif(sqrt(sum(value * value) OVER (PARTITION BY criterion)), 0), 1) AS v FROM card_long)) GROUP BY method),
+close AS (SELECT method, coalesce(dm / nullif(dp + dm, 0), 0.0) AS closeness FROM card_scored),
+card_ranked AS (SELECT *, row_number() OVER (ORDER BY round(closeness, 12) DESC, method) AS rank FROM close)
 SELECT method, n_segments, round(min_share, 6) AS min_share, viable, round(size_balance, 6) AS size_balance, round(silhouette, 6) AS silhouette,
   round(stability, 6) AS stability, interpretability, round(coalesce(closeness, -1.0), 6) AS closeness, coalesce(rank, -1) AS rank, coalesce(rank = 1, false) AS chosen
-FROM card LEFT JOIN ranked USING (method)""")
+FROM card LEFT JOIN card_ranked USING (method)""")
 def _(ws):
     given = _given(ws)
     return _card(sn.scorecard(given, sg.segment_matrix(ws.snapshot), sn.stability(given),
