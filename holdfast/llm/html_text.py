@@ -3,12 +3,15 @@
 Method: markup is stripped so that every block element with text becomes a line; nesting alone adds
 none. Lines of elements that never hold the article (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles, hidden parts) are left out, and so is all that stands
-outside <article> or <main> where a page has one. On other pages, lines that are mostly links count
-as empty. Text lengths are summed over sliding windows of WINDOW lines; where the sums leave zero
-is a surge point, where they come back to zero a dive point, and the lines between the first and
-last text of the two are kept, with paragraphs, headings and list items of links among them. So
-only WINDOW or more link lines in a row part two stretches; those far thinner than the best one are
-left out, unless they hold an <h1>.
+outside <article> or <main> where a page has one; a class or id word leaves out no element that holds
+most of the page's text. Lines that are mostly links count as empty. Text lengths are summed over
+sliding windows of WINDOW lines; where the sums leave zero is a surge point, where they come back to zero a
+dive point, and the lines between the first and last text of the two are a stretch. The end of an
+<article> or <main> ends its stretches. The container of the fullest stretch is kept, and of others
+those whose stretches hold at least THIN of its text (a page may hold several articles; a teaser is
+thinner). In a page without containers a stretch that thin is left out unless it has a heading.
+Kept are all text lines of kept stretches, with paragraphs, headings and list items of links among
+them, so only WINDOW or more other link lines in a row part two stretches.
 
 Cases: null, empty or textless html gives an empty text; unclosed and wrongly nested tags are
 closed by their parents; a `<` that opens no tag is text; any length is read in one linear pass;
@@ -59,6 +62,11 @@ CONTAINER = frozenset("div section ul ol dl table p span header details figure b
                       "center".split())
 # Blocks of running text, in which mostly linked words can be the article's own.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption caption li dt dd td th pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Inside an article these are running text, whatever their class, unless it says advert.
+RUNNING = frozenset("p span li td blockquote figure".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo".split())
+SURE, NAMED = "sure", "named"
 # Words in class or id that mark what is not the article, on any CONTAINER.
 ASIDE = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo cookie cookies gdpr popup modal "
@@ -99,41 +107,50 @@ def _marks(rest: str) -> tuple[list[list[str]], set[str], bool]:
     return names, roles, hidden
 
 
-def _not_article(name: str, rest: str, inside: bool) -> bool:
+def _not_article(name: str, rest: str, inside: bool) -> str:
+    """Why an element holds no article: `sure` by what it is, `named` by a class, id or role, or
+    not at all."""
     if name in NEVER or name == "header" and not inside:
-        return True
+        return SURE
     if not rest or rest.isspace():
-        return False
+        return ""
     names, roles, hidden = _marks(rest)
     if hidden or name not in CONTAINER:
-        return hidden
+        return SURE if hidden else ""
+    aside = ADVERTS if inside and name in RUNNING else ASIDE
     for words in names:
         if not words or words[0] in FIRST or words[-1] in LAST:
             continue
-        if any(w in ASIDE or w in REPLIES and name in THREAD for w in words):
-            return True
+        if any(w in aside or w in REPLIES and name in THREAD for w in words):
+            return NAMED
         if name in GROUP and FURNITURE.issuperset(words) and not UNSURE.isdisjoint(words):
-            return True
-    return not ROLES.isdisjoint(roles)
+            return NAMED
+    return "" if ROLES.isdisjoint(roles) else NAMED
 
 
-def page_lines(html: str) -> list[tuple[str, bool, bool, float, str]]:
-    """Lines of a page: (text, may be article, inside <article> or <main>, share in links, block)."""
-    lines: list[tuple[str, bool, bool, float, str]] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # (element, left out, inside the article, block)
+Line = tuple[str, bool, int, float, str]
+
+
+def page_lines(html: str) -> list[Line]:
+    """Lines of a page: (text, may be article, number of the <article> or <main> or 0, share in
+    links, block)."""
+    lines: list[tuple[str, bool, int, float, str, tuple[int, ...]]] = []
+    # (element, surely left out, container, block, numbers of the elements left out by name)
+    stack: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
+    opened = 0
     parts: list[str] = []
     linked = 0
     links = 0
 
-    def state() -> tuple[bool, bool, str]:
-        return stack[-1][1:] if stack else (False, False, "")
+    def state() -> tuple[bool, int, str, tuple[int, ...]]:
+        return stack[-1][1:] if stack else (False, 0, "", ())
 
     def flush() -> None:
         nonlocal linked
-        out, inside, block = state()
+        out, inside, block, named = state()
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append((text, not out, inside, linked / len(text), block))
+            lines.append((text, not out, inside, linked / len(text), block, named))
         parts.clear()
         linked = 0
 
@@ -185,36 +202,67 @@ def page_lines(html: str) -> list[tuple[str, bool, bool, float, str]]:
                     break
         if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
             continue
-        out, inside, block = state()
-        inside = inside or name in ("article", "main") or "role" in m["rest"] and (
-            "main" in _marks(m["rest"])[1])
-        stack.append((name, out or _not_article(name, m["rest"], inside), inside,
-                      name if name in BLOCK else block))
+        opened += 1
+        out, inside, block, named = state()
+        if not inside and (name in ("article", "main") or "role" in m["rest"] and (
+                "main" in _marks(m["rest"])[1])):
+            inside = opened
+        why = _not_article(name, m["rest"], bool(inside))
+        stack.append((name, out or why == SURE, inside, name if name in BLOCK else block,
+                      (*named, opened) if why == NAMED else named))
         links += name == "a"
     add(html[at:])
     flush()
-    return lines
+    held: dict[int, int] = {}
+    for text, may, _, _, _, named in lines:
+        for number in named if may else ():
+            held[number] = held.get(number, 0) + len(text)
+    whole = sum(len(x[0]) for x in lines if x[1])
+    most = {number for number, n in held.items() if 2 * n > whole}
+    return [(text, may and most.issuperset(named), inside, share, block)
+            for text, may, inside, share, block, named in lines]
 
 
-def main_text(html: str | None) -> str:
-    lines = [x for x in page_lines(html or "") if x[1]]
-    if any(inside for _, _, inside, _, _ in lines):
-        return "\n".join(text for text, _, inside, _, _ in lines if inside)
-    size = np.array([len(text) if share < LINKED else 0 for text, _, _, share, _ in lines], "i8")
-    padded = np.concatenate([[0], np.cumsum(size)])
+def stretches(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(first, past the last) text line between each surge and dive point."""
+    padded = np.concatenate([[0], np.cumsum(sizes)])
     # sums over windows of lines; each window is named by its last line
-    ends = np.arange(1, len(size) + WINDOW)
-    sums = padded[np.minimum(ends, len(size))] - padded[np.maximum(ends - WINDOW, 0)]
+    ends = np.arange(1, len(sizes) + WINDOW)
+    sums = padded[np.minimum(ends, len(sizes))] - padded[np.maximum(ends - WINDOW, 0)]
     live = np.concatenate([[False], sums > 0, [False]])
     surges = np.flatnonzero(~live[:-1] & live[1:])
     # the last line with text stands WINDOW - 1 lines before the last live window
     dives = np.flatnonzero(live[:-1] & ~live[1:]) - WINDOW + 1
-    stretches = [(a, b, padded[b] - padded[a]) for a, b in zip(surges.tolist(), dives.tolist())]
-    best = max((n for _, _, n in stretches), default=0)
-    kept = [k for a, b, n in stretches
-            if n >= THIN * best or any(lines[k][4] == "h1" for k in range(a, b))
-            for k in range(a, b) if size[k] or lines[k][4] in PROSE]
-    return "\n".join(lines[k][0] for k in kept)
+    return list(zip(surges.tolist(), dives.tolist()))
+
+
+def main_text(html: str | None) -> str:
+    lines = [x for x in page_lines(html or "") if x[1]]
+    if any(x[2] for x in lines):
+        lines = [x for x in lines if x[2]]
+    sizes = np.array([len(text) if share < LINKED else 0 for text, _, _, share, _ in lines], "i8")
+    inside = np.array([x[2] for x in lines], "i8")
+    # (container, first, past the last, text)
+    found = [(number, first + at[0], first + at[1], int(sizes[first + at[0]:first + at[1]].sum()))
+             for number in dict.fromkeys(inside.tolist())
+             for first in [int(np.argmax(inside == number))]
+             for at in stretches(sizes[inside == number])]
+    text: dict[int, int] = {}
+    for number, _, _, n in found:
+        text[number] = text.get(number, 0) + n
+    best = max(text.values(), default=0)
+    fullest = max((n for *_, n in found), default=0)
+    kept = []
+    for number, a, b, n in found:
+        if number:  # an article is kept whole, or not at all
+            keep = text[number] >= THIN * best
+        else:
+            keep = n >= THIN * fullest or any(lines[k][4] in HEADINGS for k in range(a, b)) and any(
+                sizes[k] and lines[k][4] not in HEADINGS for k in range(a, b)) or any(
+                lines[k][4] == "h1" for k in range(a, b))
+        if keep:
+            kept += [k for k in range(a, b) if sizes[k] or lines[k][4] in PROSE]
+    return "\n".join(lines[k][0] for k in sorted(kept))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",

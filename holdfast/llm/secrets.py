@@ -80,7 +80,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digit, text = "[0-9]", F.col("text")
     kinds = {"runs": text.rlike(digit) & text.rlike(long_run),
              "names": text.rlike(f"(?i){NAMED}"), "prefixes": text.rlike(PREFIXED),
-             "logins": text.rlike(CONNECTION)}
+             "logins": text.contains("://") & text.rlike(CONNECTION)}
     split = rows.select("doc_id", "path", "text", *[v.alias(k) for k, v in kinds.items()]).where(
         F.col("runs") | F.col("names") | F.col("prefixes") | F.col("logins")).withColumn(
         "words", F.split("text", SPACES))

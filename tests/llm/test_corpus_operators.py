@@ -476,6 +476,44 @@ def test_article_text_is_not_dropped(html, kept):
     assert kept in html_text.main_text(html).split("\n")
 
 
+LINKS = "<div><a href=a>One two</a></div>" * 4
+
+
+@pytest.mark.parametrize("html,kept", [
+    # class words around most of the text
+    (f"<div class='content-sidebar-wrap'><article>{LONG_P}</article></div>", "sentence of"),
+    (f"<div class='ad-free-article'><article>{LONG_P}</article></div>", "sentence of"),
+    (f"<article>{LONG_P}<p class='newsletter'>On newsletters.</p></article>", "On newsletters."),
+    # short parts behind links, with and without a container
+    (f"<article>{LONG_P}{LINKS}<p>A short end.</p></article>", "A short end."),
+    (f"<h1>T</h1>{LONG_P}{LINKS}<h2>Short</h2><p>A short end.</p>", "A short end."),
+    (f"<article>{LONG_P}</article><article>{LONG_P}<p>Second.</p></article>", "Second.")])
+def test_windows_inside_and_outside_of_containers(html, kept):
+    text = html_text.main_text(html)
+    assert any(line.startswith(kept) for line in text.split("\n")) and "One two" not in text
+
+
+def test_teasers_are_no_articles():
+    page = f"<article>{LONG_P}</article><article><h2>Next</h2><p>A teaser.</p></article>"
+    assert html_text.main_text(page).split("\n") == [("sentence of some length " * 20).strip()]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40))
+def test_stretches_equal_windows_summed_one_by_one(sizes):
+    n, w = len(sizes), html_text.WINDOW
+    live = [sum(sizes[max(0, e - w):e]) > 0 for e in range(1, n + w)]
+    found, start = [], None
+    for k, on in enumerate([*live, False]):
+        if on and start is None:
+            start = k
+        if not on and start is not None:
+            own = [i for i in range(max(0, start - w + 1), min(n, k)) if sizes[i]]
+            found.append((own[0], own[-1] + 1))
+            start = None
+    assert html_text.stretches(np.array(sizes, "i8")) == found
+
+
 @pytest.mark.parametrize("part", [
     "<div class='comments'>Gone</div>", "<ol class='comment-list'><li>Gone</ol>",
     "<div class='social-links'>Gone</div>", "<div role='search'>Gone</div>",
