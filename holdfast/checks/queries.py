@@ -374,11 +374,15 @@ def _(ws):
 
 
 # ================================================================== streams
+FILES = S.fixture_splits
+
+
 def _files(ws: Workspace, name: str, *parts: DataFrame) -> str:
-    """A folder with the parts appended one after another, each in one file: a micro-batch each."""
+    """A folder with the parts appended one after another, FILES files each: a micro-batch each,
+    read in as many tasks."""
     path = scratch(ws, name)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -391,7 +395,8 @@ def _drained(ws: Workspace, stream: DataFrame, name: str) -> DataFrame:
 
 
 def _source(ws: Workspace, df: DataFrame, path: str) -> DataFrame:
-    return ws.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return ws.spark.readStream.schema(df.schema).option(
+        "maxFilesPerTrigger", FILES).parquet(path)
 
 
 @report("stream_contract_split", "ST-1", f"""
@@ -405,7 +410,7 @@ def _(ws):
     third = F.pmod(F.hash("event_id"), F.lit(3))
     source = _files(ws, "raw-files", *[raw.where(third == k) for k in range(3)])
     events, rejects, log = (scratch(ws, n) for n in ("landing", "quarantine", "split-log"))
-    st.split_stream(st.read_raw_stream(ws.spark, source), events, rejects, log).awaitTermination()
+    st.split_stream(st.read_raw_stream(ws.spark, source, FILES), events, rejects, log).awaitTermination()
     landed, refused = ws.spark.read.parquet(events), ws.spark.read.parquet(rejects)
     return landed.select(F.lit("landed").alias("outcome"), F.col("event_id").alias("id")).unionByName(
         refused.select(F.lit("rejected").alias("outcome"), F.col("reject_id").alias("id")).distinct())
@@ -447,7 +452,7 @@ SELECT count(*) AS rows_in, count(*) FILTER (reason IS NOT NULL) AS rows_rejecte
   count(*) FILTER (reason IS NOT NULL) / count(*) > {S.max_reject_rate} AS alarm FROM judged_raw""")
 def _(ws):
     source = _files(ws, "watched", ws.raw)
-    watched = st.observed(q.check_contract(st.read_raw_stream(ws.spark, source)))
+    watched = st.observed(q.check_contract(st.read_raw_stream(ws.spark, source, FILES)))
     path = scratch(ws, "watched-out")
     query = watched.select("event_id").writeStream.format("parquet").option("path", path).option(
         "checkpointLocation", f"{path}-log").trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,40 +74,40 @@ def session_order_stream(events: DataFrame, settings: Settings = SETTINGS) -> Da
     """Flag events that do not advance their session, within and across micro-batches.
 
     State per session is one instant. It expires once the watermark passes it by the session
-    span; a session that reappears behind the watermark is flagged, never dropped silently.
+    span; a session that reappears behind the watermark is flagged, never dropped silently (a
+    keyed-state operator with event-time timers would drop late rows before they are judged).
+    A session's share of a micro-batch is three narrow columns, judged as whole arrays.
     """
     span_ms = settings.session_max_span_seconds * 1000
 
-    def walk(key: tuple, batches: Iterator[pd.DataFrame],
-             state: GroupState) -> Iterator[pd.DataFrame]:
+    def judge(key: tuple, batches: Iterator[pd.DataFrame],
+              state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        frame = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        micros = frame["ts"].to_numpy("datetime64[us]").astype("int64")
         last = state.get[0] if state.exists else None
-        expired = pd.Timestamp(max(state.getCurrentWatermarkMs() - span_ms, 0), unit="ms")
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        verdicts, reasons = [], []
-        for ts in rows["ts"]:
-            micros = int(ts.value // 1000)
-            if last is None and ts < expired:
-                verdicts.append(False)
-                reasons.append("session reappeared behind the watermark")
-                continue
-            ok = last is None or micros > last
-            verdicts.append(ok)
-            reasons.append(None if ok else "timestamp does not strictly advance")
-            if ok:
-                last = micros
+        now_ms = max(state.getCurrentWatermarkMs(), 0)
+        behind = micros < (now_ms - span_ms) * 1000 if last is None else np.zeros(
+            len(micros), bool)
+        # sorted by instant, so only the first event of each instant can advance the session
+        first = np.append(True, micros[1:] != micros[:-1])
+        fresh = first & ~behind & (micros > last if last is not None else True)
+        if fresh.any():
+            last = int(micros[fresh][-1])
         if last is not None:
             state.update((last,))
-            due = last // 1000 + span_ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(session_id=key[0], accepted=verdicts, reason=reasons)[
+            state.setTimeoutTimestamp(max(last // 1000 + span_ms, now_ms + 1))
+        reason = np.where(fresh, None, np.where(
+            behind, "session reappeared behind the watermark",
+            "timestamp does not strictly advance"))
+        yield frame.assign(session_id=key[0], accepted=fresh, reason=reason)[
             ["event_id", "customer_id", "session_id", "ts", "accepted", "reason"]]
 
     stream = events.select("event_id", "customer_id", "session_id", "ts").withWatermark("ts", LAG)
     return stream.groupBy("session_id").applyInPandasWithState(
-        walk, ORDER_SCHEMA, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
+        judge, ORDER_SCHEMA, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --------------------------------------------------------------------------- fresh counters

@@ -63,6 +63,29 @@ def test_session_order_across_micro_batches(spark, tmp_path):
     assert got == {"a": True, "b": True, "c": True, "d": False, "e": True, "f": True}
 
 
+def test_one_very_long_session_and_forgotten_ones(spark, tmp_path):
+    path = str(tmp_path / "long")
+    at = lambda x: (F.lit("2024-01-05").cast("timestamp") + F.make_dt_interval(
+        secs=x)).alias("ts")
+    rows = lambda n, name, sec: spark.range(n).select(
+        F.concat(F.lit(name), F.format_string("%06d", "id")).alias("event_id"),
+        F.lit("c").alias("customer_id"), F.lit(name[0]).alias("session_id"), at(sec))
+    # two events each second, three files; then the same seconds again and one more
+    rows(100_000, "s-a", F.floor(F.col("id") / 2)).repartition(3).write.parquet(path)
+    rows(10, "s-b", F.col("id") + 49_995).repartition(3).write.mode("append").parquet(path)
+    rows(3, "x", F.lit(9_000_000)).repartition(3).write.mode("append").parquet(path)
+    rows(3, "t-c", F.col("id")).repartition(3).write.mode("append").parquet(path)
+    schema = "event_id string, customer_id string, session_id string, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(path)
+    out, _ = run_memory(st.session_order_stream(stream), "long_session")
+    counts = {(r[0], r[1], r[2]): r[3] for r in out.groupBy(
+        F.substring("event_id", 1, 3), "accepted", "reason").count().collect()}
+    late, old = "timestamp does not strictly advance", "session reappeared behind the watermark"
+    assert counts["s-a", True, None] == counts["s-a", False, late] == 50_000
+    assert counts["s-b", True, None] == counts["s-b", False, late] == 5
+    assert counts["t-c", False, old] == 3
+
+
 def test_dedupe_within_watermark(spark, tmp_path):
     t = datetime(2024, 1, 5)
     schema = "event_id string, ts timestamp"
