@@ -509,22 +509,45 @@ def _(ws):
                     "message_fatigue_count", "cart_state_units", "abandonment_history_count")
 
 
-@report("features_on_demand", "FT-14", """
-SELECT customer_id, strftime(as_of, '%Y-%m-%d %H:%M:%S.%f') AS as_of,
-  coalesce(date_diff('day', max(ts) FILTER (type = 'order_placed'), as_of), -1) AS rfm_recency_days,
-  count(*) FILTER (type = 'order_placed' AND ts > as_of - INTERVAL 90 DAY) AS rfm_frequency_count,
-  count(*) FILTER (type = 'session_start' AND ts > as_of - INTERVAL 30 DAY) AS session_visits_count,
-  coalesce(round_even(count(*) FILTER (type = 'product_view' AND ts > as_of - INTERVAL 30 DAY)
-    / CAST(nullif(count(DISTINCT session_id) FILTER (type = 'session_start' AND ts > as_of - INTERVAL 30 DAY), 0) AS DOUBLE), 6), 0.0) AS session_depth_mean_views,
-  count(*) FILTER (type IN ('campaign_exposure', 'action_delivered') AND ts > as_of - INTERVAL 14 DAY) AS message_fatigue_count,
-  greatest(CAST(coalesce(sum(CASE type WHEN 'add_to_cart' THEN qty WHEN 'cart_remove' THEN -qty END)
-    FILTER (last_reset IS NULL OR ts > last_reset), 0) AS BIGINT), 0) AS cart_state_units
-FROM (SELECT i.customer_id, i.as_of, t.ts, t.type, t.session_id, t.qty,
+def _during(days: int, test: str) -> str:
+    return f"FILTER ({test} AND ts > as_of - INTERVAL {days} DAY)"
+
+
+# every family at instants inside a day, for known and unknown customers
+_ASKED = """(SELECT customer_id, max(ts) - INTERVAL 36 HOUR AS as_of FROM typed GROUP BY customer_id
+  UNION ALL SELECT 'x' || c_custkey, TIMESTAMP '2024-01-10 12:00:00' FROM customer)"""
+
+
+@report("features_on_demand", "FT-14", f"""
+WITH reached AS (
+  SELECT i.customer_id, i.as_of, t.* EXCLUDE (customer_id),
     max(t.ts) FILTER (t.type IN ('order_placed', 'cart_abandon')) OVER (PARTITION BY i.customer_id, i.as_of) AS last_reset
-  FROM (SELECT customer_id, max(ts) - INTERVAL 36 HOUR AS as_of FROM typed GROUP BY customer_id
-        UNION ALL SELECT 'x' || c_custkey, TIMESTAMP '2024-01-10 12:00:00' FROM customer) i
-  LEFT JOIN typed t ON t.customer_id = i.customer_id AND t.ts <= i.as_of)
-GROUP BY customer_id, as_of""")
+  FROM {_ASKED} i LEFT JOIN typed t ON t.customer_id = i.customer_id AND t.ts <= i.as_of),
+shares AS (SELECT customer_id, as_of, category, round_even(n / CAST(sum(n) OVER (PARTITION BY customer_id, as_of) AS DOUBLE), 6) AS share FROM (
+  SELECT customer_id, as_of, nfc_normalize(category) AS category, count(*) AS n FROM reached
+  WHERE type = 'product_view' AND ts > as_of - INTERVAL 90 DAY GROUP BY ALL)),
+listed AS (SELECT customer_id, as_of, string_agg(category || ':' || CAST(round(share * 1000000) AS BIGINT), ';' ORDER BY category) AS affinity
+  FROM shares GROUP BY ALL)
+SELECT r.customer_id, strftime(r.as_of, '%Y-%m-%d %H:%M:%S.%f') AS as_of,
+  coalesce(date_diff('day', max(ts) FILTER (type = 'order_placed'), r.as_of), -1) AS rfm_recency_days,
+  count(*) {_during(90, "type = 'order_placed'")} AS rfm_frequency_count,
+  CAST(coalesce(sum(total) {_during(90, "type = 'order_placed'")}, 0) AS BIGINT) AS rfm_monetary_cents,
+  count(*) {_during(30, "type = 'session_start'")} AS session_visits_count,
+  coalesce(round_even(count(*) {_during(30, "type = 'product_view'")}
+    / CAST(nullif(count(DISTINCT session_id) {_during(30, "type = 'session_start'")}, 0) AS DOUBLE), 6), 0.0) AS session_depth_mean_views,
+  CAST(json_object('short', count(*) {_during(30, "dwell_class = 'short'")}, 'medium', count(*) {_during(30, "dwell_class = 'medium'")},
+    'long', count(*) {_during(30, "dwell_class = 'long'")}) AS VARCHAR) AS session_dwell_counts_json,
+  coalesce(any_value(l.affinity), '') AS category_affinity,
+  coalesce(round_even(CAST(sum(cheap_items) {_during(90, "type = 'order_placed'")} AS DOUBLE)
+    / CAST(nullif(sum(items) {_during(90, "type = 'order_placed'")}, 0) AS DOUBLE), 6), 0.0) AS price_sensitivity_proxy,
+  count(*) {_during(14, "type IN ('campaign_exposure', 'action_delivered')")} AS message_fatigue_count,
+  greatest(CAST(coalesce(sum(CASE type WHEN 'add_to_cart' THEN qty WHEN 'cart_remove' THEN -qty END)
+    FILTER (last_reset IS NULL OR ts > last_reset), 0) AS BIGINT), 0) AS cart_state_units,
+  count(*) {_during(90, "type = 'cart_abandon'")} AS abandonment_history_count,
+  CAST(json_object('scroll', count(*) {_during(30, "type = 'scroll'")}, 'filter_apply', count(*) {_during(30, "type = 'filter_apply'")},
+    'dwell', count(*) {_during(30, "type = 'dwell'")}) AS VARCHAR) AS micro_conversion_counts_json
+FROM reached r LEFT JOIN listed l ON l.customer_id = r.customer_id AND l.as_of = r.as_of
+GROUP BY r.customer_id, r.as_of""".replace("ts > as_of", "ts > r.as_of").replace("AND ts > r.as_of - INTERVAL 90 DAY GROUP BY ALL", "AND ts > as_of - INTERVAL 90 DAY GROUP BY ALL"))
 def _(ws):
     known = ws.events.groupBy("customer_id").agg(
         (F.max("ts") - F.expr("interval 36 hours")).alias("as_of"))
@@ -532,10 +555,16 @@ def _(ws):
         F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("customer_id"),
         F.lit("2024-01-10 12:00:00").cast("timestamp").alias("as_of"))
     out = ft.features_as_of(ws.events, known.unionByName(strangers))
-    return out.select("customer_id", text_ts("as_of").alias("as_of"),
-                      F.coalesce("rfm_recency_days", F.lit(-1)).alias("rfm_recency_days"),
-                      "rfm_frequency_count", "session_visits_count", "session_depth_mean_views",
-                      "message_fatigue_count", "cart_state_units")
+    shares = F.transform(F.array_sort(F.map_entries("category_affinity")), lambda e: F.concat_ws(
+        ":", e["key"], F.round(e["value"] * 1_000_000).cast("long").cast("string")))
+    return out.select(
+        "customer_id", text_ts("as_of").alias("as_of"),
+        F.coalesce("rfm_recency_days", F.lit(-1)).alias("rfm_recency_days"),
+        "rfm_frequency_count", "rfm_monetary_cents", "session_visits_count",
+        "session_depth_mean_views", "session_dwell_counts_json",
+        F.array_join(shares, ";").alias("category_affinity"), "price_sensitivity_proxy",
+        "message_fatigue_count", "cart_state_units", "abandonment_history_count",
+        "micro_conversion_counts_json")
 
 
 @report("as_of_join", "FT-15", f"""

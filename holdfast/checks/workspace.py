@@ -48,7 +48,9 @@ class Workspace:
     @cached_property
     def events(self) -> DataFrame:
         """Canonical events with the payload parsed once, in columns."""
-        return stage(q.decode(fx.events(self.spark, self.root)), "events")
+        events = stage(q.decode(fx.events(self.spark, self.root)), "events")
+        ft.require_span(events, self.settings)
+        return events
 
     # ------------------------------------------------------------------------- quality
     @cached_property

@@ -125,6 +125,29 @@ def _dwell(kind, p):
     return _one(kind == "dwell")
 
 
+class OutsideSpan(ValueError):
+    pass
+
+
+def span(events: DataFrame, settings: Settings = SETTINGS) -> Settings:
+    """Settings with the first day and the horizon of the log: one min/max aggregate."""
+    low, high = events.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    if low is None:
+        return settings
+    # the last grid day is the midnight after the last event
+    return settings.with_(start_date=low, horizon_days=(high - low).days + 2)
+
+
+def require_span(events: DataFrame, settings: Settings = SETTINGS) -> None:
+    """Fail when events lie behind the last grid day: no later step would count them."""
+    late = events.agg(F.max("ts").alias("ts")).select(
+        (F.col("ts") > F.date_add(F.lit(settings.start_date), settings.horizon_days)).alias("late"),
+        "ts").first()
+    if late["late"]:
+        raise OutsideSpan(f"events until {late['ts']} are past the horizon of "
+                          f"{settings.horizon_days} days from {settings.start_date}; see span()")
+
+
 def first_day_seen(ts: Column, settings: Settings = SETTINGS) -> Column:
     """The first grid day whose midnight is at or after `ts` (may be negative)."""
     return ceil_div(micros_from(ts, settings.start_date), DAY_SECONDS * 1_000_000)

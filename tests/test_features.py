@@ -143,3 +143,24 @@ def test_time_split(spark):
     assert ft.time_split(df.limit(1), datetime(2024, 1, 1)).count() == 0
     assert "single" in ft.time_split_reason(df.limit(1)).first().reason
     assert ft.time_split_reason(df.limit(0)).first().reason == "no snapshots supplied"
+
+
+def test_span_follows_the_log(spark, ws):
+    later = ws.events.select("event_id", "customer_id", "session_id", (F.col("ts") + F.expr(
+        "INTERVAL 40 DAYS")).alias("ts"), "type", "payload", "source", "p")
+    log = ws.events.select(*later.columns).unionByName(later)
+    with pytest.raises(ft.OutsideSpan):
+        ft.require_span(log)
+    found = ft.span(log)
+    days = log.select(F.to_date("ts").alias("d")).agg(F.min("d"), F.max("d")).first()
+    assert found.start_date == days[0] and found.horizon_days == (days[1] - days[0]).days + 2
+    ft.require_span(log, found)
+    grid = ft.feature_grid(log, found)
+    last = grid.where(F.col("day") == found.horizon_days - 1)
+    assert grid.agg(F.max("day")).first()[0] == found.horizon_days - 1
+    # every order of the last 90 days is counted on the last day
+    at = last.select("as_of_ts").first()[0]
+    orders = log.where("type = 'order_placed'").where(
+        F.col("ts") > F.lit(at) - F.expr("INTERVAL 90 DAYS")).count()
+    assert last.agg(F.sum("rfm_frequency_count")).first()[0] == orders
+    assert ft.span(log.limit(0)).horizon_days == 31
