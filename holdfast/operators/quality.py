@@ -138,6 +138,38 @@ def _payload_errors(kind: str, fields: dict[str, object]) -> Column:
     return F.concat(F.array(*found), *tail, extra)
 
 
+def _field_sound(value: Column, rule: object) -> Column:
+    if rule == "items":
+        one = lambda x: F.coalesce(
+            (x["sku"] != "") & (x["quantity"] > 0) & (x["unit_price_cents"] >= 0)
+            & (x["discount_cents"] >= 0), F.lit(False))
+        named = F.from_json(F.get_json_object("payload", "$.line_items"),
+                            "array<map<string,string>>")
+        return (F.size(value) > 0) & F.forall(value, one) & F.forall(
+            named, lambda x: F.size(x) == len(ITEM_FIELDS))
+    if rule == "map":
+        return value.isNotNull()
+    if isinstance(rule, tuple):
+        return value.isin(*rule)
+    return {"str": value != "", "int>=0": value >= 0, "int>0": value > 0,
+            "pct": value.between(0, 100)}[str(rule)]
+
+
+def _sound() -> Column:
+    """True only for rows without any error: one test per field and a count of keys, so that the
+    error texts are worked out for the other rows alone."""
+    p = F.col("p")
+    body = F.lit(False)
+    for kind, fields in PAYLOAD_FIELDS.items():
+        test = F.size("_keys") == len(fields) + 1
+        for name, rule in fields.items():
+            test &= _field_sound(p[name], rule)
+        body = F.when(p["type"] == kind, test).otherwise(body)
+    ids = (F.col("event_id") != "") & (F.col("customer_id") != "") & (F.col("session_id") != "")
+    return F.coalesce(ids & F.col("ts_utc").isNotNull() & F.col("source").isin(*SOURCES) & (
+        F.col("type") == p["type"]) & body, F.lit(False))
+
+
 def decode(events: DataFrame) -> DataFrame:
     """Add `p`, the payload parsed once into the union struct."""
     return events.withColumn("p", F.from_json("payload", schemas.PAYLOAD))
@@ -180,12 +212,13 @@ def check_contract(raw: DataFrame) -> DataFrame:
                      choice_message(SOURCES))]
     listed = F.filter(F.concat(F.array(*envelope), body, F.array(*source)),
                       lambda e: e.isNotNull())
-    df = df.withColumn("errors", listed)
+    df = df.withColumn("_sound", _sound()).withColumn(
+        "errors", F.when(F.col("_sound"), empty).otherwise(listed))
     # the cross-field check runs only on rows whose fields are all sound
     root = F.array(F.struct(F.lit("<root>").alias("path"), F.lit(MSG_MISMATCH).alias("message")))
     return df.withColumn("errors", F.when(
-        (F.size("errors") == 0) & (F.col("type") != p_type), root).otherwise(F.col("errors"))
-    ).drop("_keys", "_instant", "_zoned")
+        ~F.col("_sound") & (F.size("errors") == 0) & (F.col("type") != p_type), root).otherwise(
+        F.col("errors"))).drop("_keys", "_instant", "_zoned", "_sound")
 
 
 def reason(errors: Column) -> Column:
@@ -398,7 +431,12 @@ def landed_events(events: DataFrame, decisive: DataFrame,
     rows = events.select(*EVENT_COLUMNS).join(decisive, "event_id", "left_anti")
     if existing is not None:
         rows = rows.unionByName(existing.select(*EVENT_COLUMNS))
-    return keep_first(rows, ["event_id"], ["customer_id", "ts", "event_id"])
+    # only ids move to find those met twice; whole rows move for these alone
+    twice = rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "event_id")
+    once = rows.join(twice, "event_id", "left_anti").select(*EVENT_COLUMNS)
+    return once.unionByName(keep_first(rows.join(twice, "event_id", "left_semi").select(
+        *EVENT_COLUMNS), ["event_id"], ["customer_id", "ts", "event_id"]))
 
 
 class RejectRateExceeded(RuntimeError):
