@@ -44,7 +44,7 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 WORD_BREAK = r"[ \t.,;:!?\n\x0B\f\r]"
 LEAST, TOP, KEEP_SHARE = 10, 2000, 50
 CHUNK = 1 << 18  # words
-TRIE_PHRASES = 500_000
+TRIE_PHRASES = 120_000
 HELD_ROWS = 400_000  # candidates a task keeps apart before it hands them on
 LEAST_COUNTERS, MOST_COUNTERS = 16, 26  # bits
 LANE = 1 << 16  # counters or states in one summed row
@@ -365,8 +365,10 @@ def count_in_trie(runs: DataFrame, row, n_tries: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", *PHRASE, "f"])
 
     parts = runs.mapInArrow(run, "lane long, values binary")
-    return _summed(parts, "i8").mapInArrow(
-        spelled, "lang string, h1 long, h2 long, h3 long, f long")
+    out = stage(_summed(parts, "i8").mapInArrow(
+        spelled, "lang string, h1 long, h2 long, h3 long, f long"), "counted")
+    shared.destroy()  # one trie at a time, on the driver and on the executors
+    return out
 
 
 def _depths(trie: DoubleArray) -> np.ndarray:
