@@ -41,6 +41,7 @@ from holdfast.operators import segmentation as sn
 from holdfast.operators import segments as sg
 from holdfast.operators import trace as tr
 from holdfast.plans import ingest as ing
+from holdfast.plans import model_evaluation as mo
 from holdfast.plans import replay as rp
 from holdfast.session import shared_dir, stage
 from holdfast.sources import adapters, fixtures, tables
@@ -1229,6 +1230,67 @@ def _(ws):
                                 score, days=S.decision_days, min_confidence=S.min_confidence).drop("reasoning")
 
 
+# ------------------------------------------------------------------ both families, end to end
+def _families(ws: Workspace) -> dict[str, rs.LogisticEnsemble | rs.TreeEnsemble]:
+    return {"logistic": _fitted(ws), "gbm": _trees(ws)}
+
+
+def _fitted_scores(ws: Workspace) -> DataFrame:
+    if not hasattr(ws, "_fitted_scores"):
+        ws._fitted_scores = mo.fitted_scores(ws.experiment, _families(ws), _arms())
+    return ws._fitted_scores
+
+
+def _models(ws: Workspace) -> mo.ModelRun:
+    if not hasattr(ws, "_models"):
+        ws._models = mo.run_models(ws.with_probabilities(ws.all_contexts), ws.log, _families(ws),
+                                   cx.model_columns(ws.categories), _arms())
+    return ws._models
+
+
+def _model_gains(ws: Workspace) -> DataFrame:
+    run = _models(ws)
+    return evaluation.with_gains(evaluation.tag(run.log, ws.segments), run.policy)
+
+
+@report("fitted_metrics", "ML-12, ML-13, ML-14, ML-15")
+def _(ws):
+    return mo.fitted_metrics(_fitted_scores(ws))
+
+
+@report("fitted_calibration_gate", "ML-16")
+def _(ws):
+    return me.calibration_failures(mo.fitted_metrics(_fitted_scores(ws))).select("family", "ece")
+
+
+@report("model_selection", "ML-18")
+def _(ws):
+    run = _models(ws)
+    return run.selection.withColumn("selected", F.col("family") == run.selected)
+
+
+@report("model_policy_summary", "EV-7, EV-11, MA-5")
+def _(ws):
+    run = _models(ws)
+    names = [*REPLAYED, *[mo.policy_of(f) for f in _families(ws)]]
+    return evaluation.policy_summary(run.log, names, ml_policy=run.policy)
+
+
+@report("model_gains", "EV-20")
+def _(ws):
+    return evaluation.gain_table(_model_gains(ws), "segment")
+
+
+@report("model_confidence", "EV-21")
+def _(ws):
+    return evaluation.confidence_calibration(_model_gains(ws))
+
+
+@report("model_actions", "EV-22")
+def _(ws):
+    return evaluation.action_table(_model_gains(ws))
+
+
 # ================================================================== segmentation
 @report("segment_snapshot", "SG-1", """
 SELECT customer_id, coalesce(rfm_recency_days, -1) AS rfm_recency_days, rfm_monetary_cents, contacts_total FROM snap""")
