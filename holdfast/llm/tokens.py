@@ -19,9 +19,6 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 OTHER_SPACE = ("\t", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680",
                *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
-# A comma or full stop between a letter or digit and white space is a pre-token of its own in these
-# vocabularies. Cut off, it leaves a word one cached form instead of three.
-STOP = re.compile(r"(?<=[^\W_])([,.])(?=[ \n])")
 # Starts a piece that has no space before it; a lone surrogate is in no decoded text.
 BARE = "\ud800"
 MAX_CACHED = 900_000  # words; about 180 MB of a worker's memory
@@ -56,6 +53,8 @@ class WordEncoder:
         self.mark, self.between = ("\n", "\n") if spaced else ("\ue000", " \ue000 ")
         self.unfit = re.compile(rf"\s|{self.mark}|^$").search
         self.sign = np.array(self.tokenizer.encode(self.mark, add_special_tokens=False).ids, "i4")
+        found = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in (",", ".")}
+        self.stops = {x: ids[0] for x, ids in found.items() if len(ids) == 1}
         self._clear()
 
     def _clear(self) -> None:
@@ -78,12 +77,11 @@ class WordEncoder:
     def _words(self, text: str) -> list[str]:
         """Pieces of a text; one that has no space before it starts with BARE."""
         if not self.spaced:
-            return STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+            return text.replace("\n", " ").split(" ")
         if loose_space(text):
             words = LONE_SPACE.split(text)
         else:
-            cut = STOP.sub(rf" {BARE}\1", text)
-            words = cut.replace("\n", f" {BARE}\n {BARE}").split(" ")
+            words = text.replace("\n", f" {BARE}\n {BARE}").split(" ")
         words[0] = BARE + words[0]
         return words
 
@@ -115,19 +113,43 @@ class WordEncoder:
             keep[at + k] = False
         return ids[keep], sizes
 
-    def _learn(self, words: set[str]) -> None:
+    def _stem(self, word: str) -> str | None:
+        """The word without the comma or full stop at its end, where that is a pre-token of its
+        own: behind a Latin letter or digit, before white space."""
+        last = word[-2:-1]
+        return word[:-1] if word[-1:] in self.stops and last < "\u0250" and last.isalnum() else None
+
+    def _learn(self, words: list[str]) -> None:
+        ended = [(w, stem) for w in words if (stem := self._stem(w))]
+        known = {w for w, _ in ended}
+        asked = dict.fromkeys(w for w in words if w not in known)
+        asked.update(dict.fromkeys(stem for _, stem in ended if stem not in self.index))
         # white space at a word's edge would merge with the mark, and nothing leaves two marks
-        odd = [w for w in words if self.unfit(w) or w == BARE]
-        plain = list(words.difference(odd))
-        for lot, encoded in ((plain, self._encoded), (odd, self._each)):
-            if not lot:
-                continue
-            ids, sizes = encoded([self._asked(w) for w in lot])
-            first = len(self.flat)
-            self.index.update(zip(lot, range(len(self.index), len(self.index) + len(lot))))
-            self.start = np.concatenate([self.start, first + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, ids])
+        odd = [w for w in asked if self.unfit(w) or w == BARE]
+        rest = set(odd)
+        for lot, encoded in (([w for w in asked if w not in rest], self._encoded),
+                             (odd, self._each)):
+            if lot:
+                self._keep(lot, *encoded([self._asked(w) for w in lot]))
+        if ended:  # a stem's ids and the stop's
+            at = np.array([self.index[stem] for _, stem in ended])
+            size = self.size[at]
+            ends = np.cumsum(size + 1)
+            flat = np.zeros(int(ends[-1]), "i4")
+            body = np.ones(len(flat), bool)
+            body[ends - 1] = False
+            flat[ends - 1] = [self.stops[w[-1]] for w, _ in ended]
+            first = np.cumsum(size) - size
+            flat[body] = self.flat[np.arange(int(size.sum())) + np.repeat(
+                self.start[at] - first, size)]
+            self._keep([w for w, _ in ended], flat, size + 1)
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.flat)
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.start = np.concatenate([self.start, first + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids])
 
     def _each(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
@@ -159,9 +181,9 @@ class WordEncoder:
             at = self._shrink(at)
         new = np.flatnonzero(at < 0).tolist()
         if new:
-            self._learn({words[k] for k in new})
-            find = self.index.get
-            at[new] = [find(words[k]) for k in new]
+            asked = [words[k] for k in new]
+            self._learn(list(dict.fromkeys(asked)))
+            at[new] = list(map(self.index.get, asked))
         size = self.size[at]
         ends = np.cumsum(size, dtype="i8")
         total = int(ends[-1]) if len(ends) else 0
