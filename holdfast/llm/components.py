@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node and its neighbours, then jumps to the label
     of that label, so paths shrink about by half; rounds end when no label changes. A hub with
-    very many edges meets only partial minima.
+    very many edges meets only partial minima. Repeated edges count once, edges from a node to
+    itself are left out, edges with a null end join nothing, and no edges give no rows.
     """
     ab = stage(edges.select("a", "b").where("a <> b").distinct(), "edges")
     both = ab.unionByName(ab.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -2,7 +2,8 @@
 
 A word's hash is a polynomial over its bytes (A-Z lower-cased), finished by a mixer together with
 its length; a shingle's hash combines the hashes of its words by position. A text with fewer words
-than a shingle has the whole word sequence as its one shingle; a text without words has none.
+than a shingle has the whole word sequence as its one shingle; a text without words, an empty or a
+null one has none. Texts are taken SLICE bytes at a time, a longer one by itself.
 """
 
 from __future__ import annotations

@@ -3,6 +3,10 @@
 Byte-pair encoding never merges across the pre-tokenizer's cuts, so a text's ids are the ids of
 its words one after another. A worker keeps the ids of every word it has met and asks the
 tokenizer only for new ones; texts of natural language repeat most of their words.
+
+Cases: null and empty texts have no ids; texts that hold a special token are left to the tokenizer
+as a whole; a text of any length is one list of words; a cache that grows past MAX_CACHED words
+keeps those the current texts use.
 """
 
 from __future__ import annotations
