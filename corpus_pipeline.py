@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Cases: texts without a letter (null and empty ones among them) end at the first stage; of repeated
+rows and rows of one component the smallest id stays, a null id last; an empty table passes all
+stages empty; further columns are carried along to the last stage, which returns its own.
 """
 
 from __future__ import annotations
