@@ -110,7 +110,7 @@ def test_kmeans_separates_and_silhouette(spark):
     small = SETTINGS.with_(segment_features=("a", "b"))
     df = spark.createDataFrame([(str(i), float(a), float(b)) for i, (a, b) in enumerate(pts)],
                                "customer_id string, a double, b double")
-    labels = sg.kmeans_labels(df, sg.kmeans(df, 3, 1, 3, small), small)
+    labels = sg.kmeans_labels(df, (3,), 1, small).drop("k")
     pairs = labels.withColumn("b", F.floor(F.col("customer_id").cast("int") / 30)).select(
         F.col("segment_id").alias("a"), "b")
     assert sg.adjusted_rand(pairs).first().ari == pytest.approx(1.0)
