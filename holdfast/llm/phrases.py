@@ -45,10 +45,10 @@ WORD_BREAK = r"[ \t.,;:!?\n\x0B\f\r]"
 LEAST, TOP, KEEP_SHARE = 10, 2000, 50
 CHUNK = 1 << 18  # words
 TRIE_PHRASES = 120_000
-HELD_ROWS = 400_000  # candidates a task keeps apart before it hands them on
+HELD_ROWS = 200_000  # candidates a task keeps apart before it hands them on
 LEAST_COUNTERS, MOST_COUNTERS = 16, 26  # bits
 LANE = 1 << 16  # counters or states in one summed row
-MAX_KNOWN = 300_000  # words a worker remembers
+MAX_KNOWN = 100_000  # words a worker remembers
 PHRASE = ["h1", "h2", "h3"]
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS.encode() + b"\t",
@@ -93,7 +93,7 @@ def _unambiguous(docs: DataFrame) -> tuple[str, DataFrame]:
     raise RuntimeError("no salt tells all words apart")
 
 
-def _pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+def _pieces(raw: bytes, size: int = 1 << 18) -> Iterator[bytes]:
     """A text in parts cut at white space or breaks, about `size` bytes each."""
     at = 0
     while at < len(raw):
