@@ -35,16 +35,21 @@ def weights(indexed: DataFrame, resamples: int, seed: int | str) -> DataFrame:
     """(resample, customer, weight): how often each resample drew the customer."""
     counts = draws(indexed, resamples, seed).groupBy("resample", "slot").agg(
         F.count(F.lit(1)).alias("weight"))
-    return counts.join(indexed, "slot").select("resample", "customer_id", "weight")
+    return counts.join(indexed.hint("shuffle_hash"), "slot").select(
+        "resample", "customer_id", "weight")
 
 
 def resampled_totals(indexed: DataFrame, values: DataFrame, columns: Sequence[str],
                      resamples: int, seed: int | str) -> DataFrame:
-    """Totals of `columns` (one row per customer in `values`) in every resample."""
+    """Totals of `columns` (one row per customer in `values`) in every resample.
+
+    The draws are `resamples` times the customers, which no size estimate of an explode tells: the
+    hint keeps them out of a broadcast and makes the customers the hashed side.
+    """
     slotted = indexed.join(values, "customer_id", "left").select(
         "slot", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
-    return draws(indexed, resamples, seed).join(slotted, "slot").groupBy("resample").agg(
-        *[F.sum(c).alias(c) for c in columns])
+    return draws(indexed, resamples, seed).join(slotted.hint("shuffle_hash"), "slot").groupBy(
+        "resample").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def interval(column: str, level: float) -> list:

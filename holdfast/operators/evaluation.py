@@ -12,6 +12,7 @@ from holdfast.functions.numbers import day_date, ratio, share
 from holdfast.functions.ordering import value_ranks
 from holdfast.operators import bootstrap as bs
 from holdfast.operators.policies import RESTRAINT
+from holdfast.session import stage
 
 OPTIMAL = 1e-9
 
@@ -34,7 +35,8 @@ def resampled(log: DataFrame, policies: Sequence[str], settings: Settings = SETT
     """(resample, policy, profit, expected, conv): totals of every policy on the same draws.
 
     One pass over the draws serves all policies and metrics; differences are taken afterwards
-    because totals are linear.
+    because totals are linear. The totals (one row per resample) are written once, since
+    readers join them with themselves.
     """
     totals = customer_totals(log, policies)
     names = [f"{m}_{i}" for i in range(len(policies)) for m in ("profit", "expected", "conv")]
@@ -45,7 +47,7 @@ def resampled(log: DataFrame, policies: Sequence[str], settings: Settings = SETT
                               F.col(f"expected_{i}").alias("expected"),
                               F.col(f"conv_{i}").alias("conv"))
                      for i, name in enumerate(policies)])
-    return wide.select("resample", F.inline(long))
+    return stage(wide, "resampled").select("resample", F.inline(long))
 
 
 def _against(frame: DataFrame, control: str, column: str, out: str) -> DataFrame:

@@ -203,3 +203,16 @@ def test_mart_gate_is_clean_and_fires(ws):
     with pytest.raises(mart_checks.MartTestFailure):
         mart_checks.require_clean(broken)
     assert json.dumps(sorted(mart_checks.CHECKS))
+
+
+def test_resampled_draws_are_never_broadcast(spark):
+    """200 customers times 1,000 resamples: only the customers may be a hashed side."""
+    customers = spark.range(200).select(F.col("id").cast("string").alias("customer_id"))
+    indexed = bootstrap.index_customers(customers)
+    values = indexed.select("customer_id", F.lit(1.0).alias("v"))
+    totals = bootstrap.resampled_totals(indexed, values, ["v"], 1000, 1)
+    assert {(r.resample, r.v) for r in totals.collect()} == {(k, 200.0) for k in range(1000)}
+    for df in (totals, bootstrap.weights(indexed, 1000, 1)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        built = [line for line in plan.splitlines() if "HashJoin" in line and "[slot" in line]
+        assert len(built) == 1 and "ShuffledHashJoin" in built[0]
