@@ -164,3 +164,19 @@ def test_span_follows_the_log(spark, ws):
         F.col("ts") > F.lit(at) - F.expr("INTERVAL 90 DAYS")).count()
     assert last.agg(F.sum("rfm_frequency_count")).first()[0] == orders
     assert ft.span(log.limit(0)).horizon_days == 31
+
+
+def test_inventory_is_never_broadcast(spark):
+    """An exploded inventory passes for small; only the catalog may be the hashed side."""
+    from holdfast.operators import context
+
+    inventory = spark.range(500).select(F.explode(F.sequence(F.lit(0), F.lit(30))).alias("tick"),
+                                        F.col("id").cast("string").alias("sku"),
+                                        (F.col("id") + 3).alias("units"))
+    catalog = spark.range(500).select(F.col("id").cast("string").alias("sku"),
+                                      F.lit("a").alias("category"), F.lit("x" * 50).alias("name"))
+    stock = context.category_stock(inventory, catalog)
+    plan = stock._jdf.queryExecution().sparkPlan().toString()
+    built = [line for line in plan.splitlines() if "HashJoin" in line]
+    assert len(built) == 1 and "ShuffledHashJoin" in built[0] and "BuildRight" in built[0]
+    assert {(r.tick, r.units) for r in stock.collect()} == {(k, 3) for k in range(31)}
