@@ -15,6 +15,7 @@ from holdfast.operators import quality as q
 from holdfast.schemas import RAW_EVENT
 
 LAG = "1 day"
+SESSION_BUCKETS = 1024
 
 
 def read_raw_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -74,40 +75,56 @@ def session_order_stream(events: DataFrame, settings: Settings = SETTINGS) -> Da
     """Flag events that do not advance their session, within and across micro-batches.
 
     State per session is one instant. It expires once the watermark passes it by the session
-    span; a session that reappears behind the watermark is flagged, never dropped silently (a
-    keyed-state operator with event-time timers would drop late rows before they are judged).
-    A session's share of a micro-batch is three narrow columns, judged as whole arrays.
+    span; a session that reappears behind the watermark is flagged. Spark's operator itself leaves
+    out rows behind the watermark of the batch before.
+    Sessions are many and short, so a call judges all of a hash bucket's as whole arrays, and the
+    bucket's state lists its live sessions.
     """
     span_ms = settings.session_max_span_seconds * 1000
+    none = np.iinfo("int64").min
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame],
               state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frame = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        micros = frame["ts"].to_numpy("datetime64[us]").astype("int64")
-        last = state.get[0] if state.exists else None
         now_ms = max(state.getCurrentWatermarkMs(), 0)
-        behind = micros < (now_ms - span_ms) * 1000 if last is None else np.zeros(
-            len(micros), bool)
-        # sorted by instant, so only the first event of each instant can advance the session
-        first = np.append(True, micros[1:] != micros[:-1])
-        fresh = first & ~behind & (micros > last if last is not None else True)
-        if fresh.any():
-            last = int(micros[fresh][-1])
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last // 1000 + span_ms, now_ms + 1))
-        reason = np.where(fresh, None, np.where(
-            behind, "session reappeared behind the watermark",
-            "timestamp does not strictly advance"))
-        yield frame.assign(session_id=key[0], accepted=fresh, reason=reason)[
-            ["event_id", "customer_id", "session_id", "ts", "accepted", "reason"]]
-
-    stream = events.select("event_id", "customer_id", "session_id", "ts").withWatermark("ts", LAG)
-    return stream.groupBy("session_id").applyInPandasWithState(
-        judge, ORDER_SCHEMA, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
+        held = {name: (last, until) for name, last, until in zip(
+            *state.get)} if state.exists else {}
+        seen = set()
+        if not state.hasTimedOut:
+            frame = pd.concat(list(batches), ignore_index=True)
+            codes, found = pd.factorize(frame["session_id"], use_na_sentinel=False)
+            names = [None if pd.isna(name) else name for name in found]
+            frame = frame.assign(_code=codes).sort_values(["_code", "ts", "event_id"],
+                                                          kind="stable")
+            codes = frame["_code"].to_numpy()
+            micros = frame["ts"].to_numpy("datetime64[us]").astype("int64")
+            last = np.array([held[n][0] if n in held else none for n in names])
+            new = last[codes] == none
+            behind = new & (micros < (now_ms - span_ms) * 1000)
+            # sorted by instant, so only the first event of each instant can advance the session
+            first = np.append(True, (micros[1:] != micros[:-1]) | (codes[1:] != codes[:-1]))
+            fresh = first & ~behind & (new | (micros > last[codes]))
+            np.maximum.at(last, codes[fresh], micros[fresh])
+            seen = set(names)
+            held.update({n: (t, max(t // 1000 + span_ms, now_ms + 1))
+                         for n, t in zip(names, last.tolist()) if t != none})
+            reason = np.where(fresh, None, np.where(
+                behind, "session reappeared behind the watermark",
+                "timestamp does not strictly advance"))
+            yield frame.assign(accepted=fresh, reason=reason)[
+                ["event_id", "customer_id", "session_id", "ts", "accepted", "reason"]]
+        held = {n: v for n, v in held.items() if n in seen or v[1] >= now_ms}
+        if held:
+            state.update((list(held), [v[0] for v in held.values()],
+                          [v[1] for v in held.values()]))
+            state.setTimeoutTimestamp(max(min(v[1] for v in held.values()), now_ms + 1))
+        elif state.exists:
+            state.remove()
+
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(SESSION_BUCKETS)).alias("bucket")
+    stream = events.select("event_id", "customer_id", "session_id", "ts", bucket)
+    return stream.withWatermark("ts", LAG).groupBy("bucket").applyInPandasWithState(
+        judge, ORDER_SCHEMA, "sessions array<string>, last_us array<long>, until_ms array<long>",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --------------------------------------------------------------------------- fresh counters

@@ -86,6 +86,34 @@ def test_one_very_long_session_and_forgotten_ones(spark, tmp_path):
     assert counts["t-c", False, old] == 3
 
 
+def test_many_sessions_share_few_state_rows(spark, tmp_path):
+    """20,000 sessions, twice: nothing of the second file advances; expired ones are forgotten."""
+    path = str(tmp_path / "many")
+    rows = lambda n, name, hour: spark.range(n).select(
+        F.concat(F.lit(name), F.col("id").cast("string")).alias("event_id"),
+        F.lit("c").alias("customer_id"),
+        F.when(F.col("id") > 0, F.col("id").cast("string")).alias("session_id"),
+        (F.lit("2024-01-05").cast("timestamp") + F.make_interval(hours=F.lit(hour))).alias("ts"))
+    # the batch after the one that moves the watermark finds the old sessions without events
+    for n, name, hour in ((20_000, "a", 0), (20_000, "b", 0), (1, "c", 2_000), (1, "e", 2_001)):
+        rows(n, name, hour).coalesce(1).write.mode("append").parquet(path)
+    schema = "event_id string, customer_id string, session_id string, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = st.session_order_stream(stream).writeStream.format("memory").queryName(
+        "many_sessions").outputMode("append").start()
+    try:
+        query.processAllAvailable()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress
+                if p["stateOperators"]]
+    finally:
+        query.stop()
+    out = spark.table("many_sessions").groupBy(F.substring("event_id", 1, 1), "accepted").count()
+    counts = {(r[0], r[1]): r[2] for r in out.collect()}
+    assert counts == {("a", True): 20_000, ("b", False): 20_000, ("c", True): 1,
+                      ("e", True): 1}
+    assert max(held) <= st.SESSION_BUCKETS and held[-1] == 1
+
+
 def test_dedupe_within_watermark(spark, tmp_path):
     t = datetime(2024, 1, 5)
     schema = "event_id string, ts timestamp"
