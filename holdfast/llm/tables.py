@@ -18,13 +18,17 @@ def lower_ascii(text: Column) -> Column:
 
 BATCH_KEY, DEFAULT_BATCH, TEXT_BATCH = (
     "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+BYTES_KEY, DEFAULT_BYTES, BATCH_BYTES = (
+    "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 
 
 def small_batches(spark: SparkSession) -> None:
     """Whole texts make wide rows: hand Python fewer of them at once, unless the session says
-    otherwise."""
+    otherwise. A batch lies beside the heap several times over while it is built and sent."""
     if spark.conf.get(BATCH_KEY) == DEFAULT_BATCH:
         spark.conf.set(BATCH_KEY, TEXT_BATCH)
+    if spark.conf.get(BYTES_KEY, None) in (None, DEFAULT_BYTES):
+        spark.conf.set(BYTES_KEY, BATCH_BYTES)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

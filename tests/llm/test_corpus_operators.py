@@ -585,3 +585,12 @@ def test_subpackage_is_imported_by_nothing_else():
     code = ("import sys; import holdfast.checks.queries; "
             "assert not [m for m in sys.modules if m.startswith('holdfast.llm')]")
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_batches_handed_to_python_are_bounded_in_bytes(spark):
+    from holdfast.llm.tables import small_batches
+
+    small_batches(spark)
+    wide = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS t")
+    sizes = wide.mapInPandas(lambda parts: (p.assign(n=len(p))[["n"]][:1] for p in parts), "n long")
+    assert max(r.n for r in sizes.collect()) <= 10
