@@ -1,25 +1,25 @@
-"""Phrase collocations: exact counts by broadcast double-array tries of Apriori-safe candidates.
+"""Phrase collocations: exact counts by sharded double-array tries of Apriori-safe candidates.
 
 Method, per language:
 1. Words and their counts, one grouped sum. Texts become runs of 64-bit word hashes, 0 between
    pieces; that no two words share a hash is checked, with another salt if two do.
-2. Bounds. Every two- and three-word window adds one to a counter its hash picks; the counters of
-   all shards are summed, clipped at the least count. A phrase occurs at most as often as its
-   counter says, so one below the least count is out for good.
-3. Candidates are the distinct windows whose counter, and whose parts' counters, reach the least
-   count. None that occurs often enough can be missing (Apriori), and every part of a candidate is
-   one. They are cut into tries of at most TRIE_PHRASES by their first word.
-4. A trie is built in one task, broadcast (its size is bounded by TRIE_PHRASES), and walked from all
-   positions of a shard at once, word by word; the accepting states reached are counted by
-   bincount, and the counts of all shards summed state by state.
+2. Bounds. Two-word windows of words that occur often enough are summed by a 64-bit hash, each
+   shard of the hash space in a task of its own. A pair occurs at most as often as its hash, so
+   one below the least count is out for good. Those left make a filter of bits.
+3. Windows whose words, for three words both of whose pairs, pass the filters go to the shard of
+   their hash, the repeats within a block of windows as one row with their number.
+4. In a shard, windows whose hash reaches the least count are the candidates; none that occurs
+   often enough can be missing (Apriori). They are cut into double-array tries of at most
+   TRIE_PHRASES by their first word; the shard's windows are walked through them all at once, word
+   by word, and the accepting states reached are counted by bincount.
 5. Cuts are scored on exact decimals, contained phrases dropped, the best of a language kept.
 
-Scale: texts are read twice, their hashes two times and once more for each trie. What moves is one
-clipped byte for each counter and task, the candidates, and one count for each state and task.
-A further trie is one more pass over the hashes, in which only its own first words are looked up.
-Counters are about twice the words, MOST_COUNTERS at most; far beyond that many words they fill up
-and keep out little, which costs time but changes no result. Long texts are split into chunks of
-CHUNK words that share two words with the next, so no task holds more.
+Scale: texts are read twice, their hashes two times, however many candidates there are. What moves
+is one hash for each distinct pair of a block and one row for each distinct window that passes; a
+frequent window is one row of a block, so no shard grows with it. The number of shards follows the
+number of words. Filters have 16 bits for each entry, MOST_COUNTERS bits of address at most; far
+beyond that they keep out less, which moves more windows but changes no result. Long texts are
+split into chunks of CHUNK words that share two words with the next, so no task holds more.
 
 Cases: a null or empty text has no words; a null language is `und`; a language without words or
 candidates has no row; repeated rows count as often as they occur; ids play no part; an empty table
@@ -29,6 +29,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,10 @@ WORD_BREAK = r"[ \t.,;:!?\n\x0B\f\r]"
 LEAST, TOP, KEEP_SHARE = 10, 2000, 50
 CHUNK = 1 << 18  # words
 TRIE_PHRASES = 120_000
-HELD_ROWS = 200_000  # candidates a task keeps apart before it hands them on
+BLOCK = 1 << 20  # windows a task sorts at once
+SHARD_WORDS = 1 << 20  # words of the corpus for each shard of the hash space
 LEAST_COUNTERS, MOST_COUNTERS = 16, 26  # bits
-LANE = 1 << 16  # counters or states in one summed row
+LANE_BITS = 16  # of an address within one row of a filter
 MAX_KNOWN = 100_000  # words a worker remembers
 PHRASE = ["h1", "h2", "h3"]
 
@@ -145,133 +147,203 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
         yield lang.as_py(), n.as_py(), np.frombuffer(words.as_buffer(), "i8")
 
 
-def _windows(lang: str, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n + 2 words from the start of a chunk, and hashes of the two- and three-word windows
-    at its first n + 1 and n places."""
+def _word_keys(lang: str, words: np.ndarray) -> np.ndarray:
+    x = (words.view("u8") ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))) * np.uint64(
+        0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _pair_keys(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = (first.view("u8") ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))) * np.uint64(
+        0x9E3779B97F4A7C15) + second.view("u8")
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _triple_keys(pairs: np.ndarray, third: np.ndarray) -> np.ndarray:
+    x = ((pairs ^ (pairs >> np.uint64(32))) + third.view("u8")) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _padded(own: np.ndarray, n: int) -> np.ndarray:
+    """The n + 2 words from the start of a chunk."""
     words = np.zeros(n + 2, "i8")
     words[:len(own)] = own
-    seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-    u = words.view("u8")
-    two = (u[:-1] ^ seed) * np.uint64(0x9E3779B97F4A7C15) + u[1:]
-    two = (two ^ (two >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    three = (two[:-1] + u[2:]) * np.uint64(0x94D049BB133111EB)
-    return words, two ^ (two >> np.uint64(32)), three ^ (three >> np.uint64(32))
-
-
-# ------------------------------------------------------------------------------- summed arrays
-def _lanes(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """An array as rows (lane, values) without its empty lanes."""
-    for lane in range(0, len(total), LANE):
-        part = total[lane:lane + LANE]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([lane // LANE], pa.int64()),
-                                              pa.array([part.tobytes()], pa.binary())],
-                                             names=["lane", "values"])
-
-
-def _summed(parts: DataFrame, kind: str, most: int | None = None) -> DataFrame:
-    """Lanes of several arrays added up, clipped at `most`; a task holds its lanes' sums only."""
+    return words
+
+
+# ------------------------------------------------------------------------------------ filters
+@dataclass(frozen=True)
+class Filter:
+    """A bit for each address, the leading bits of a key."""
+    packed: np.ndarray
+    bits: int
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.bits)
+        return (self.packed[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype("u1")
+                & 1).astype(bool)
+
+
+def key_filter(keys: DataFrame) -> Filter:
+    """The filter of the rows (key long): 16 bits for each of them, if MOST_COUNTERS allows."""
+    bits = min(max(keys.count().bit_length() + 4, LEAST_COUNTERS), MOST_COUNTERS)
+    within = min(bits, LANE_BITS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        lanes: dict[int, np.ndarray] = {}
         for batch in batches:
-            for lane, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                new = np.frombuffer(raw.as_buffer(), kind)
-                old = sums.get(lane)
-                if old is None:
-                    sums[lane] = new.copy()
-                elif most is None:
-                    old += new
-                else:
-                    np.minimum(old.astype("u2") + new, most, out=old, casting="unsafe")
-        for lane, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int64()),
-                                              pa.array([total.tobytes()], pa.binary())],
-                                             names=["lane", "values"])
-
-    return parts.repartition("lane").mapInArrow(run, parts.schema)
-
-
-# ---------------------------------------------------------------------------------- candidates
-def upper_bounds(runs: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit for each counter: does it reach `least`? At most 2 ** MOST_COUNTERS bits."""
-    shift = np.uint64(64 - bits)
+            at = batch.column(0).to_numpy().view("u8") >> np.uint64(64 - bits)
+            lane = at >> np.uint64(within)
+            for one in np.unique(lane).tolist():
+                held = lanes.setdefault(one, np.zeros(1 << within, "u1"))
+                held[at[lane == one] & np.uint64((1 << within) - 1)] = 1
+        for one, held in lanes.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([one], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())],
+                names=["lane", "values"])
+
+    lane = F.shiftrightunsigned("key", 64 - bits + within) if bits > within else F.lit(0)
+    out, size = np.zeros(1 << bits >> 3, "u1"), 1 << within >> 3
+    for one, raw in keys.repartition(lane).mapInArrow(run, "lane long, values binary").collect():
+        out[one * size:(one + 1) * size] = np.frombuffer(raw, "u1")
+    return Filter(out, bits)
 
+
+def word_filter(words: DataFrame) -> Filter:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, "u1")
-        for batch in batches:
-            for lang, n, own in _chunks(batch):
-                words, two, three = _windows(lang, own, n)
-                there = words != 0
-                pair = there[:-1] & there[1:]
-                hits = np.concatenate([(two[:n] >> shift)[pair[:n]],
-                                       (three >> shift)[pair[:-1] & there[2:]]])
-                at, times = np.unique(hits, return_counts=True)
-                total[at] = np.minimum(total[at] + times, least)
-        yield from _lanes(total)
-
-    parts = runs.mapInArrow(run, "lane long, values binary")
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([np.packbits(np.frombuffer(
-                    v.as_buffer(), "u1") >= least).tobytes() for v in batch.column(1)],
-                    pa.binary())], names=["lane", "values"])
+            if batch.num_rows:
+                langs = batch.column(0).dictionary_encode()
+                code, hashes = langs.indices.to_numpy(), batch.column(1).to_numpy()
+                keys = np.zeros(batch.num_rows, "u8")
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    keys[code == k] = _word_keys(lang, hashes[code == k])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view("i8"))], names=["key"])
+
+    return key_filter(stage(words.select("lang", "hash").mapInArrow(run, "key long"), "keys"))
+
+
+# ------------------------------------------------------------------------------------- shards
+def _edges(n_shards: int) -> np.ndarray:
+    """The least key of each shard but the first."""
+    return np.array([-(-(k << 32) // n_shards) << 32 for k in range(1, n_shards)], "u8")
+
 
-    out = np.zeros((1 << bits) // 8, "u1")
-    for lane, raw in _summed(parts, "u1", least).mapInArrow(packed, parts.schema).collect():
-        out[lane * LANE // 8:(lane + 1) * LANE // 8] = np.frombuffer(raw, "u1")
-    return out
+def _dealt(keys: np.ndarray, n_shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of sorted keys."""
+    cuts = [0, *np.searchsorted(keys, _edges(n_shards)).tolist(), len(keys)]
+    for shard, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            yield shard, a, b
 
 
-def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows without repeats (rows that differ but share a key may repeat)."""
-    order = np.argsort(keys, kind="stable")
-    rows, keys = rows[order], keys[order]
-    new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[:len(rows)]
-    return rows[new], keys[new]
+def _sums(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their times."""
+    if not len(keys):
+        return keys, times
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(times[order].astype("i8"), starts)
 
 
-def candidates(runs: DataFrame, bounds: np.ndarray, bits: int) -> DataFrame:
-    """(lang, h1, h2, h3) of distinct windows that may occur often enough; h3 is 0 for pairs."""
-    shift = np.uint64(64 - bits)
-    shared = runs.sparkSession.sparkContext.broadcast(bounds)
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(v.as_buffer(), kind)
+                                                for v in column)])
+
+
+def often_pairs(runs: DataFrame, words: Filter, n_shards: int, least: int) -> DataFrame:
+    """(key) of the pair hashes that occur at least `least` times."""
+    shared = runs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for lang, n, own in _chunks(batch):
+                own = _padded(own, n)
+                there = (own != 0) & shared.value.holds(_word_keys(lang, own))
+                first = np.flatnonzero(there[:n] & there[1:n + 1])
+                held.append(_pair_keys(lang, own[first], own[first + 1]))
+                if sum(map(len, held)) >= BLOCK:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+        times = np.minimum(np.diff(np.append(starts, len(keys))), least).astype("u1")
+        keys = keys[starts]
+        rows = [(shard, keys[a:b].tobytes(), times[a:b].tobytes())
+                for shard, a, b in _dealt(keys, n_shards)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()),
+             *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]],
+            names=["shard", "keys", "times"])
+
+    def kept(rows: pa.Table) -> pa.Table:
+        keys, times = _sums(_joined(rows["keys"], "u8"), _joined(rows["times"], "u1"))
+        return pa.table([pa.array(keys[times >= least].view("i8"))], names=["key"])
+
+    return runs.mapInArrow(run, "shard int, keys binary, times binary").groupBy(
+        "shard").applyInArrow(kept, "key long")
+
+
+def windows(runs: DataFrame, pairs: Filter, n_shards: int) -> DataFrame:
+    """(shard, lang, length, words, times): distinct windows of a block whose pairs pass, with the
+    number of times each occurs there."""
+    shared = runs.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             for lang, n, own in _chunks(batch):
-                words, two, three = _windows(lang, own, n)
-
-                def often(hashes: np.ndarray) -> np.ndarray:
-                    at = hashes >> shift
-                    return (shared.value[at >> np.uint64(3)] >> (
-                        7 - (at & np.uint64(7))).astype("u1") & 1).astype(bool)
-
-                there = words != 0
-                pair = there[:-1] & there[1:] & often(two)
-                triple = np.flatnonzero(pair[:-1] & pair[1:] & often(three))
-                pair = np.flatnonzero(pair[:n])
-                none = np.zeros(len(pair), "i8")
-                rows = np.concatenate([
-                    np.stack([words[pair], words[pair + 1], none], axis=1),
-                    np.stack([words[triple], words[triple + 1], words[triple + 2]], axis=1)])
-                found = _distinct(rows, np.concatenate([two[pair], three[triple]]))
-                if lang in held:
-                    found = _distinct(*map(np.concatenate, zip(held[lang], found)))
-                held[lang] = found
-                if len(found[0]) > HELD_ROWS:
-                    yield record(lang, held.pop(lang)[0])
-        for lang, (rows, _) in held.items():
-            yield record(lang, rows)
-
-    def record(lang: str, rows: np.ndarray) -> pa.RecordBatch:
+                own = _padded(own, n)
+                at = np.flatnonzero((own[:-1] != 0) & (own[1:] != 0))
+                two = _pair_keys(lang, own[at], own[at + 1])
+                ok = shared.value.holds(two)
+                at, two = at[ok], two[ok]
+                there = np.zeros(n + 2, bool)
+                there[at] = True
+                two, at = two[at < n], at[at < n]
+                held.setdefault((lang, 2), []).append((two, _rows(own, at, 2)))
+                more = there[at + 1]
+                at, two = at[more], two[more]
+                held.setdefault((lang, 3), []).append((_triple_keys(two, own[at + 2]),
+                                                       _rows(own, at, 3)))
+                size += n
+                if size >= BLOCK:
+                    for kind, parts in held.items():
+                        yield packed(*kind, parts)
+                    held, size = {}, 0
+        for kind, parts in held.items():
+            yield packed(*kind, parts)
+
+    def packed(lang: str, length: int, parts: list[tuple[np.ndarray, np.ndarray]],
+               ) -> pa.RecordBatch:
+        keys, rows = map(np.concatenate, zip(*parts))
+        order = np.argsort(keys)
+        keys, rows = keys[order], rows[order]
+        # rows that differ but share a key may repeat; each repeat has its own number of times
+        starts = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[:len(rows)])
+        times = np.diff(np.append(starts, len(rows))).astype("u4")
+        keys, rows = keys[starts], rows[starts]
+        out = [(shard, rows[a:b].tobytes(), times[a:b].tobytes())
+               for shard, a, b in _dealt(keys, n_shards)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(rows), pa.string()),
-             *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)]],
-            names=["lang", *PHRASE])
+            [pa.array([r[0] for r in out], pa.int32()), pa.array([lang] * len(out), pa.string()),
+             pa.array([length] * len(out), pa.int32()),
+             *[pa.array([r[k] for r in out], pa.binary()) for k in (1, 2)]],
+            names=["shard", "lang", "length", "words", "times"])
 
-    return runs.mapInArrow(run, "lang string, h1 long, h2 long, h3 long").distinct()
+    return runs.mapInArrow(
+        run, "shard int, lang string, length int, words binary, times binary")
+
+
+def _rows(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    return np.stack([words[at + k] for k in range(length)], axis=1)
 
 
 # --------------------------------------------------------------------------------------- tries
@@ -279,96 +351,88 @@ def _lang_hash(lang: str) -> int:
     return xxhash.xxh64_intdigest(b"\x00" + lang.encode()) >> 1
 
 
-def tries(found: DataFrame, n_tries: int) -> DataFrame:
-    """(trie, langs, symbols, base, check, digits): one row for each part of the candidates."""
-    part = F.pmod(F.shiftrightunsigned("h1", 20), F.lit(n_tries)).cast("int").alias("trie")
+def _candidates(words: np.ndarray, keys: np.ndarray, times: np.ndarray, least: int,
+                ) -> np.ndarray:
+    """The distinct windows whose key occurs often enough."""
+    found, sums = _sums(keys, times)
+    often = found[sums >= least]
+    if not len(often):
+        return words[:0]
+    near = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+    return np.unique(words[often[near] == keys], axis=0)
+
 
+def count_in_tries(found: DataFrame, least: int) -> DataFrame:
+    """(lang, h1, h2, h3, f) of the windows that occur at least `least` times. A shard is one
+    group; it holds all rows of its windows."""
     def run(rows: pa.Table) -> pa.Table:
-        langs = rows["lang"].combine_chunks().dictionary_encode()
-        names = langs.dictionary.to_pylist()
-        lang = np.array([_lang_hash(x) for x in names], "i8")[langs.indices.to_numpy()]
-        words = np.stack([lang, *[rows[c].to_numpy() for c in PHRASE]], axis=1)
-        symbols = np.unique(words[words != 0])
-        numbers = np.where(words == 0, -1, np.searchsorted(symbols, words))
-        trie = DoubleArray.of(numbers, len(symbols))
-        return pa.table([rows["trie"][:1], pa.array([names]), pa.array([symbols.tobytes()]),
-                         pa.array([trie.base.tobytes()]), pa.array([trie.check.tobytes()]),
-                         pa.array([trie.digits])],
-                        names=["trie", "langs", "symbols", "base", "check", "digits"])
-
-    return found.select(part, "lang", *PHRASE).groupBy("trie").applyInArrow(
-        run, "trie int, langs array<string>, symbols binary, base binary, check binary, "
-             "digits long")
-
-
-def _opened(shared) -> tuple[DoubleArray, np.ndarray, dict[int, str]]:
-    row = shared.value
-    trie = DoubleArray(np.frombuffer(row["base"], "i4"), np.frombuffer(row["check"], "i4"),
-                       row["digits"])
-    return trie, np.frombuffer(row["symbols"], "i8"), {_lang_hash(x): x for x in row["langs"]}
-
-
-def _states(trie: DoubleArray, symbols: np.ndarray, words: np.ndarray, places: np.ndarray,
-            lang: str) -> Iterator[np.ndarray]:
-    """States reached by two and by three words from the given places, all at once."""
+        langs, lengths = rows["lang"].to_pylist(), rows["length"].to_pylist()
+        names = {_lang_hash(x): x for x in langs}
+        words, keys, times = [], [], []
+        for lang, length, raw, n in zip(langs, lengths, rows["words"], rows["times"]):
+            own = np.frombuffer(raw.as_buffer(), "i8").reshape(-1, length)
+            two = _pair_keys(lang, own[:, 0].copy(), own[:, 1].copy())
+            keys.append(two if length == 2 else _triple_keys(two, own[:, 2].copy()))
+            new = np.zeros((len(own), 4), "i8")
+            new[:, 0], new[:, 1:1 + length] = _lang_hash(lang), own
+            words.append(new)
+            times.append(np.frombuffer(n.as_buffer(), "u4"))
+        words, keys, times = map(np.concatenate, (words, keys, times))
+        wanted = _candidates(words, keys, times, least)
+        n_tries = -(-len(wanted) // TRIE_PHRASES)
+        out, counts = [np.zeros((0, 4), "i8")], [np.zeros(0, "i8")]
+        for turn in range(n_tries):
+            phrases = wanted[_turn(wanted, n_tries) == turn]
+            if len(phrases):
+                mine = _turn(words, n_tries) == turn
+                spelt, f = _counted(phrases, words[mine], times[mine])
+                out.append(spelt[f >= least])
+                counts.append(f[f >= least])
+        out, counts = np.concatenate(out), np.concatenate(counts)
+        return pa.table([pa.array([names[x] for x in out[:, 0].tolist()], pa.string()),
+                         *[pa.array(np.ascontiguousarray(out[:, k])) for k in (1, 2, 3)],
+                         pa.array(counts)], names=["lang", *PHRASE, "f"])
+
+    return found.groupBy("shard").applyInArrow(
+        run, "lang string, h1 long, h2 long, h3 long, f long")
+
+
+def _turn(words: np.ndarray, n_tries: int) -> np.ndarray:
+    """The trie of each row, by its first word."""
+    return (words[:, 1].view("u8") >> np.uint64(20)) % np.uint64(n_tries)
+
+
+def _counted(phrases: np.ndarray, words: np.ndarray, times: np.ndarray,
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases, f): the rows of `words` (language, h1, h2, h3 or 0) walked through the trie of
+    `phrases`, all at once; the states in which they end are counted."""
+    symbols = np.unique(phrases[phrases != 0])
+
     def number(values: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(symbols, values), len(symbols) - 1)
         return np.where(symbols[at] == values, at, -1)
 
-    root = trie.step(np.zeros(1, "i8"), number(np.array([_lang_hash(lang)], "i8")))[0]
-    places = places if len(root) else places[:0]
-    states = np.repeat(root, len(places))
-    for k in range(3):
-        numbers = number(words[places + k])
+    trie = DoubleArray.of(np.where(phrases == 0, -1, number(phrases)), len(symbols))
+    total = np.zeros(len(trie.check), "i8")
+    places, states = np.arange(len(words)), np.zeros(len(words), "i8")
+    for column in range(4):
+        numbers = number(words[places, column])
         there = numbers >= 0
         states, kept = trie.step(states[there], numbers[there])
         places = places[there][kept]
-        if k:
-            yield states
-
-
-def count_in_trie(runs: DataFrame, row, n_tries: int) -> DataFrame:
-    """(lang, h1, h2, h3, f) of the phrases of one trie; only places whose first word is its own
-    are looked up."""
-    turn = row["trie"]
-    shared = runs.sparkSession.sparkContext.broadcast(row)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, symbols, _ = _opened(shared)
-        total = np.zeros(len(trie.check), "i8")
-        for batch in batches:
-            for lang, n, own in _chunks(batch):
-                words = np.zeros(n + 2, "i8")
-                words[:len(own)] = own
-                first = words[:n]
-                own_trie = (first.view("u8") >> np.uint64(20)) % np.uint64(n_tries)
-                mine = (first != 0) & (own_trie == turn)
-                for states in _states(trie, symbols, words, np.flatnonzero(mine), lang):
-                    total += np.bincount(states, minlength=len(total))
-        yield from _lanes(total)
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, symbols, langs = _opened(shared)
-        pairs = _depths(trie)
-        for batch in batches:
-            for lane, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                times = np.frombuffer(raw.as_buffer(), "i8")
-                states = np.flatnonzero(times)
-                times, states = times[states], states + lane * LANE
-                for length in (3, 4):
-                    own = pairs[states] == length
-                    spelt = symbols[trie.spell(states[own], length)]
-                    columns = [pa.array([langs[x] for x in spelt[:, 0].tolist()], pa.string()),
-                               *[pa.array(np.ascontiguousarray(spelt[:, k]) if k < length
-                                          else np.zeros(len(spelt), "i8")) for k in (1, 2, 3)],
-                               pa.array(times[own])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", *PHRASE, "f"])
-
-    parts = runs.mapInArrow(run, "lane long, values binary")
-    out = stage(_summed(parts, "i8").mapInArrow(
-        spelled, "lang string, h1 long, h2 long, h3 long, f long"), "counted")
-    shared.destroy()  # one trie at a time, on the driver and on the executors
-    return out
+        if column > 1:
+            ends = (words[places, 3] == 0) == (column == 2)
+            at, n = _sums(states[ends], times[places[ends]])
+            total[at] += n
+    depths = _depths(trie)
+    out, counts = [], []
+    for length in (3, 4):
+        at = np.flatnonzero((total > 0) & (depths == length))
+        spelt = np.zeros((len(at), 4), "i8")
+        spelt[:, :length] = symbols[trie.spell(at, length)]
+        out.append(spelt)
+        counts.append(total[at])
+    return np.concatenate(out), np.concatenate(counts)
 
 
 def _depths(trie: DoubleArray) -> np.ndarray:
@@ -394,19 +458,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang",
     salt, words = _unambiguous(rows)
     runs = stage(word_runs(rows, salt), "runs")
     n = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    bits = min(max(int(n).bit_length() + 1, LEAST_COUNTERS), MOST_COUNTERS)
-    found = stage(candidates(runs, upper_bounds(runs, bits, least), bits), "candidates")
-    n_tries = -(-found.count() // TRIE_PHRASES)
-    built = stage(tries(found, n_tries), "tries") if n_tries else None
-    counted = None
-    for k in range(n_tries):
-        row = built.where(F.col("trie") == k).first()
-        if row is not None:
-            part = count_in_trie(runs, row, n_tries)
-            counted = part if counted is None else counted.unionByName(part)
-    if counted is None:
-        counted = found.withColumn("f", F.lit(0).cast("long"))
-    return words, stage(counted.where(F.col("f") >= least), "counted")
+    n_shards = max(16, -(-int(n) // SHARD_WORDS))
+    pairs = stage(often_pairs(runs, word_filter(words.where(F.col("f") >= least)), n_shards,
+                              least), "pairs")
+    found = windows(runs, key_filter(pairs), n_shards)
+    return words, stage(count_in_tries(found, least), "counted")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP,

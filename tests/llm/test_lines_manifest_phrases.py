@@ -272,3 +272,18 @@ def test_phrases_of_odd_rows(spark, monkeypatch, chunk, per_trie, bits):
     assert got(out, *MINED) == expected and ("fr", 1, "a a a", 4, 6, 5, 8, 533333) in expected
     assert phrases.collocations(df.limit(0)).count() == 0
     assert phrases.collocations(df.where("lang = 'fr'"), least=200).count() == 0
+
+
+def test_phrases_take_as_many_passes_for_any_number_of_tries(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [("en", " ".join(f"w{k}" for k in draw.integers(0, 30, 400))) for _ in range(10)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    passes, plain = [], phrases.stage
+    monkeypatch.setattr(phrases, "stage", lambda *a, **k: passes.append(a[1]) or plain(*a, **k))
+    found = []
+    for per_trie in (1_000_000, 20):  # over 300 candidates: 1 trie, 16 tries and more
+        monkeypatch.setattr(phrases, "TRIE_PHRASES", per_trie)
+        passes.append("|")
+        found.append(got(phrases.collocations(df, least=3, top=500), *MINED))
+    assert found[0] == found[1] == want(collocations(rows, 3, 500))
+    assert " ".join(passes).split("|")[1].split() == " ".join(passes).split("|")[2].split()
