@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm import shingles as sh
-from holdfast.llm.components import components
+from holdfast.llm.components import components, extended
 from holdfast.llm.tables import id_and_text, packed_rows
-from holdfast.session import stage
+from holdfast.session import few_files, stage
 
 THRESHOLD = 75  # per cent
 SYMBOLS, CHUNKS, ERRORS = 16, 4, 11
@@ -201,7 +201,7 @@ def cross_pairs(members: DataFrame, best_only: bool) -> DataFrame:
             i = rows[i]
             ok = _near(sig[i], sig[j], n[i], n[j])
             i, j = i[ok], j[ok]
-            if not best_only and len(i):  # the first key a pair shares reports it
+            if len(i):  # the first key a pair shares reports it
                 first = (sig[i] == sig[j])[:, COMBOS].all(axis=2).argmax(axis=1) == combo
                 i, j = i[first], j[first]
             for c in range(0, len(i), 8192):
@@ -294,10 +294,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = docs_profile.where(F.col("print").isNotNull()).groupBy("print").agg(
         F.min("doc_id").alias("first_id"), F.any_value(F.struct(
             F.col("n_shingles").alias("n"), "sig")).alias("any"))
-    classes = stage(made.select(F.monotonically_increasing_id().alias("node"), "print",
-                                "first_id", "any.*"), "classes")
-    links = near_links(docs, classes, id_col, text_col)
-    comps = components(links)
+    classes = stage(few_files(made.select(F.monotonically_increasing_id().alias("node"), "print",
+                                          "first_id", "any.*")), "classes")
+    comps = near_components(docs, classes, id_col, text_col)
     lowest = classes.select("node", "first_id").join(comps, "node").groupBy("comp").agg(
         F.min("first_id").alias("lowest"))
     named = classes.select("node", "print", "first_id").join(comps, "node", "left").join(
@@ -309,11 +308,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links (a, b) between classes that join exactly the right components."""
+def near_components(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, comp) of the classes that have a link: exactly the right components."""
     all_keys = stage(keys(classes), "keys")
     crowded = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stage(all_keys.join(crowded, "key"), "shared-keys")
+    shared = stage(few_files(all_keys.join(crowded, "key")), "shared-keys")
     typical = shared.groupBy("node").agg(F.sum("size").alias("score"))
     scored = shared.select("key", "node").join(typical, "node")
     hubs = scored.groupBy("key").agg(
@@ -324,17 +323,17 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
         "a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("same")).groupBy("a").agg(
         F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("best")).select(
         "a", (-F.col("best.b")).alias("b"))
-    star = stage(promising(to_hub, classes), "star")
+    star = stage(few_files(promising(to_hub, classes)), "star")
 
     wanted = shared.select("node").distinct()
     texts = stage(_texts(docs, classes.join(wanted, "node", "left_semi"), id_col, text_col),
                   "near-texts")
-    sure = stage(confirm(star, texts), "star-links")
+    comps = components(stage(confirm(star, texts), "star-links"))
     for _ in range(ROUNDS):
-        best = stage(cross_pairs(_members(shared, components(sure), texts), True), "best-pairs")
-        sure = sure.unionByName(stage(confirm(best, texts), "best-links"))
-    rest = stage(cross_pairs(_members(shared, components(sure), texts), False), "cross-pairs")
-    return sure.unionByName(stage(confirm(rest, texts), "cross-links"))
+        best = stage(cross_pairs(_members(shared, comps, texts), True), "best-pairs")
+        comps = extended(comps, stage(confirm(best, texts), "best-links"))
+    rest = stage(cross_pairs(_members(shared, comps, texts), False), "cross-pairs")
+    return extended(comps, stage(confirm(rest, texts), "cross-links"))
 
 
 def _members(shared: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:

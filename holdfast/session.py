@@ -79,3 +79,11 @@ def stage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -
 def spread(df: DataFrame, parts: int) -> DataFrame:
     """One round-robin exchange into `parts`; keyless, so a hot key stays spread."""
     return df.repartition(parts)
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """`df` in fewer tasks, for hand-overs of little work: a file costs more than its rows there.
+    At least two tasks a core, and a sixteenth of the session's shuffle partitions."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism,
+                           int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))

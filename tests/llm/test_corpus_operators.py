@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
+    components,
     decontamination,
     html_text,
     language,
@@ -594,3 +595,18 @@ def test_batches_handed_to_python_are_bounded_in_bytes(spark):
     wide = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS t")
     sizes = wide.mapInPandas(lambda parts: (p.assign(n=len(p))[["n"]][:1] for p in parts), "n long")
     assert max(r.n for r in sizes.collect()) <= 10
+
+
+def test_later_links_are_folded_into_components_found(spark, monkeypatch):
+    first = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (20, 21)], "a long, b long")
+    more = spark.createDataFrame([(8, 3), (3, 1), (30, 31), (31, 20)], "a long, b long")
+    comps = components.components(first)
+    both = components.extended(comps, more)
+    assert got(both, "node", "comp") == got(
+        components.components(first.unionByName(more)), "node", "comp")
+    assert components.extended(both, more) is both and components.extended(comps, first) is comps
+    rounds, plain = [], components.components
+    monkeypatch.setattr(neardup, "components", lambda edges: rounds.append(0) or plain(edges))
+    docs = [(k, " ".join(f"w{k % 3}{i}" for i in range(40)) + f" x{k}") for k in range(30)]
+    near(odd(spark, docs))
+    assert len(rounds) == 1  # every text is linked with its hub, so no later link is new
