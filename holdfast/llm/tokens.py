@@ -6,7 +6,7 @@ tokenizer only for new ones; texts of natural language repeat most of their word
 
 Cases: null and empty texts have no ids; texts that hold a special token are left to the tokenizer
 as a whole; a text of any length is one list of words; a cache that grows past MAX_CACHED words
-keeps those the current texts use.
+keeps those the current texts use and those met most often.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # A lone space between two non-spaces opens a new pre-token in byte-level vocabularies and
 # belongs to the word behind it. Longer runs of white space stay inside a piece.
@@ -23,9 +25,12 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 OTHER_SPACE = ("\t", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680",
                *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
-# Starts a piece that has no space before it; a lone surrogate is in no decoded text.
-BARE = "\ud800"
-MAX_CACHED = 900_000  # words; about 180 MB of a worker's memory
+# Bytes that are in no UTF-8 text: BETWEEN stands between two pieces, and BARE starts one that has
+# no space before it.
+BETWEEN, BARE = b"\xfe", b"\xff"
+BETWEEN_SIGN, BARE_SIGN = (x.decode("utf-8", "surrogateescape") for x in (BETWEEN, BARE))
+LINE_END = BETWEEN + BARE + b"\n" + BETWEEN + BARE
+MAX_CACHED = 600_000  # words; about 30 MB of a worker's memory
 JOINED = 200
 
 
@@ -58,44 +63,50 @@ class WordEncoder:
         self.unfit = re.compile(rf"\s|{self.mark}|^$").search
         self.sign = np.array(self.tokenizer.encode(self.mark, add_special_tokens=False).ids, "i4")
         found = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in (",", ".")}
-        self.stops = {x: ids[0] for x, ids in found.items() if len(ids) == 1}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start, self.size, self.flat = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i4")
+        self.stops = {x: np.array(ids, "i4").tobytes() for x, ids in found.items()
+                      if len(ids) == 1}
+        # row by row a cached word, its ids, and in how many groups of texts it was met
+        self.words, self.table = _column([]), _rows(np.zeros(0, "i4"), np.zeros(0, "i8"))
+        self.hits = np.zeros(0, "i4")
 
     def _shrink(self, at: np.ndarray) -> np.ndarray:
-        """Keep only the cached words that these places use again; their new places."""
-        kept = np.unique(at[at >= 0])
-        place = np.full(len(self.index) + 1, -1, "i4")
+        """Keep the cached words that these places use again and, up to half of MAX_CACHED, those
+        met in most groups; the new places."""
+        half = MAX_CACHED // 2
+        keep = self.hits > np.partition(self.hits, -half)[-half]
+        keep[at[at >= 0]] = True
+        kept = np.flatnonzero(keep)
+        place = np.full(len(keep) + 1, -1, "i4")
         place[kept] = np.arange(len(kept), dtype="i4")
-        words = list(self.index)
-        size, start = self.size[kept], self.start[kept]
-        ends = np.cumsum(size)
-        self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(start - (ends - size), size)]
-        self.index = {words[k]: n for n, k in enumerate(kept.tolist())}
-        self.start, self.size = ends - size, size
+        self.words, self.table = self.words.take(pa.array(kept)), self.table.take(pa.array(kept))
+        self.hits = self.hits[kept] // 2
         return place[at]  # -1 picks the last entry, which is -1
 
-    def _words(self, text: str) -> list[str]:
-        """Pieces of a text; one that has no space before it starts with BARE."""
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Row of each of some different words in the cache, or -1."""
+        # the table that Arrow makes is of the fewer ones
+        found = pc.index_in(self.words, value_set=words).fill_null(-1).to_numpy()
+        rows = np.flatnonzero(found >= 0)
+        at = np.full(len(words), -1, "i4")
+        at[found[rows]] = rows
+        return at
+
+    def _marked(self, text: str) -> bytes:
+        """The words of a text with BETWEEN between them; one that has no space before it starts
+        with BARE."""
         if not self.spaced:
-            return text.replace("\n", " ").split(" ")
+            return text.encode().replace(b"\n", BETWEEN).replace(b" ", BETWEEN)
         if loose_space(text):
-            words = LONE_SPACE.split(text)
-        else:
-            words = text.replace("\n", f" {BARE}\n {BARE}").split(" ")
-        words[0] = BARE + words[0]
-        return words
+            return BARE + BETWEEN.join(w.encode() for w in LONE_SPACE.split(text))
+        return BARE + text.encode().replace(b"\n", LINE_END).replace(b" ", BETWEEN)
 
-    def _asked(self, word: str) -> str:
+    def _asked(self, words: list[str]) -> list[str]:
         if not self.spaced:
-            return word
-        return word[1:] if word[:1] == BARE else " " + word
+            return words
+        return [w[1:] if w[:1] == BARE_SIGN else " " + w for w in words]
 
-    def _encoded(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and sizes of many short strings, JOINED of them in one call."""
+    def _encoded(self, asked: list[str]) -> pa.Array:
+        """The ids of many short strings, JOINED of them in one call."""
         lots = [self.between.join(asked[k:k + JOINED]) for k in range(0, len(asked), JOINED)]
         found = self.tokenizer.encode_batch_fast(lots, add_special_tokens=False)
         flat, n = [], len(self.sign)
@@ -115,50 +126,46 @@ class WordEncoder:
         keep = np.ones(len(ids), bool)
         for k in range(n):
             keep[at + k] = False
-        return ids[keep], sizes
+        return _rows(ids[keep], sizes)
 
-    def _stem(self, word: str) -> str | None:
-        """The word without the comma or full stop at its end, where that is a pre-token of its
-        own: behind a Latin letter or digit, before white space."""
+    def _ends_in_stop(self, word: str) -> bool:
+        """Is there a comma or full stop at the end that is a pre-token of its own: behind a Latin
+        letter or digit, before white space?"""
         last = word[-2:-1]
-        return word[:-1] if word[-1:] in self.stops and last < "\u0250" and last.isalnum() else None
-
-    def _learn(self, words: list[str]) -> None:
-        ended = [(w, stem) for w in words if (stem := self._stem(w))]
-        known = {w for w, _ in ended}
-        asked = dict.fromkeys(w for w in words if w not in known)
-        asked.update(dict.fromkeys(stem for _, stem in ended if stem not in self.index))
+        return word[-1:] in self.stops and last < "\u0250" and last.isalnum()
+
+    def _learn(self, words: list[str]) -> list[int]:
+        """Put the words into the cache; their places."""
+        ended = [w for w in words if self._ends_in_stop(w)]
+        known, stems = set(ended), list(dict.fromkeys(w[:-1] for w in ended))
+        place = {w: k for w, k in zip(stems, self._places(_column(stems)).tolist()) if k >= 0}
+        fresh = list(dict.fromkeys([*(w for w in words if w not in known),
+                                    *(w for w in stems if w not in place)]))
         # white space at a word's edge would merge with the mark, and nothing leaves two marks
-        odd = [w for w in asked if self.unfit(w) or w == BARE]
-        rest = set(odd)
-        for lot, encoded in (([w for w in asked if w not in rest], self._encoded),
-                             (odd, self._each)):
+        odd = set()
+        if self.unfit("".join(fresh)) or "" in fresh or BARE_SIGN in fresh:
+            odd.update(w for w in fresh if self.unfit(w) or w == BARE_SIGN)
+        for lot, encoded in (([w for w in fresh if w not in odd] if odd else fresh, self._encoded),
+                             (list(odd), self._each)):
             if lot:
-                self._keep(lot, *encoded([self._asked(w) for w in lot]))
+                self._keep(place, lot, encoded(self._asked(lot)))
         if ended:  # a stem's ids and the stop's
-            at = np.array([self.index[stem] for _, stem in ended])
-            size = self.size[at]
-            ends = np.cumsum(size + 1)
-            flat = np.zeros(int(ends[-1]), "i4")
-            body = np.ones(len(flat), bool)
-            body[ends - 1] = False
-            flat[ends - 1] = [self.stops[w[-1]] for w, _ in ended]
-            first = np.cumsum(size) - size
-            flat[body] = self.flat[np.arange(int(size.sum())) + np.repeat(
-                self.start[at] - first, size)]
-            self._keep([w for w, _ in ended], flat, size + 1)
-
-    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.flat)
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.start = np.concatenate([self.start, first + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, ids])
-
-    def _each(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            stop = pa.array([self.stops[w[-1]] for w in ended], pa.large_binary())
+            at = pa.array([place[w[:-1]] for w in ended], pa.int32())
+            self._keep(place, ended, pc.binary_join_element_wise(
+                self.table.take(at), stop, pa.scalar(b"", pa.large_binary())))
+        return list(map(place.__getitem__, words))
+
+    def _keep(self, place: dict[str, int], words: list[str], ids: pa.Array) -> None:
+        place.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.words = pa.concat_arrays([self.words, _column(words)])
+        self.table = pa.concat_arrays([self.table, ids])
+        self.hits = np.append(self.hits, np.ones(len(words), "i4"))
+
+    def _each(self, asked: list[str]) -> pa.Array:
         found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
         sizes = np.fromiter((len(e.ids) for e in found), "i8", len(found))
-        return np.fromiter((i for e in found for i in e.ids), "i4", int(sizes.sum())), sizes
+        return _rows(np.fromiter((i for e in found for i in e.ids), "i4", int(sizes.sum())), sizes)
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         whole = {k: self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -173,29 +180,52 @@ class WordEncoder:
         return np.concatenate(own), np.array([len(x) for x in own], "i8")
 
     def _by_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        words: list[str] = []
         counts = np.zeros(len(texts), "i8")
+        marked = []
         for k, text in enumerate(texts):
             if text:
-                own = self._words(text)
-                counts[k] = len(own)
-                words += own
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), "i4", len(words))
-        if len(self.index) > MAX_CACHED:
+                own = self._marked(text)
+                counts[k] = own.count(BETWEEN) + 1
+                marked.append(own)
+        if not marked:
+            return np.zeros(0, "i4"), counts
+        # a group's words are told apart in Arrow; only different ones are looked up
+        words = _split(BETWEEN.join(marked)).dictionary_encode()
+        at = self._places(words.dictionary)
+        if len(self.words) > MAX_CACHED:
             at = self._shrink(at)
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            asked = [words[k] for k in new]
-            self._learn(list(dict.fromkeys(asked)))
-            at[new] = list(map(self.index.get, asked))
-        size = self.size[at]
-        ends = np.cumsum(size, dtype="i8")
-        total = int(ends[-1]) if len(ends) else 0
-        shift = (self.start[at] - (ends - size)).astype("i4")
-        flat = self.flat[np.arange(total, dtype="i4") + np.repeat(shift, size)]
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        upto = np.concatenate([[0], ends])
-        return flat, np.diff(upto[edges])
+        self.hits[at[at >= 0]] += 1
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._learn(_strings(words.dictionary.take(pa.array(new))))
+        rows = self.table.take(pa.array(at)).take(words.indices)
+        upto = np.frombuffer(rows.buffers()[1], "i8")[rows.offset:][:len(rows) + 1] // 4
+        flat = np.frombuffer(rows.buffers()[2] or b"", "i4")[upto[0]:upto[-1]]
+        return flat, np.diff(upto[np.append(0, np.cumsum(counts))])
+
+
+def _rows(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Ids as one row of bytes for each size."""
+    ends = np.append(0, np.cumsum(sizes)).astype("i8") * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [
+        None, pa.py_buffer(ends), pa.py_buffer(ids.astype("i4", copy=False))])
+
+
+def _split(data: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([data], pa.large_binary()), BETWEEN).flatten()
+
+
+def _column(words: list[str]) -> pa.Array:
+    """Words as bytes, all at once: one by one takes several times as long."""
+    if not words:
+        return pa.array([], pa.large_binary())
+    return _split(BETWEEN_SIGN.join(words).encode("utf-8", "surrogateescape"))
+
+
+def _strings(words: pa.Array) -> list[str]:
+    lists = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    joined = pc.binary_join(lists, pa.scalar(BETWEEN, pa.large_binary()))[0].as_py()
+    return joined.decode("utf-8", "surrogateescape").split(BETWEEN_SIGN)
 
 
 @lru_cache(maxsize=4)
@@ -204,7 +234,7 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
     return WordEncoder(path, spaced)
 
 
-def text_groups(texts: list[str | None], chars: int = 1_000_000):
+def text_groups(texts: list[str | None], chars: int = 4_000_000):
     """(from, to) ranges of consecutive texts with about `chars` characters; one text at least."""
     begin, held = 0, 0
     for k, text in enumerate(texts):

@@ -21,6 +21,7 @@ from holdfast.llm import (
     queries,
     secrets,
     token_files,
+    tokens,
     urls,
 )
 from holdfast.llm.tables import read_table
@@ -83,6 +84,19 @@ def test_word_cache_on_odd_spacing(text):
         assert flat.tolist() == brute.ids(text, name, 1)[:-1].tolist()
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_full_word_cache_keeps_the_words_met_most(monkeypatch, name, spaced):
+    monkeypatch.setattr(tokens, "MAX_CACHED", 100)
+    enc = WordEncoder(queries.vocabulary_path(name), spaced)
+    asked, encoded = [], enc._encoded
+    monkeypatch.setattr(enc, "_encoded", lambda lot: asked.extend(lot) or encoded(lot))
+    for k in range(12):  # the common word is not in every group
+        text = " ".join(["x", *(f"v{k}q{i}z." for i in range(30)), *["often"] * (k % 3 < 2)])
+        flat, _ = enc.ids([text])
+        assert flat.tolist() == brute.ids(text, name, 1)[:-1].tolist()
+    assert sum(w.strip() == "often" for w in asked) == 1
+
+
 def _encoder(name, spaced, known={}):
     if name not in known:
         known[name] = WordEncoder(queries.vocabulary_path(name), spaced)
