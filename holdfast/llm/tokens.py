@@ -30,6 +30,7 @@ OTHER_SPACE = ("\t", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "
 BETWEEN, BARE = b"\xfe", b"\xff"
 BETWEEN_SIGN, BARE_SIGN = (x.decode("utf-8", "surrogateescape") for x in (BETWEEN, BARE))
 LINE_END = BETWEEN + BARE + b"\n" + BETWEEN + BARE
+WORD_END = "</w>"
 MAX_CACHED = 600_000  # words; about 30 MB of a worker's memory
 JOINED = 200
 
@@ -56,8 +57,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # the tokenizer cuts texts at these before anything else; texts with one are left to it
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.largest_id = max(vocabulary.values())
         self.spaced = spaced
+        # what parts plain words of one call: byte-level tokens have a sign for each byte, others
+        # say where a word ends (and each byte can end one, so that no word is without an end)
+        self.share = np.zeros(self.largest_id + 1, "i8")
+        self.share[list(vocabulary.values())] = [
+            len(t) if spaced else t.endswith(WORD_END) for t in vocabulary]
+        self.parted = spaced or sum(
+            t.endswith(WORD_END) and len(t) == 1 + len(WORD_END) for t in vocabulary) == 256
         # stands between new words that are encoded in one call, and never merges with them
         self.mark, self.between = ("\n", "\n") if spaced else ("\ue000", " \ue000 ")
         self.unfit = re.compile(rf"\s|{self.mark}|^$").search
@@ -105,8 +114,30 @@ class WordEncoder:
             return words
         return [w[1:] if w[:1] == BARE_SIGN else " " + w for w in words]
 
+    def _is_plain(self, word: str) -> bool:
+        """Does the word need no mark before the next one? With a space before it, or of letters
+        only, so that it is one pre-token."""
+        return self.parted and (word[:1] != BARE_SIGN if self.spaced else word.isalpha())
+
+    def _plain(self, asked: list[str]) -> pa.Array:
+        """The ids of many plain words, JOINED of them in one call."""
+        blank = "" if self.spaced else " "
+        found = self.tokenizer.encode_batch_fast(
+            [blank.join(asked[k:k + JOINED]) for k in range(0, len(asked), JOINED)],
+            add_special_tokens=False)
+        flat: list[int] = []
+        for e in found:
+            flat += e.ids
+        ids = np.array(flat, "i4")
+        have = np.cumsum(self.share[ids])
+        want = np.cumsum([len(w.encode()) for w in asked] if self.spaced else [1] * len(asked))
+        ends = np.searchsorted(have, want) + 1
+        if have[-1:].tolist() != want[-1:].tolist() or (have[ends - 1] != want).any():
+            return self._encoded(asked)
+        return _rows(ids, np.diff(ends, prepend=0))
+
     def _encoded(self, asked: list[str]) -> pa.Array:
-        """The ids of many short strings, JOINED of them in one call."""
+        """The ids of many short strings, JOINED of them in one call, with a mark between them."""
         lots = [self.between.join(asked[k:k + JOINED]) for k in range(0, len(asked), JOINED)]
         found = self.tokenizer.encode_batch_fast(lots, add_special_tokens=False)
         flat, n = [], len(self.sign)
@@ -145,7 +176,11 @@ class WordEncoder:
         odd = set()
         if self.unfit("".join(fresh)) or "" in fresh or BARE_SIGN in fresh:
             odd.update(w for w in fresh if self.unfit(w) or w == BARE_SIGN)
-        for lot, encoded in (([w for w in fresh if w not in odd] if odd else fresh, self._encoded),
+            fresh = [w for w in fresh if w not in odd]
+        plain = [w for w in fresh if self._is_plain(w)]
+        held = set(plain)
+        for lot, encoded in ((plain, self._plain),
+                             ([w for w in fresh if w not in held], self._encoded),
                              (list(odd), self._each)):
             if lot:
                 self._keep(place, lot, encoded(self._asked(lot)))

@@ -88,8 +88,10 @@ def test_word_cache_on_odd_spacing(text):
 def test_a_full_word_cache_keeps_the_words_met_most(monkeypatch, name, spaced):
     monkeypatch.setattr(tokens, "MAX_CACHED", 100)
     enc = WordEncoder(queries.vocabulary_path(name), spaced)
-    asked, encoded = [], enc._encoded
-    monkeypatch.setattr(enc, "_encoded", lambda lot: asked.extend(lot) or encoded(lot))
+    asked = []
+    for part in ("_plain", "_encoded"):
+        monkeypatch.setattr(enc, part, lambda lot, encoded=getattr(enc, part):
+                            asked.extend(lot) or encoded(lot))
     for k in range(12):  # the common word is not in every group
         text = " ".join(["x", *(f"v{k}q{i}z." for i in range(30)), *["often"] * (k % 3 < 2)])
         flat, _ = enc.ids([text])
@@ -97,6 +99,17 @@ def test_a_full_word_cache_keeps_the_words_met_most(monkeypatch, name, spaced):
     assert sum(w.strip() == "often" for w in asked) == 1
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_plain_words_need_no_mark_between_them(monkeypatch, name, spaced):
+    enc = WordEncoder(queries.vocabulary_path(name), spaced)
+    text = "a" + "".join(f" {w}" for w in ("été", "straße", "漢字", "İstanbul", "ñboesos", "ﬁne", "Ǆ",
+                                           "\U0001d400b", "e\u0301t", "İ", "x" * 300))
+    assert enc.ids([text])[0].tolist() == brute.ids(text, name, 1)[:-1].tolist()
+    monkeypatch.setattr(enc, "between", None)  # joining with marks would fail
+    text = "".join(f" plain{'abcdefghij'[k % 10]}{'xyz'[k % 3]} ütter" for k in range(500)).strip()
+    assert enc.ids(["a " + text])[0].tolist() == brute.ids("a " + text, name, 1)[:-1].tolist()
+
+
 def _encoder(name, spaced, known={}):
     if name not in known:
         known[name] = WordEncoder(queries.vocabulary_path(name), spaced)
