@@ -32,7 +32,7 @@ BUCKETS = 1 << 16
 SMOOTHING = 0.5
 SAMPLE_PER_LANGUAGE = 5000
 MAX_LANGUAGES = 1000
-SLICE = 1 << 20  # bytes scored at once
+SLICE = 1 << 18  # bytes scored at once
 
 _FOLD = np.full(256, 32, "u1")
 _FOLD[128:] = np.arange(128, 256)

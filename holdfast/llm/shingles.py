@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _BASE = 0x5851F42D4C957F2D
 _FOLD = np.arange(256, dtype="u1")

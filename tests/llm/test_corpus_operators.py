@@ -1,9 +1,11 @@
 """Each corpus operator against plain Python, and on nulls, ties, empty and odd input."""
 
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,6 +22,7 @@ from holdfast.llm import (
     quality,
     queries,
     secrets,
+    shingles,
     token_files,
     tokens,
     urls,
@@ -110,6 +113,18 @@ def test_plain_words_need_no_mark_between_them(monkeypatch, name, spaced):
     assert enc.ids(["a " + text])[0].tolist() == brute.ids("a " + text, name, 1)[:-1].tolist()
 
 
+def test_shingles_and_languages_take_little_memory_at_once():
+    column = pa.array(["".join(f"wort{k % 4999} " for k in range(300))] * 1000)
+    model = language.Model(list("abcdefgh"), np.zeros(8), np.zeros((language.BUCKETS, 8), "f4"))
+    for work in (lambda: [None for _ in shingles.text_sets(column, shingles.SPACE)],
+                 lambda: language.score_texts(model, column)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30e6
+
+
 def _encoder(name, spaced, known={}):
     if name not in known:
         known[name] = WordEncoder(queries.vocabulary_path(name), spaced)
