@@ -31,7 +31,7 @@ BETWEEN, BARE = b"\xfe", b"\xff"
 BETWEEN_SIGN, BARE_SIGN = (x.decode("utf-8", "surrogateescape") for x in (BETWEEN, BARE))
 LINE_END = BETWEEN + BARE + b"\n" + BETWEEN + BARE
 WORD_END = "</w>"
-MAX_CACHED = 600_000  # words; about 30 MB of a worker's memory
+MAX_CACHED = 600_000  # words
 JOINED = 200
 
 
