@@ -207,3 +207,26 @@ def test_contact_rules_of_any_window(spark, ws):
     again = F.lag("day").over(Window.partitionBy("customer_id").orderBy("day"))
     made = log.where("contact").withColumn("before", again)
     assert made.count() > 0 and made.where("day - before <= 10").count() == 0
+
+
+def _hash_joins(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [line for line in plan.splitlines() if "Join" in line]
+
+
+def test_options_are_never_broadcast(spark):
+    """Exploded options pass for small; only the requests may be the hashed side."""
+    from holdfast.operators import overrides as ov
+
+    made = spark.range(100).select(F.concat(F.lit("d"), "id").alias("decision_id"), F.col("id").cast(
+        "string").alias("customer_id"), F.lit(1).cast("long").alias("day"))
+    options = made.select("customer_id", "day", F.explode(F.array(F.lit("a"), F.lit("b"))).alias(
+        "candidate_id"), F.lit(True).alias("allowed"), F.lit("r").alias("rule"),
+        F.lit("").alias("detail"))
+    requests = made.withColumn("override_candidate", F.when(
+        F.col("customer_id") < "5", F.lit("a")).otherwise(F.lit("b")))
+    out = ov.admit(requests, made.withColumn("chosen_id", F.lit("a")), options)
+    joins = _hash_joins(out)
+    assert len(joins) == 2 and all("ShuffledHashJoin" in j and "BuildLeft" in j for j in joins)
+    assert out.where("admitted").count() == requests.where("override_candidate = 'b'").count() > 0
+    assert out.count() == 100
