@@ -56,7 +56,8 @@ def price_overrides(overrides: DataFrame, contexts: DataFrame, probabilities: Da
     known = contexts.select("customer_id", "day", "margin_rate", "order_value_cents")
     spare = fallback.select("customer_id", F.col("margin_rate").alias("_m"),
                             F.col("order_value_cents").alias("_v"))
-    df = overrides.join(known, ["customer_id", "day"], "left").join(spare, "customer_id", "left")
+    df = overrides.hint("shuffle_hash").join(known, ["customer_id", "day"], "left")
+    df = df.hint("shuffle_hash").join(spare, "customer_id", "left")
     df = df.withColumn("_margin", F.coalesce("margin_rate", "_m", F.lit(0.0))).withColumn(
         "_value", F.coalesce("order_value_cents", "_v", F.lit(0)).cast("double")).drop(
         "margin_rate", "order_value_cents", "_m", "_v")
@@ -68,7 +69,8 @@ def price_overrides(overrides: DataFrame, contexts: DataFrame, probabilities: Da
         table = probabilities.select(
             "customer_id", "day", F.col("candidate_id").alias(f"{side}_candidate"),
             F.col("probability").alias("_p"))
-        df = df.join(table, ["customer_id", "day", f"{side}_candidate"], "left").withColumn(
+        df = df.hint("shuffle_hash").join(
+            table, ["customer_id", "day", f"{side}_candidate"], "left").withColumn(
             f"expected_profit_{side}_cents",
             F.col("_p") * F.col("_value") * (F.col("_margin") - bps[cand] / F.lit(10_000.0))
             - cost[cand]).drop("_p")

@@ -230,3 +230,27 @@ def test_options_are_never_broadcast(spark):
     assert len(joins) == 2 and all("ShuffledHashJoin" in j and "BuildLeft" in j for j in joins)
     assert out.where("admitted").count() == requests.where("override_candidate = 'b'").count() > 0
     assert out.count() == 100
+
+
+def test_prices_of_overrides_are_never_broadcast(spark):
+    """Exploded probabilities pass for small; only the overrides may be the hashed side."""
+    from holdfast.operators import overrides as ov
+
+    keys = spark.range(100).select(F.col("id").cast("string").alias("customer_id"),
+                                   F.lit(1).cast("long").alias("day"))
+    asked = keys.select(F.concat_ws("#", "customer_id").alias("override_id"), "customer_id", "day",
+                        F.lit("none").alias("original_candidate"),
+                        F.lit("email_delayed").alias("override_candidate"))
+    contexts = keys.where("customer_id <> '7'").select(
+        "*", F.lit(0.5).alias("margin_rate"), F.lit(1000).alias("order_value_cents"))
+    spare = keys.select("customer_id", F.lit(0.4).alias("margin_rate"),
+                        F.lit(1000).alias("order_value_cents"))
+    odds = keys.select("customer_id", "day", F.explode(F.create_map(
+        F.lit("none"), F.lit(0.1), F.lit("email_delayed"), F.lit(0.2))).alias(
+        "candidate_id", "probability"))
+    priced = ov.price_overrides(asked, contexts, odds, spare)
+    joins = _hash_joins(priced)
+    assert len(joins) == 4 and all("ShuffledHashJoin" in j and "BuildLeft" in j for j in joins)
+    effect = {r.customer_id: r.override_effect_cents for r in priced.collect()}
+    assert len(effect) == 100 and effect["3"] == pytest.approx(45) and effect["7"] == pytest.approx(35)
+    assert ov.override_totals(priced).first().n_overrides == 100
