@@ -254,3 +254,25 @@ def test_prices_of_overrides_are_never_broadcast(spark):
     effect = {r.customer_id: r.override_effect_cents for r in priced.collect()}
     assert len(effect) == 100 and effect["3"] == pytest.approx(45) and effect["7"] == pytest.approx(35)
     assert ov.override_totals(priced).first().n_overrides == 100
+
+
+def test_ranking_calls_no_comparator(spark):
+    """array_sort evaluates a comparator expression for each pair, sort_array compares entries."""
+    rows = spark.createDataFrame([context("c1", margin=0.5)], FIELDS)
+    judged = ru.apply_rules(ac.with_candidates(rows))
+    arms = po.active_arms(candidate_rows())
+    members = F.create_map(*[x for k, (a, b) in enumerate(arms) for x in (
+        F.lit(f"{a}:{b}"), F.array(*[F.lit(0.01 * (k + 1) + 0.002 * ((m * 7 + k) % 4))
+                                     for m in range(4)]))])
+    scored = po.expected_value_scores(judged.withColumn("members", members), "members", 4)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
+    entries = scored.first().scored
+    assert [e.neg_score for e in entries] == sorted(e.neg_score for e in entries)
+    for e in entries:
+        own = [0.01 * (k + 1) + 0.002 * ((m * 7 + k) % 4) for m in range(4)
+               for k, (a, b) in enumerate(arms) if (a, b) == (e.archetype, e.discount_bps)]
+        none = [0.01 + 0.002 * (m * 7 % 4) for m in range(4)]
+        if e.archetype not in ("none", "wait"):
+            assert math.isclose(e.uplift, sum(a - b for a, b in zip(own, none)) / 4)
+    assert math.isclose(sum(e.win_rate for e in entries), 1.0)
