@@ -46,3 +46,31 @@ def test_selection_and_logs(ws, models):
     assert own.where("confidence BETWEEN 0 AND 1").count() == own.count()
     gains = evaluation.with_gains(evaluation.tag(run.log, ws.segments), run.policy)
     assert gains.count() == own.count()
+
+
+def test_families_go_side_by_side(ws, models, monkeypatch):
+    """Days of a family follow each other; the other family does not wait for them."""
+    import threading
+
+    met, order = threading.Barrier(2, timeout=300), []
+
+    def replayed(contexts, policy, score, settings, days, min_confidence):
+        order.append((policy, list(days)))
+        if days[0] == SMALL.train_end_day:
+            met.wait()  # both families are there at once
+        return ws.log.limit(5)
+
+    monkeypatch.setattr(mo.rp, "replay_with_model", replayed)
+    mo.run_models(ws.with_probabilities(ws.all_contexts), ws.log, models,
+                  cx.model_columns(ws.categories), _arms(), SMALL)
+    for family in models:
+        own = [days for policy, days in order if policy == mo.policy_of(family)]
+        assert own == [[20, 21], [23, 24]]
+
+
+def test_an_error_beside_another_step_is_raised():
+    from holdfast.session import side_by_side
+
+    assert side_by_side({"a": lambda: 1, "b": lambda: 2}) == {"a": 1, "b": 2}
+    with pytest.raises(ZeroDivisionError):
+        side_by_side({"a": lambda: 1 / 0, "b": lambda: 2})
